@@ -84,30 +84,52 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of joined texts, and the number of words up to each text's end.
+_ROOT = 0x2545F4914F6CDD1D
+_CODES = mixed(np.arange(256, dtype=np.uint64), 3)[_LOWER]
+_CODES[_IS_SPACE] = 0
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(root: int, n: int) -> np.ndarray:
+    """root ** 0 .. root ** (n - 1) modulo 2 ** 64."""
+    have = _POWERS.get(root, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, have * np.uint64(pow(root, len(have), 1 << 64))])
+    _POWERS[root] = have
+    return have[:n]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie end to end, A-Z lower-cased, and the number of words of each text.
 
     A word is a run of bytes other than the six white-space bytes; words never cross texts.
     """
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    inside = ~_IS_SPACE[data]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    cuts = ends[:-1][ends[:-1] < n]
-    begin[cuts] = inside[cuts]
+    begin = ~_IS_SPACE[data]
+    after = begin.copy()
+    begin[1:] &= ~after[:-1]
+    cuts = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < n)]
+    begin[cuts] = after[cuts]
     starts = np.flatnonzero(begin)
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    word_of = np.cumsum(begin) - 1
-    at = np.flatnonzero(inside)
-    offset = (at - starts[word_of[at]]).astype(np.uint64)
-    letters = (_LOWER if lower else np.arange(256, dtype=np.uint8))[data[at]].astype(np.uint64) + np.uint64(1)
-    # each letter is mixed with its place in the word; a word's hash is the mixed sum
-    values = mixed(letters | (offset << np.uint64(9)))
-    first = np.searchsorted(at, starts)
-    return mixed(np.add.reduceat(values, first)), np.searchsorted(starts, ends, "left")
+    per_text = np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), per_text
+    sums = np.add.reduceat(_CODES[data] * powers(_ROOT, n), starts)
+    return mixed(sums * powers(pow(_ROOT, -1, 1 << 64), n)[starts], 5), per_text
+
+
+def all_word_hashes(values: list[bytes], chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of a list of texts, in pieces that stay in the processor's cache."""
+    hashes, counts, piece, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+    for k, v in enumerate(values):
+        piece.append(v)
+        size += len(v)
+        if size >= chunk or k == len(values) - 1:
+            h, c = word_hashes(np.frombuffer(b"".join(piece), np.uint8), np.cumsum([len(x) for x in piece]))
+            hashes.append(h)
+            counts.append(c)
+            piece, size = [], 0
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def crc(x: object) -> int:

@@ -112,10 +112,9 @@ def first_owner(low: np.ndarray, high: np.ndarray, group: np.ndarray) -> tuple[n
 
 
 def total(low: np.ndarray, high: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the first numbers; every group has one."""
+    """The sum of the first numbers of each group, told where a group has several rows; a single row knows its sum."""
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    summed = np.add.reduceat(low, start)
-    return np.ones(len(start), bool), summed
+    return np.diff(np.append(start, len(group))) > 1, np.add.reduceat(low, start)
 
 
 def resolved(sent: DataFrame, step: int, answer: Answer = first_owner, words: int = 1) -> DataFrame:

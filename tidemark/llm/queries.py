@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, media, suffix_dedup
+from tidemark.llm import chat, lm, media, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_digests(suffix_dedup.removed_spans(table(spark, sf_dir, "documents")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.text_parts(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
     return chat.conversation_digests(chat.format_conversations(turns))
@@ -25,6 +29,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
 }

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import mixed
+from tidemark.llm.common import mixed, powers
 
 LENGTH = 50
 GRAM = 16
@@ -86,7 +86,7 @@ class Chunk:
         self.sums, self.back = [], []
         for salt, root in ((1, 0x2545F4914F6CDD1D), (2, 0xD1342543DE82EF95)):
             inverse = pow(root, -1, 1 << 64)
-            up, down = _powers(root, n), _powers(inverse, n)
+            up, down = powers(root, n), powers(inverse, n)
             values = mixed(np.arange(256, dtype=np.uint64), salt)[self.data] * up
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)]))
             self.back.append(down)
@@ -96,18 +96,6 @@ class Chunk:
         return tuple(mixed((s[stop] - s[start]) * b[start] + size, k) for k, (s, b) in enumerate(zip(self.sums, self.back, strict=True)))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(root: int, n: int) -> np.ndarray:
-    """root ** 0 .. root ** (n - 1) modulo 2 ** 64."""
-    have = _POWERS.get(root, np.ones(1, np.uint64))
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(root, len(have), 1 << 64))])
-    _POWERS[root] = have
-    return have[:n]
-
-
 def chunks(part: pa.Table, length: int, gram: int) -> Iterator[Chunk]:
     """A batch in pieces of whole documents, about CHUNK_BYTES each."""
     ids, texts, size, begin = ex.ids_of(part), [], 0, 0
