@@ -91,23 +91,23 @@ def send(batch: int, digits: int, keys: tuple[np.ndarray, ...], low: np.ndarray,
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def send_first(batch: int, digits: int, keys: tuple[np.ndarray, ...], ids: np.ndarray) -> pa.Table:
-    """send() of the smallest and largest id that each key occurs with; ids must ascend within a key."""
+def send_range(batch: int, digits: int, keys: tuple[np.ndarray, ...], values: np.ndarray) -> pa.Table:
+    """send() of the smallest and largest value that each key occurs with."""
     order, fresh = distinct(keys)
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(order)) - 1
-    return send(batch, digits, tuple(k[order[first]] for k in keys), ids[order[first]], ids[order[last]])
+    if not len(first):
+        return send(batch, digits, keys, values, values)
+    v = values[order]
+    return send(batch, digits, tuple(k[order[first]] for k in keys), np.minimum.reduceat(v, first), np.maximum.reduceat(v, first))
 
 
 Answer = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def first_owner(low: np.ndarray, high: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which groups have several ids, and the smallest of each."""
-    n = int(group[-1]) + 1
+def several(low: np.ndarray, high: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups have several values, and the smallest of each."""
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     smallest, largest = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-    assert len(start) == n
     return smallest != largest, smallest
 
 
@@ -117,7 +117,7 @@ def total(low: np.ndarray, high: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     return np.diff(np.append(start, len(group))) > 1, np.add.reduceat(low, start)
 
 
-def resolved(sent: DataFrame, step: int, answer: Answer = first_owner, words: int = 1) -> DataFrame:
+def resolved(sent: DataFrame, step: int, answer: Answer = several, words: int = 1) -> DataFrame:
     """For each batch, the places of its keys that have an answer, and the answers. words: uint64 numbers a key."""
 
     def run(part: pa.Table) -> pa.Table:

@@ -10,11 +10,14 @@ several documents.
   anchor serves a whole run of windows. Grams found in a single document end here.
 * Pass 2 takes all bytes that the anchor's run of windows covers. If a document with a
   smaller id has the same run, every window of it is a repeat.
-* Pass 3 splits the runs that are left (those at the edge of a repeat) into windows.
+* Pass 3 takes the anchor with half of what a window has besides, to its left and to its
+  right: any window holds one of the two. Where all runs with that half are the same run,
+  pass 2 has settled them.
+* Pass 4 splits the runs that are left (those at the edge of a repeat) into windows.
 
 The passes deal packed keys out by their leading digit (see `exchange`): a hot passage
-costs one key per batch of documents. Grams are compared as 64-bit hashes, which can only
-let a group through to the next pass; runs and windows are compared as 128-bit hashes.
+costs one key per batch of documents. Grams and halves are compared as 64-bit hashes, which can
+only let a group through to the next pass; runs and windows are compared as 128-bit hashes.
 
 A byte is removed when a window that covers it also starts in a document with a smaller
 id, judged on the input. Nulls: a null text is empty; a null id counts as the largest,
@@ -49,7 +52,7 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         n, none = len(self.data), np.zeros(0, np.int64)
-        self.first = self.last = self.doc = none
+        self.first = self.last = self.doc = self.anchor = none
         self.gram = none.astype(np.uint64)
         if n < length:
             return
@@ -77,7 +80,8 @@ class Chunk:
         stop = fits.copy()
         stop[:-1] &= ~fits[1:] | (anchor[1:] != anchor[:-1])
         self.first, self.last = np.flatnonzero(begin), np.flatnonzero(stop)
-        self.gram = h[anchor[self.first]]
+        self.anchor = anchor[self.first]
+        self.gram = h[self.anchor]
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def prefixes(self) -> None:
@@ -142,23 +146,44 @@ class Passes:
         if upto == 2:
             return
         known, owner = self._told(self.keys, replies, 2)
-        gone = known & (owner < self.ids)
-        #: stretches of each piece that are removed as whole runs, and the windows of the other runs
-        self.removed, self.windows, at, hashes, ids = [], [], 0, [], []
+        gone, tags = known & (owner < self.ids), self.keys[0].view(np.int64)
+        #: stretches of each piece that are removed as whole runs, and the halves of the other runs
+        half = (length - gram) // 2
+        self.removed, rests, at, hashes, values = [], [], 0, [], []
         for p, mine in zip(self.pieces, self.runs, strict=True):
-            whole = gone[at : at + len(mine)]
+            whole, tag = gone[at : at + len(mine)], tags[at : at + len(mine)]
             at += len(mine)
             self.removed.append((p.first[mine[whole]], p.last[mine[whole]] + length))
-            rest = mine[~whole]
-            start, run = _spread(p.first[rest], p.last[rest])
+            rest, tag = mine[~whole], tag[~whole]
+            a = p.anchor[rest]
+            right, left = p.last[rest] >= a - (length - gram - half), p.first[rest] <= a - half
+            rests.append((rest, right, left))
+            if len(rest):
+                hashes += [p.hashes(a[right], a[right] + gram + half)[0], p.hashes(a[left] - half, a[left] + gram)[0]]
+                values += [tag[right], tag[left]]
+        self.keys, self.ids = (join(hashes, np.uint64),), join(values, np.int64)
+        if upto == 3:
+            return
+        keep, at = self._told(self.keys, replies, 3)[0], 0
+        self.windows, hashes, ids = [], [], []
+        for p, (rest, right, left) in zip(self.pieces, rests, strict=True):
+            for side in (right, left):
+                size = int(side.sum())
+                side[side] = keep[at : at + size]
+                at += size
+            some = right | left
+            start, run = _spread(p.first[rest[some]], p.last[rest[some]])
+            before = p.anchor[rest[some]][run] - start
+            fit = (right[some][run] & (before <= length - gram - half)) | (left[some][run] & (before >= half))
+            start, run = start[fit], rest[some][run[fit]]
             self.windows.append(start)
             if len(start):
                 hashes.append(p.hashes(start, start + length))
-                ids.append(p.ids[p.doc[rest[run]]])
+                ids.append(p.ids[p.doc[run]])
         self.keys, self.ids = both(), join(ids, np.int64)
-        if upto == 3:
+        if upto == 4:
             return
-        known, owner = self._told(self.keys, replies, 3)
+        known, owner = self._told(self.keys, replies, 4)
         gone, at = known & (owner < self.ids), 0
         for k, start in enumerate(self.windows):
             mine = start[gone[at : at + len(start)]]
@@ -187,7 +212,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def emitted(key, part, replies, step):
         p = Passes(part, replies, length, gram, step)
-        return ex.send_first(key[0].as_py(), n, p.keys, p.ids)
+        return ex.send_range(key[0].as_py(), n, p.keys, p.ids)
 
     def emit_first(key, part):
         return emitted(key, part, None, 1)
@@ -196,7 +221,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return lambda key, part, replies: emitted(key, part, replies, step)
 
     def close(key, part, replies):
-        p = Passes(part, replies, length, gram, 4)
+        p = Passes(part, replies, length, gram, 5)
         starts, stops, sizes = [], [], []
         for piece, (first, last) in zip(p.pieces, p.removed, strict=True):
             depth = np.zeros(len(piece.data) + 1, np.int32)
@@ -224,8 +249,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = ex.resolved(asked.applyInArrow(emit_first, ex.SENT), 1)
     two = ex.resolved(asked.cogroup(one.groupBy("batch")).applyInArrow(emit(2), ex.SENT), 2, words=2)
     told = one.unionAll(two)
-    three = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(3), ex.SENT), 3, words=2)
-    return asked.cogroup(told.unionAll(three).groupBy("batch")).applyInArrow(close, f"doc_id {kind}, text string, starts array<long>, stops array<long>")
+    three = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(3), ex.SENT), 3)
+    told = told.unionAll(three)
+    four = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(4), ex.SENT), 4, words=2)
+    return asked.cogroup(told.unionAll(four).groupBy("batch")).applyInArrow(close, f"doc_id {kind}, text string, starts array<long>, stops array<long>")
 
 
 def _kept(text: str, starts: list[int], stops: list[int]) -> bytes:
