@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, lm, media, near_dedup, suffix_dedup
+from tidemark.llm import chat, decontaminate, lm, media, near_dedup, suffix_dedup
 from tidemark.llm.common import LOWER, UPPER, table
 
 
@@ -13,6 +13,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_digests(suffix_dedup.removed_spans(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.NearDedup(width=3, percent=85).run(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_formatting": op9_chat_formatting,
@@ -58,6 +63,16 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c A
 FROM documents d JOIN least ON a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
 """
 
+OP5_SQL = f"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents), item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+sets AS (SELECT DISTINCT doc_id, unnest({_shingles(5)}) AS s FROM words),
+item_sets AS (SELECT DISTINCT item_id, unnest({_shingles(5)}) AS s FROM item_words),
+sizes AS (SELECT item_id, count(*) AS n FROM item_sets GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n)::DOUBLE AS containment
+FROM sets JOIN item_sets USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": OP5_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
 }
