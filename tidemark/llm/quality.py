@@ -34,8 +34,8 @@ BITS = 18
 GRADES = 3
 SAMPLE = 20_000
 MIN_DOCS = 4
-SIGNAL = 6.0
-KEEP = 0.6
+SIGNAL = 4.0
+KEEP = 0.65
 _SHAPES = 1 << 12
 
 PREFIXES = (4, 6)
