@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lm, media, near_dedup, quality, suffix_dedup
+from tidemark.llm import chat, decontaminate, lm, media, near_dedup, quality, segmentation, suffix_dedup, token_counts
 from tidemark.llm.common import LOWER, UPPER, table
 
 
@@ -13,6 +13,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_digests(suffix_dedup.removed_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.graded(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
@@ -26,6 +30,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.NearDedup(width=3, percent=85).run(table(spark, sf_dir, "documents"))
 
 
+def op7_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmentation.decoded(segmentation.encoded(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "sample", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.to_json("pieces"), 256).alias("pieces_sha256"), "log_prob", "perturbed", "inclusion", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -42,9 +51,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_sampled_segmentation": op7_sampled_segmentation,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_media_columns": op10_media_columns,
