@@ -1,12 +1,61 @@
-"""The corpus pipeline: five stages over `documents`, each written and read again by whoever runs them one by one."""
+"""The corpus pipeline: five stages over `documents`, each of which can be written and read again by whoever runs them.
+
+Every stage but the last returns the columns of documents. A null text is empty to every
+stage; rows with a null doc_id are graded like others and pass the stages that compare
+documents by id unchanged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate, near_dedup, quality, segmentation, suffix_dedup
 from tidemark.llm.common import table, written
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that counts as a repeat here: 50 words have 200 bytes or more in any language with spaces.
+PASSAGE_BYTES = 200
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that the classifier rejects go."""
+    model = quality.trained(docs, table(spark, sf_dir, "labels"))
+    kept = quality.graded(docs.filter("doc_id is not null"), model).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS).unionAll(docs.filter("doc_id is null").select(COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of near-duplicates the document with the smallest id stays (five words, 0.8)."""
+    gone = near_dedup.NearDedup(width=5, percent=80).run(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: passages that a document with a smaller id holds are cut out; texts change, no document goes."""
+    spans = suffix_dedup.removed_spans(docs, length=PASSAGE_BYTES, gram=32)
+    kept = suffix_dedup.kept_texts(spans).filter("n_removed > 0").select("doc_id", F.col("text").alias("kept_text")).dropDuplicates(["doc_id"])
+    text = F.coalesce("kept_text", "text")
+    return docs.join(kept, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: sampled piece encodings of what is left, for training."""
+    return segmentation.encoded(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("minhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("benchmark_decontamination", decontamination),
+    ("sentencepiece_encoding", segmentations),
+]
 
 #: SQL cannot express these stages; tests compare them with brute force.
 ORACLE_SQL = None

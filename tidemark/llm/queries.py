@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lm, media, near_dedup, quality, segmentation, suffix_dedup, token_counts
+from tidemark.llm import chat, decontaminate, html, lm, media, near_dedup, quality, segmentation, suffix_dedup, token_counts
 from tidemark.llm.common import LOWER, UPPER, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.trained(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_digests(suffix_dedup.removed_spans(table(spark, sf_dir, "documents")))
 
@@ -50,6 +55,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,

@@ -97,7 +97,7 @@ class Lattices:
         distance = np.zeros(nodes, np.int64)
         distance[node] = after - np.arange(len(letters))
         far = distance[start]
-        by_far = np.argsort(far, kind="stable")
+        by_far = np.argsort(far.astype(np.int16) if len(far) and far.max() < 1 << 15 else far, kind="stable")
         cuts = np.searchsorted(far[by_far], np.arange(1, (far.max() if len(far) else 0) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_far[a:b]
