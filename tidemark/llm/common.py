@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Letters that the contracts lower-case, and the bytes that separate words.
@@ -61,10 +62,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
 
 
 def byte_ends(column: pa.Array) -> np.ndarray:
-    """Cumulative byte lengths of a string or binary column; a null counts as empty."""
+    """Cumulative byte lengths of a column of strings, bytes or lists of 32-bit numbers; a null counts as empty."""
     import pyarrow.compute as pc
 
-    return np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+    return np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +134,8 @@ def all_word_hashes(values: list[bytes], chunk: int = 1 << 17) -> tuple[np.ndarr
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def crc(x: object) -> int:
-    return zlib.crc32(str(x).encode())
-
-
-def held_out(id_col: str) -> Column:
-    """True where crc32 of the id as text leaves the remainder 0 by 10."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0
+def trimmed() -> None:
+    """Gives memory that a finished group no longer needs back to the machine; a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import texts, trimmed
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 SENT = "digit int, batch int, base long, keys binary, low binary, more binary"
 REPLY = "batch int, step int, places binary, answers binary"
 NULL_ID = np.iinfo(np.int64).max  # an unknown id counts as the largest
@@ -140,6 +140,8 @@ def resolved(sent: DataFrame, step: int, answer: Answer = several, words: int =
             if len(mine):
                 out.append((batch, step, packed(mine + base), packed(what[at : at + n][mine])))
             at += n
+        del order, fresh, group, yes, what, keys, columns, low, low_all, more
+        trimmed()
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["batch", "step", "places", "answers"])
 

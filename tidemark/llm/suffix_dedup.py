@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import mixed, powers
+from tidemark.llm.common import mixed, powers, trimmed
 
 LENGTH = 50
 GRAM = 16
@@ -212,7 +212,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def emitted(key, part, replies, step):
         p = Passes(part, replies, length, gram, step)
-        return ex.send_range(key[0].as_py(), n, p.keys, p.ids)
+        sent = ex.send_range(key[0].as_py(), n, p.keys, p.ids)
+        del p
+        trimmed()
+        return sent
 
     def emit_first(key, part):
         return emitted(key, part, None, 1)
@@ -239,6 +242,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             starts.append(a - heads[doc])
             stops.append(b - heads[doc])
             sizes.append(np.bincount(doc, minlength=len(piece.ends)))
+        del p
+        trimmed()
         part = ex.ordered(part)
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else np.zeros(1, np.int32)
         arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())) for x in (starts, stops)]
