@@ -1,11 +1,139 @@
-"""Names, callables and oracle SQL of the candle queries."""
+"""The registered candle queries: names and callables. Their SQL is in `oracle`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.config import FAST, TIMEFRAMES, TRADE, TREND, Timeframe, timeframe_config
+from tidemark.functions import indicators as ind
+from tidemark.operators import metrics as met
+from tidemark.operators import scan, signals
+from tidemark.operators.states import last_rows, with_states
+from tidemark.plans import oracle
+from tidemark.sources import bars as src
 
-def oracle_sql() -> dict:
-    return {}
+#: Quote volume a day that lets some of the event types pass and some not.
+MIN_QUOTE_VOLUME = oracle.MIN_QUOTE_VOLUME
+DAILY = Timeframe("1d", src.DAY_MS, 100, 14, 1.03, 20, 0)
+WEEKLY = Timeframe("7d", 7 * src.DAY_MS, 200, 14, 1.02, 24, 0)
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    return src.event_ticks(spark, d)
+
+
+def _bars(spark: SparkSession, d: str, t: Timeframe) -> DataFrame:
+    return src.resample(_ticks(spark, d), t.timeframe, t.ms)
+
+
+def _all_bars(spark: SparkSession, d: str) -> DataFrame:
+    return src.resample_all(_ticks(spark, d), TIMEFRAMES)
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    return with_states(_all_bars(spark, d))
+
+
+def _trade_states(spark: SparkSession, d: str) -> DataFrame:
+    return with_states(_bars(spark, d, TRADE))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("symbol", "ts_ms", *(F.round(c, 6).alias(c) for c in columns))
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    return src.liquid(src.universe(src.event_markets(spark, d)), src.tickers(_ticks(spark, d)), MIN_QUOTE_VOLUME)
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    return scan.latest_states(_all_bars(spark, d), _gated(spark, d))
+
+
+def _scan_states(spark: SparkSession, d: str) -> DataFrame:
+    return scan.scan_states(_scanned(spark, d)).withColumn("quote_volume", F.round("quote_volume", 4))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    return signals.aligned_states(_states(spark, d))
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    return signals.signals(signals.with_next_bars(_aligned(spark, d)))
+
+
+def _trades(spark: SparkSession, d: str) -> DataFrame:
+    return signals.evaluate(_states(spark, d))
+
+
+def _price_digits(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("entry", "exit_price")})
+
+
+def _supplier_bars(spark: SparkSession, d: str) -> DataFrame:
+    daily = src.resample(src.lineitem_ticks(spark, d), DAILY.timeframe, DAILY.ms)
+    return daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms))
+
+
+def _supplier_scan(spark: SparkSession, d: str) -> DataFrame:
+    ticks = src.lineitem_ticks(spark, d)
+    gated = src.liquid(src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, 365 * src.DAY_MS), 0)
+    states = scan.latest_states(_supplier_bars(spark, d), gated, (DAILY, DAILY, WEEKLY))
+    return scan.scan_states(states).withColumn("quote_volume", F.round("quote_volume", 4))
+
+
+def _read_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
+    """The newest bars of every series, by each timeframe's own number of candles."""
+    bars, config = src.unique_bars(_all_bars(spark, d)), F.broadcast(timeframe_config(spark))
+    return src.latest(bars.join(config, "timeframe"), F.col("candles")).select("symbol", "timeframe", "ts_ms", "open", "high", "low", "close", "volume")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "bars_5m": lambda s, d: _bars(s, d, FAST),
+    "bars_15m": lambda s, d: _bars(s, d, TRADE),
+    "bars_1h": lambda s, d: _bars(s, d, TREND),
+    "latest_n_bars": _read_by_timeframe,
+    "config_join": lambda s, d: _all_bars(s, d).groupBy("timeframe").agg(F.count("*").alias("n_bars")).join(F.broadcast(timeframe_config(s)), "timeframe"),
+    "universe": lambda s, d: src.universe(src.event_markets(s, d)),
+    "liquid_universe": lambda s, d: _gated(s, d).withColumn("quote_volume", F.round("quote_volume", 4)),
+    "ema_20_50": lambda s, d: _rounded(_trade_states(s, d), "ema_fast", "ema_slow"),
+    "true_range": lambda s, d: _rounded(ind.numbered(_bars(s, d, TRADE)).withColumn("tr", ind.true_range()), "tr"),
+    "atr_14": lambda s, d: _rounded(_trade_states(s, d), "atr"),
+    "directional_movement": lambda s, d: _rounded(ind.directional_movement(_bars(s, d, TRADE)), "plus_dm", "minus_dm"),
+    "adx_14": lambda s, d: _rounded(_trade_states(s, d), "adx"),
+    "ema_slope": lambda s, d: _rounded(_trade_states(s, d), "ema_slope"),
+    "trend_bias": lambda s, d: _states(s, d).filter(F.col("timeframe") == TREND.timeframe).select("symbol", "ts_ms", "trend"),
+    "trade_direction": lambda s, d: _trade_states(s, d).select("symbol", "ts_ms", "direction"),
+    "momentum": lambda s, d: with_states(_bars(s, d, FAST)).select("symbol", "ts_ms", "momentum"),
+    "latest_momentum": lambda s, d: last_rows(with_states(_bars(s, d, FAST))).select("symbol", "ts_ms", "momentum", F.col("n").alias("n_bars")),
+    "atr_expanding": lambda s, d: _trade_states(s, d).select("symbol", "ts_ms", ind.atr_expanding(TRADE.atr_expansion, TRADE.atr_period).alias("atr_ok")),
+    "volume_above_avg": lambda s, d: _trade_states(s, d).select("symbol", "ts_ms", ind.volume_above_average(TRADE.volume_lookback).alias("vol_ok")),
+    "scan_states": _scan_states,
+    "scan_tradeable": lambda s, d: scan.tradeable(_scan_states(s, d)),
+    "scan_hit_count": lambda s, d: scan.tradeable(_scan_states(s, d)).agg(F.count("*").alias("hits")),
+    "scan_errors": lambda s, d: scan.scan_errors(_scanned(s, d)),
+    "state_labels": lambda s, d: scan.state_labels(_scan_states(s, d)),
+    "asof_states": lambda s, d: _aligned(s, d).select("symbol", "ts_ms", "trend", "direction", "momentum"),
+    "signals": lambda s, d: _signals(s, d).select("symbol", "side", "ts_ms", "entry_ts", F.round("entry", 6).alias("entry"), F.round("atr", 6).alias("atr")),
+    "forward_bars": lambda s, d: _signals(s, d).select("symbol", "ts_ms", F.posexplode("ahead").alias("k", "bar")).select("symbol", "ts_ms", F.col("k").cast("long").alias("k"), F.col("bar.ts_ms").alias("bar_ts"), "bar.high", "bar.low"),
+    "first_touch": lambda s, d: signals.first_touch(_signals(s, d)).select("symbol", "side", "entry_ts", "exit_ts", "exit_reason", *(F.round(c, 6).alias(c) for c in ("sl", "tp", "exit_price"))),
+    "trades": lambda s, d: _price_digits(_trades(s, d)),
+    "equity_curve": lambda s, d: met.equity_curve(_trades(s, d)).select("grp", "symbol", "entry_ts", "pnl", *(F.round(c, 6).alias(c) for c in ("equity", "peak", "drawdown"))),
+    "metrics_by_side": lambda s, d: met.metrics(_trades(s, d)),
+    "metrics_empty": lambda s, d: met.metrics(_trades(s, d).filter("side = 'NEITHER'")),
+    "metrics_report": lambda s, d: met.metrics_report(met.metrics(_trades(s, d))),
+    "trade_report": lambda s, d: _price_digits(met.trade_report(_trades(s, d))),
+    "supplier_bars": lambda s, d: _supplier_bars(s, d).select("symbol", "timeframe", "ts_ms", "open", "high", "low", "close", "volume"),
+    "supplier_scan_states": _supplier_scan,
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.queries()
