@@ -6,10 +6,14 @@
    smallest member first (one pair a member, never all pairs). Signatures are compared in
    batches; a pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold falls under `miss`; survivors are confirmed on the full sets.
-3. Buckets whose members lie in one component are settled. In the others a member can only
+3. Buckets whose members lie in one component are settled. In the others members are compared
+   within classes of nearly equal size, again with the smallest of each class, and these
+   with those of the next two classes (linear in the bucket).
+4. What is still open is settled exactly: a member can only
    link with what shares enough of its set: with u shingles that no other open member
    holds, a set of n meets any other in n - u at most, which bounds the sizes of possible
-   partners. Pairs within both bounds and in different components are verified likewise.
+   partners. Pairs within both bounds, in different components, and not yet ruled out by
+   their signatures (which the join itself compares) are verified likewise.
 
 Band counts follow from the threshold so that a link at the threshold is missed with
 probability `miss` at most (sets far above it practically never). Texts with fewer words
@@ -27,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
@@ -36,6 +40,8 @@ from tidemark.llm.components import components
 
 ROWS = 5
 BATCH = 25
+#: places of the signatures that open members are compared by
+LONG = 1024
 MISS = 1e-6
 
 
@@ -84,33 +90,54 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-@lru_cache(8)
-def fewest_matches(threshold: float, n: int, miss: float) -> tuple[int, ...]:
-    """For 0..n compared bytes of a signature: the fewest matches at which the posterior of reaching the threshold is `miss` or more (uniform prior)."""
+@lru_cache(64)
+def fewest_matches(threshold: float, n: int, miss: float, values: int = 256) -> int:
+    """Of n compared places of a signature that keeps so many values of each: the fewest matches at which the posterior of reaching the threshold is `miss` or more (uniform prior)."""
     similarity = np.linspace(0, 1, 4001)
-    match = similarity + (1 - similarity) / 256
-    out = []
+    match = similarity + (1 - similarity) / values
     with np.errstate(divide="ignore"):
         yes, no = np.log(match), np.log1p(-match)
     no[-1] = -1e9
-    for seen in range(n + 1):
-        for m in range(seen + 1):
-            weight = m * yes + (seen - m) * no
-            weight = np.exp(weight - weight.max())
-            if weight[similarity >= threshold].sum() / weight.sum() >= miss:
-                break
-        out.append(m)
-    return tuple(out)
+
+    def posterior(m: int) -> float:
+        weight = m * yes + (n - m) * no
+        weight = np.exp(weight - weight.max())
+        return weight[similarity >= threshold].sum() / weight.sum()
+
+    low, high = 0, n
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if posterior(middle) >= miss else (middle + 1, high)
+    return low
+
+
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """The low four bits of each place, sixteen to a 64-bit number."""
+    low = np.zeros((len(signature), -(-signature.shape[1] // 16) * 16), np.uint64)
+    low[:, : signature.shape[1]] = signature & np.uint32(15)
+    return np.bitwise_or.reduce(low.reshape(len(low), -1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=2).view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many places two nibble signatures differ, as a Spark expression."""
+
+    def places(x: Column, y: Column) -> Column:
+        x = x.bitwiseXOR(y)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, places), F.lit(0), lambda total, x: total + x)
 
 
 def plausible(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
     """Which rows of two byte-signature matrices stay after all batches."""
     n = left.shape[1]
-    least, alive, matches = fewest_matches(threshold, n, miss), np.arange(len(left)), np.zeros(len(left), np.int64)
+    alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
     for at in range(0, n, BATCH):
         stop = min(n, at + BATCH)
         matches[alive] += (left[alive, at:stop] == right[alive, at:stop]).sum(axis=1)
-        alive = alive[matches[alive] >= least[stop]]
+        alive = alive[matches[alive] >= fewest_matches(threshold, stop, miss)]
     keep = np.zeros(len(left), bool)
     keep[alive] = True
     return keep
@@ -198,6 +225,19 @@ class NearDedup:
         told = ex.resolved(asked.applyInArrow(emit, ex.SENT), 1)
         return asked.cogroup(told.groupBy("batch")).applyInArrow(close, "rep long, shared long")
 
+    def long_signatures(self, members: DataFrame) -> DataFrame:
+        """(rep, nibbles): signatures of LONG places, of four bits each."""
+        width = self.width
+
+        def run(batches):
+            for b in slices(batches, "text", 1 << 17):
+                hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
+                found = nibbles(signatures(hashes, counts, LONG))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * found.shape[1], pa.int32()), pa.array(found.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column("rep"), lists], ["rep", "nibbles"])
+
+        return members.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(run, "rep long, nibbles array<long>")
+
     def links(self, sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, rep) of all rows, and all links (a, b) among representatives that components need."""
         full = sketches.filter("n > 0 and doc_id is not null")
@@ -213,20 +253,40 @@ class NearDedup:
             "members",
         )
         first = written(self.verified(buckets.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), members), "links")
-        found = components(first)
-        labelled = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "center", F.coalesce("component", "rep").alias("component"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        opened = written(labelled.join(mixed_keys, "key", "left_semi"), "open")
+        labelled = self._labelled(buckets, components(first))
+        opened = written(self._open(labelled).join(members.select("rep", "n").distinct(), "rep"), "open")
+        # sizes within a few percent: a star in each size class, and a chain of the stars' centers
+        classed = opened.withColumn("size", F.floor(F.log("n") / math.log1p((100 - self.percent) / 200)))
+        stars = classed.groupBy("key", "size").agg(F.min("rep").alias("star"))
+        to_star = classed.join(stars, ["key", "size"]).select(F.col("star").alias("a"), F.col("rep").alias("b"))
+        other = stars.select("key", "size", F.col("star").alias("b"))
+        chain = stars.select("key", F.explode(F.array(F.col("size") + 1, F.col("size") + 2)).alias("size"), F.col("star").alias("a")).join(other, ["key", "size"]).select("a", "b")
+        more = to_star.unionAll(chain).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        first = first.unionAll(written(self.verified(more, members), "links"))
+        opened = written(self._open(self._labelled(buckets, components(first))), "open")
         sizes = self.shared_sizes(members.join(opened.select("rep").distinct(), "rep", "left_semi")).join(members.select("rep", "n").distinct(), "rep")
         # |x & y| <= shared, and the similarity is |x & y| / (n_x + n_y - |x & y|)
         reach = F.floor(F.col("shared") * (100 + self.percent) / self.percent) - F.col("n")
         bounds = sizes.withColumn("most", reach).withColumn("least", F.ceil(F.col("n") * self.percent / 100)).filter("least <= most").select("rep", "n", "least", "most")
-        some = opened.join(bounds, "rep")
-        x, y = (some.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "center", "component", "n", "least", "most"))) for s in "xy")
-        near = x.join(y, "key").filter("rep_x < rep_y and component_x <> component_y and n_y between least_x and most_x and n_x between least_y and most_y and rep_x <> center_x")
-        second = self.verified(near.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), members)
+        some = opened.join(bounds, "rep").join(self.long_signatures(members.join(bounds, "rep", "left_semi")), "rep").join(opened.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep")
+        x, y = (some.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "center", "component", "n", "least", "most", "nibbles", "keys"))) for s in "xy")
+        alike = differing(F.col("nibbles_x"), F.col("nibbles_y")) <= LONG - fewest_matches(self.percent / 100, LONG, self.miss, 16)
+        once = F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"]  # a pair counts in one of its buckets
+        sizes_fit = F.expr("rep_x < rep_y and component_x <> component_y and n_y between least_x and most_x and n_x between least_y and most_y and rep_x <> center_x")
+        near = x.join(y, (x["key"] == y["key"]) & sizes_fit & alike & once)
+        second = self.verified(near.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), members)
         return membership, first.unionAll(written(second, "links"))
 
+    @staticmethod
+    def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
+        return buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "center", F.coalesce("component", "rep").alias("component"))
+
+    @staticmethod
+    def _open(labelled: DataFrame) -> DataFrame:
+        """The rows of buckets whose members lie in several components."""
+        several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+        return labelled.join(several, "key", "left_semi")
+
     def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
         docs = texts(docs, id_col, text_col)
