@@ -21,7 +21,7 @@ from tidemark.llm.common import texts, trimmed
 
 BATCH_BYTES = 2 << 20
 SENT = "digit int, batch int, base long, keys binary, low binary, more binary"
-REPLY = "batch int, step int, places binary, answers binary"
+REPLY = "batch int, step int, base long, told binary, answers binary"
 NULL_ID = np.iinfo(np.int64).max  # an unknown id counts as the largest
 
 
@@ -79,26 +79,45 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<i8") + base
 
 
-def send(batch: int, digits: int, keys: tuple[np.ndarray, ...], low: np.ndarray, more: np.ndarray) -> pa.Table:
-    """Packed rows of a batch's distinct, sorted keys with two numbers for each."""
+Widths = tuple[int, ...]
+
+
+def shortened(key: np.ndarray, width: int) -> bytes:
+    """The leading `width` bytes of each uint64."""
+    return (key >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def send(batch: int, digits: int, keys: tuple[np.ndarray, ...], low: np.ndarray, more: np.ndarray, widths: Widths = (8,)) -> pa.Table:
+    """Packed rows of a batch's distinct, sorted keys with two numbers for each. widths: leading bytes of each key number that count."""
     cuts = np.searchsorted(digit_of(keys[0], digits), np.arange(digits + 1, dtype=np.uint64))
     rows = []
     for d in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[d], cuts[d + 1]
-        rows.append((int(d), batch, int(a), b"".join(k[a:b].tobytes() for k in keys), packed(low[a:b]), packed(more[a:b] - low[a:b])))
+        rows.append((int(d), batch, int(a), b"".join(shortened(k[a:b], w) for k, w in zip(keys, widths, strict=True)), packed(low[a:b]), packed(more[a:b] - low[a:b])))
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     names = ["digit", "batch", "base", "keys", "low", "more"]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def send_range(batch: int, digits: int, keys: tuple[np.ndarray, ...], values: np.ndarray) -> pa.Table:
+def keys_of(data: bytes, widths: Widths) -> list[np.ndarray]:
+    """What send() has packed: one uint64 array for each number of the keys."""
+    n, at, out = len(data) // sum(widths), 0, []
+    for w in widths:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = np.frombuffer(data, np.uint8, n * w, at).reshape(n, w)
+        out.append(wide.reshape(-1).view("<u8"))
+        at += n * w
+    return out
+
+
+def send_range(batch: int, digits: int, keys: tuple[np.ndarray, ...], values: np.ndarray, widths: Widths = (8,)) -> pa.Table:
     """send() of the smallest and largest value that each key occurs with."""
     order, fresh = distinct(keys)
     first = np.flatnonzero(fresh)
     if not len(first):
-        return send(batch, digits, keys, values, values)
+        return send(batch, digits, keys, values, values, widths)
     v = values[order]
-    return send(batch, digits, tuple(k[order[first]] for k in keys), np.minimum.reduceat(v, first), np.maximum.reduceat(v, first))
+    return send(batch, digits, tuple(k[order[first]] for k in keys), np.minimum.reduceat(v, first), np.maximum.reduceat(v, first), widths)
 
 
 Answer = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -117,17 +136,17 @@ def total(low: np.ndarray, high: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     return np.diff(np.append(start, len(group))) > 1, np.add.reduceat(low, start)
 
 
-def resolved(sent: DataFrame, step: int, answer: Answer = several, words: int = 1) -> DataFrame:
-    """For each batch, the places of its keys that have an answer, and the answers. words: uint64 numbers a key."""
+def resolved(sent: DataFrame, step: int, answer: Answer = several, widths: Widths = (8,), answered: bool = True) -> DataFrame:
+    """For each batch, which of its keys have an answer (bits) and, if `answered`, the answers."""
 
     def run(part: pa.Table) -> pa.Table:
         counts, keys, low, more = [], [], [], []
         for k, a, b in zip(part.column("keys").to_pylist(), part.column("low").to_pylist(), part.column("more").to_pylist(), strict=True):
-            keys.append(np.frombuffer(k, np.uint64).reshape(words, -1))
+            keys.append(keys_of(k, widths))
             low.append(unpacked(a))
             more.append(unpacked(b))
-            counts.append(keys[-1].shape[1])
-        columns = tuple(np.concatenate([k[w] for k in keys]) for w in range(words))
+            counts.append(len(low[-1]))
+        columns = tuple(np.concatenate([k[w] for k in keys]) for w in range(len(widths)))
         low_all = np.concatenate(low)
         order, fresh = distinct(columns)
         group = np.cumsum(fresh) - 1
@@ -136,23 +155,23 @@ def resolved(sent: DataFrame, step: int, answer: Answer = several, words: int =
         yes[order], what[order] = told[group], value[group]
         out, at = [], 0
         for n, batch, base in zip(counts, part.column("batch").to_pylist(), part.column("base").to_pylist(), strict=True):
-            mine = np.flatnonzero(yes[at : at + n])
-            if len(mine):
-                out.append((batch, step, packed(mine + base), packed(what[at : at + n][mine])))
+            mine = yes[at : at + n]
+            if mine.any():
+                out.append((batch, step, base, np.packbits(mine).tobytes(), packed(what[at : at + n][mine]) if answered else None))
             at += n
         del order, fresh, group, yes, what, keys, columns, low, low_all, more
         trimmed()
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["batch", "step", "places", "answers"])
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["batch", "step", "base", "told", "answers"])
 
     return sent.groupBy("digit").applyInArrow(run, REPLY)
 
 
 def answers(replies: pa.Table, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, answers) of one step from the replies to a batch."""
+    """(places, answers) of one step from the replies to a batch; without answers these are 0."""
     places, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, p, a in zip(replies.column("step").to_pylist(), replies.column("places").to_pylist(), replies.column("answers").to_pylist(), strict=True):
+    for s, base, told, a in zip(*(replies.column(c).to_pylist() for c in ("step", "base", "told", "answers")), strict=True):
         if s == step:
-            places.append(unpacked(p))
-            values.append(unpacked(a))
+            places.append(np.flatnonzero(np.unpackbits(np.frombuffer(told, np.uint8))) + base)
+            values.append(unpacked(a) if a is not None else np.zeros(len(places[-1]), np.int64))
     return np.concatenate(places), np.concatenate(values)

@@ -222,7 +222,7 @@ class NearDedup:
             return pa.table({"rep": pa.array(found, pa.int64()), "shared": pa.array(shared, pa.int64())})
 
         asked = parts.groupBy("batch")
-        told = ex.resolved(asked.applyInArrow(emit, ex.SENT), 1)
+        told = ex.resolved(asked.applyInArrow(emit, ex.SENT), 1, answered=False)
         return asked.cogroup(told.groupBy("batch")).applyInArrow(close, "rep long, shared long")
 
     def long_signatures(self, members: DataFrame) -> DataFrame:

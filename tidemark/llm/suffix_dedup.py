@@ -16,8 +16,8 @@ several documents.
 * Pass 4 splits the runs that are left (those at the edge of a repeat) into windows.
 
 The passes deal packed keys out by their leading digit (see `exchange`): a hot passage
-costs one key per batch of documents. Grams and halves are compared as 64-bit hashes, which can
-only let a group through to the next pass; runs and windows are compared as 128-bit hashes.
+costs one key per batch of documents. Grams and halves are compared as 48-bit hashes, which can
+only let a group through to the next pass; runs and windows are compared as 96-bit hashes.
 
 A byte is removed when a window that covers it also starts in a document with a smaller
 id, judged on the input. Nulls: a null text is empty; a null id counts as the largest,
@@ -41,6 +41,8 @@ from tidemark.llm.common import mixed, powers, trimmed
 LENGTH = 50
 GRAM = 16
 CHUNK_BYTES = 1 << 17
+#: bytes of the key hashes of each pass; passes 1 and 3 only sort out, passes 2 and 4 decide
+WIDTHS = {1: (6,), 2: (8, 4), 3: (6,), 4: (8, 4)}
 
 
 class Chunk:
@@ -212,7 +214,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def emitted(key, part, replies, step):
         p = Passes(part, replies, length, gram, step)
-        sent = ex.send_range(key[0].as_py(), n, p.keys, p.ids)
+        sent = ex.send_range(key[0].as_py(), n, p.keys, p.ids, WIDTHS[step])
         del p
         trimmed()
         return sent
@@ -251,12 +253,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = dict(parts.dtypes)["doc_id"]
     asked = parts.groupBy("batch")
-    one = ex.resolved(asked.applyInArrow(emit_first, ex.SENT), 1)
-    two = ex.resolved(asked.cogroup(one.groupBy("batch")).applyInArrow(emit(2), ex.SENT), 2, words=2)
+    one = ex.resolved(asked.applyInArrow(emit_first, ex.SENT), 1, widths=WIDTHS[1], answered=False)
+    two = ex.resolved(asked.cogroup(one.groupBy("batch")).applyInArrow(emit(2), ex.SENT), 2, widths=WIDTHS[2])
     told = one.unionAll(two)
-    three = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(3), ex.SENT), 3)
+    three = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(3), ex.SENT), 3, widths=WIDTHS[3], answered=False)
     told = told.unionAll(three)
-    four = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(4), ex.SENT), 4, words=2)
+    four = ex.resolved(asked.cogroup(told.groupBy("batch")).applyInArrow(emit(4), ex.SENT), 4, widths=WIDTHS[4])
     return asked.cogroup(told.unionAll(four).groupBy("batch")).applyInArrow(close, f"doc_id {kind}, text string, starts array<long>, stops array<long>")
 
 
