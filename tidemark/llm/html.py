@@ -37,6 +37,8 @@ from tidemark.llm.common import slices
 PATHS, WORDS, NUMBERS = 1024, 1024, 6
 WIDTH, HIDDEN = 12, 12
 SAMPLE = 240
+#: open elements that a block's path names at most, the outermost and the innermost
+DEEP = 32
 
 # Fixed values of HTML: elements that begin and end a block, that hold no text, that have no end, and that end an open one.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe input legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -51,7 +53,7 @@ POSITIVE = frozenset("article main".split())
 NEGATIVE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 NEGATIVE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar warning widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*=?\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']*))", re.I)
 _NAME = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -85,7 +87,8 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                out.append(Block(tuple(n for _, n in stack), text, linked))
+                held = stack if len(stack) <= DEEP else [*stack[: DEEP // 2], *stack[-DEEP // 2 :]]
+                out.append(Block(tuple(n for _, n in held), text, linked))
             pieces, linked = [], 0
 
     def pop(to: int) -> None:
