@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import mixed, slices, texts
+from tidemark.llm.common import mixed, slices, texts, trimmed
 from tidemark.llm.pieces import DEFAULT_MODEL, Vocabulary, pretokens, vocabulary
 
 SAMPLES = 2
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 @lru_cache(2)
@@ -85,17 +85,19 @@ class Lattices:
         starts.append(node[bare])
         ends.append(node[bare] + 1)
         pieces.append(-letters[bare] - 1)  # spelled out later
-        spell = {c: len(vocab.fallback(chr(c))) for c in np.unique(letters[bare])}
-        weights.append(np.array([spell[c] for c in letters[bare]]) * vocab.byte_score)
+        some_letters = letters[bare]
+        spell = {c: len(vocab.fallback(chr(c))) for c in np.unique(some_letters)}
+        weights.append(np.array([spell[c] for c in some_letters], float) * vocab.byte_score)
         start, self.end, self.piece, weight = (np.concatenate(x) for x in (starts, ends, pieces, weights))
         order = np.argsort(start, kind="stable")
         start, self.end, self.piece, weight = start[order], self.end[order], self.piece[order], weight[order]
-        self.start, nodes = start, len(letters) + len(words)
+        del order, starts, ends, pieces, weights, letters, single
+        self.start, nodes = start, len(after) + len(words)
         self.offset = np.searchsorted(start, np.arange(nodes + 1))
         # backward sums, by the distance of a node from its word's end
         self.mass = np.zeros(nodes)
         distance = np.zeros(nodes, np.int64)
-        distance[node] = after - np.arange(len(letters))
+        distance[node] = after - np.arange(len(after))
         far = distance[start]
         by_far = np.argsort(far.astype(np.int16) if len(far) and far.max() < 1 << 15 else far, kind="stable")
         cuts = np.searchsorted(far[by_far], np.arange(1, (far.max() if len(far) else 0) + 2))
@@ -280,6 +282,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends] if len(ends) else [0], pa.int32()), pa.array(flat, pa.int32()))
                 columns = [b.column("doc_id").take(pa.array(o["docs"])), pa.array(np.full(len(o["docs"]), j), pa.int32()), lists, pa.array(o["log_prob"]), pa.array(o["perturbed"]), pa.array(inclusion)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sample", "pieces", "log_prob", "perturbed", "inclusion"])
+                del flat, lists, columns, o
+            del s
+            trimmed()
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {OUT}")
 
