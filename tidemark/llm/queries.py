@@ -37,7 +37,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segmentation.decoded(segmentation.encoded(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "sample", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.to_json("pieces"), 256).alias("pieces_sha256"), "log_prob", "perturbed", "inclusion", F.sha2("text", 256).alias("text_sha256"))
+    return found.select("doc_id", "sample", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "log_prob", "perturbed", "inclusion", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

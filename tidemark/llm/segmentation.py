@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import mixed, slices, texts, trimmed
@@ -293,9 +294,14 @@ def decoded(samples: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """Adds `text`, the text of each row's pieces, to (doc_id, sample, pieces, log_prob, perturbed, inclusion)."""
 
     def run(batches):
-        vocab = vocabulary(model)
+        spelled = pa.array(vocabulary(model).spelled, pa.binary())
         for b in slices(batches, "pieces", 4 << 20):
-            found = [vocab.decode(p or []) for p in b.column("pieces").to_pylist()]
+            lists = b.column("pieces")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            pieces = spelled.take(lists.flatten())  # the bytes of all rows end to end
+            cuts = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(sizes)])]
+            data = pieces.buffers()[2].to_pybytes() if len(pieces) else b""
+            found = [data[x:y].decode("utf-8", "replace") for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "text"])
 
     kind = dict(samples.dtypes)["doc_id"]
