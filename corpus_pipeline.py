@@ -14,8 +14,8 @@ from tidemark.llm import decontaminate, near_dedup, quality, segmentation, suffi
 from tidemark.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a passage that counts as a repeat here: 50 words have 200 bytes or more in any language with spaces.
-PASSAGE_BYTES = 200
+#: Bytes of a passage that counts as a repeat here: the fewest that 50 words can have, 50 of one byte and 49 separators.
+PASSAGE_BYTES = 99
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

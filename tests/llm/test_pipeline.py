@@ -41,3 +41,13 @@ def test_pipeline_on_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_repeats_of_fifty_short_words(spark):
+    passages = [" ".join(chr(97 + (k * k + j) % 26) for k in range(50)) for j in range(2)] + [" ".join(str(k % 7 * 11 + j) for k in range(51)) for j in (10, 20)]
+    rows = [(2 * j + k, f"{k}{own} {p} {own}{k}", "en", "s", 0) for j, p in enumerate(passages) for k, own in enumerate(("first", "second"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(len(p) < 200 and len(p.split()) >= 50 for p in passages)
+    kept = {r.doc_id: r.text for r in cp.repeated_passages(spark, docs, "").collect()}
+    for j, p in enumerate(passages):
+        assert p in kept[2 * j] and len(kept[2 * j + 1]) < 20
