@@ -395,5 +395,29 @@ def test_html_extraction(spark):
     assert html.extracted(pages.limit(0), html.trained(pages.limit(0))).count() == 0
 
 
+def test_html_deep_wrappers(spark):
+    block = lambda path: html.Block(tuple(path.split(">")), "same text", 0)
+    one, two = html.vectors([block(f"body>{wrap}>div>div>ul>li>div>p>a") for wrap in ("aside", "article")])[0]
+    assert one != two
+    assert html.vectors([block("div a b c d e f g h i comments")])[0] != html.vectors([block("div a b c d e f g h i")])[0]
+    assert "comments" in html.blocks("<div class='a b c d e f g h i comments'>x")[0].path[0]
+    model = html.trained(spark.read.parquet(f"{DATA}/sf0.01/pages.parquet"))
+    body = "".join(f"<p>Sentence {k} of the main text that goes on for a while, and more.</p>" for k in range(5))
+    deep = lambda wrap, inside: f"<{wrap}><div><div><ul><li><div><section><div>{inside}</div></section></div></li></ul></div></div></{wrap.split()[0]}>"
+    page = f"<html><body>{deep('nav', '<p><a href=x>Home page</a></p>')}{deep('article', body)}{deep('aside', '<p><a href=y>Some other story that is told elsewhere</a></p>')}{deep('div class=comments', '<p>What a nice story, thank you.</p>')}</body></html>"
+    assert model.main_text([html.blocks(page)])[0].split("\n") == [f"Sentence {k} of the main text that goes on for a while, and more." for k in range(5)]
+
+
+def test_html_trains_on_distinct_whole_pages(spark, monkeypatch):
+    long = "<article>" + "<p>some words</p>" * 450 + "<p>" + "word " * 45000 + "</p></article><footer>end</footer>"
+    short = [f"<article><p>text {k}</p></article><footer>end</footer>" for k in range(3)]
+    seen, varied = [], html.varied
+    monkeypatch.setattr(html, "varied", lambda page, r: seen.append(len(page)) or varied(page, r))
+    monkeypatch.setattr(html.Labeller, "fit", lambda self, pages, targets: 0.0)
+    pages = spark.createDataFrame([(p,) for p in [short[0]] * 20 + short[1:] + [long]], "html string")
+    html.trained(pages, sample=4)
+    assert sorted(seen) == [2] * 9 + [452] * 3
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))

@@ -1,16 +1,16 @@
 """Operator 1: main text of web pages by a recurrent block labeller.
 
 A page is cut into blocks, the leaf sequences of text between block-level tags. Each block
-has a tag path (the open elements with their class, id and role words) and words; both
-are hashed into vectors with learned embeddings. A bidirectional LSTM in numpy reads all
+has a tag path (the open elements with all their class, id and role words; beyond DEEP
+elements, the outermost and innermost) and words; both are hashed into vectors with learned embeddings. A bidirectional LSTM in numpy reads all
 blocks of a page in order, so that each label rests on the whole document, and blocks
 labelled as main text are joined.
 
-Training: a bounded sample of pages labels itself. Blocks inside an article or main element
+Training: a bounded sample of distinct pages of any length, read whole, labels itself. Blocks inside an article or main element
 are positive, those in navigation, adverts, footers and the like negative (elements,
 and the words of class, id and role, listed below); pages without such an element teach
 nothing. To know more layouts than a sample shows, training pages are varied: blocks of
-each kind are also wrapped, moved or renamed by rules with a fixed seed. The same pages
+each kind are also wrapped, nested deeply, moved or renamed by rules with a fixed seed. The same pages
 give the same weights.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,7 +71,7 @@ def _names(tag: str, attributes: str) -> str:
     found = [tag]
     if "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            found += [x.lower() for x in _NAME.findall(m[2] or m[3] or m[4] or "")][:8]
+            found += [x.lower() for x in _NAME.findall(m[2] or m[3] or m[4] or "")]
     return " ".join(found)
 
 
@@ -176,18 +177,18 @@ def _bucket(word: str, size: int) -> int:
 
 
 def vectors(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Hashed names of each block's path, hashed words of its text, and a few numbers."""
+    """Hashed names of each block's path (each distinct name once), hashed words of its text, and a few numbers."""
     known: dict[str, int] = {}
+    held: dict[tuple[str, ...], list[int]] = {}
     paths, words, numbers = [], [], np.zeros((len(page), NUMBERS))
     for k, b in enumerate(page):
-        hashed: list[int] = []
-        for depth, names in enumerate(b.path[-6:]):
-            for j, n in enumerate(names.split()):
-                key = n if j == 0 else f".{n}"
+        if b.path not in held:
+            keys = dict.fromkeys(n if j == 0 else f".{n}" for names in b.path for j, n in enumerate(names.split()))
+            for key in keys:
                 if key not in known:
                     known[key] = _bucket(key, PATHS)
-                hashed.append(known[key])
-        paths.append(hashed or [0])
+            held[b.path] = [known[key] for key in keys] or [0]
+        paths.append(held[b.path])
         cut = b.text.lower().split(" ")
         words.append([_bucket(w, WORDS) for w in cut])
         n = len(b.text)
@@ -195,6 +196,17 @@ def vectors(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.nda
     return paths, words, numbers
 
 
+def grouped(pages: Iterable[int], sizes: list[int]) -> Iterator[list[int]]:
+    """Pages (by number) in groups of like size, so that a padded grid stays small; a long page is alone."""
+    order, at = sorted(pages, key=lambda k: sizes[k]), 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and stop - at < 256 and sizes[order[stop]] * (stop + 1 - at) <= 8192:
+            stop += 1
+        yield order[at:stop]
+        at = stop
+
+
 class Labeller:
     """Embeddings, a bidirectional LSTM and a logistic output, in numpy."""
 
@@ -300,9 +312,16 @@ class Labeller:
             order = r.permutation(len(pages))
             for at in range(0, len(order), batch):
                 some, t = order[at : at + batch], t + 1
-                data = self.padded([pages[k] for k in some])
-                target = np.concatenate([targets[k] for k in some])
-                loss, g = self.gradients(data, np.nan_to_num(target), (~np.isnan(target)).astype(float))
+                loss, g, total = 0.0, {k: np.zeros_like(v) for k, v in self.p.items()}, 0.0
+                for part in grouped(some, [len(p[0]) for p in pages]):
+                    target = np.concatenate([targets[k] for k in part])
+                    known = (~np.isnan(target)).astype(float)
+                    one, slopes = self.gradients(self.padded([pages[k] for k in part]), np.nan_to_num(target), known)
+                    n = max(1.0, known.sum())
+                    loss, total = loss + one * n, total + n
+                    for k, v in slopes.items():
+                        g[k] += v * n
+                loss, g = loss / total, {k: v / total for k, v in g.items()}
                 for k, (m, v) in state.items():
                     m += 0.1 * (g[k] - m)
                     v += 0.001 * (g[k] ** 2 - v)
@@ -312,22 +331,30 @@ class Labeller:
     def main_text(self, pages: list[list[Block]]) -> list[str]:
         """The main text of pages, labelled together in groups of like length."""
         out = [""] * len(pages)
-        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        at = 0
-        while at < len(order):
-            stop = at + 1
-            while stop < len(order) and stop - at < 256 and len(pages[order[stop]]) * (stop + 1 - at) <= 8192:
-                stop += 1
-            some = order[at:stop]
+        for some in grouped((k for k in range(len(pages)) if pages[k]), [len(p) for p in pages]):
             score = self.forward(self.padded([vectors(pages[k]) for k in some]))
             done = 0
             for k in some:
                 mine, done = score[done : done + len(pages[k])] > 0, done + len(pages[k])
                 out[k] = "\n".join(b.text for b, yes in zip(pages[k], mine, strict=True) if yes)
-            at = stop
         return out
 
 
+#: Elements that say nothing about what is inside.
+NEUTRAL = ("div", "div", "div", "section", "ul", "li", "p", "a", "span", "table", "tr", "td", "div row", "div col", "div inner", "div wrap")
+
+
+def _nest(r: np.random.Generator) -> tuple[str, ...]:
+    """Elements that nest a block deeper, in half of the cases."""
+    return tuple(NEUTRAL[k] for k in r.integers(0, len(NEUTRAL), int(r.integers(1, 12)))) if r.random() < 0.5 else ()
+
+
+def _mark(path: tuple[str, ...], label: int) -> int:
+    """The place of the first element that gives a block its label."""
+    hits = (lambda w: w[0] in POSITIVE or POSITIVE & set(w[1:])) if label else (lambda w: w[0] in NEGATIVE_TAGS or NEGATIVE & set(w))
+    return next(k for k, n in enumerate(path) if hits(n.split()))
+
+
 def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """A training page and its targets: as it is, or with blocks of unwanted kinds moved in or main text put into other wrappers."""
     marks = [teacher(b) for b in page]
@@ -344,6 +371,12 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.n
         for k in good:
             page[k] = Block((*outer, *wrap, *page[k].path[cut + 1 :]), page[k].text, page[k].linked)
     inner = page[good[0]].path[: len(page[good[0]].path) - len(base) + cut + 1]
+    above = {label: _nest(r) for label in (0, 1)}  # one nest for all blocks of a label, and one of its own for some
+    for k, label in enumerate(marks):
+        if label is not None:
+            path = page[k].path
+            at = _mark(path, label) + 1
+            page[k] = Block((*path[:at], *above[label], *(_nest(r) if r.random() < 0.2 else ()), *path[at:]), page[k].text, page[k].linked)
     for _ in range(int(r.integers(1, 5))):
         kind = str(names[r.integers(len(names))])
         tag = str(r.choice(["div", "section", "aside", "form", "nav", "footer", "header", "ul", "p", "dialog"]))
@@ -351,11 +384,11 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.n
         start = int(r.integers(0, len(page) + 1)) if where is outer else int(r.choice([good[0], good[-1] + 1, good[len(good) // 2]]))
         source = page[int(r.integers(len(page)))].text.split(" ")
         plain = tag in NEGATIVE_TAGS and r.random() < 0.5
-        new = []
+        new, nest = [], _nest(r)
         for _ in range(int(r.integers(1, 5))):
             n = int(r.integers(1, 40))
             text = " ".join(source[:n]) or "x"
-            new.append(Block((*where, tag if plain else f"{tag} {kind}", *((str(r.choice(["p", "li", "a", "div", "h3", "span", "label"])),) if r.random() < 0.8 else ())), text, len(text) if r.random() < 0.3 else 0))
+            new.append(Block((*where, tag if plain else f"{tag} {kind}", *nest, *((str(r.choice(["p", "li", "a", "div", "h3", "span", "label"])),) if r.random() < 0.8 else ())), text, len(text) if r.random() < 0.3 else 0))
         if not plain and tag == "p" and kind not in NEGATIVE:
             continue
         page[start:start] = new
@@ -365,14 +398,16 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.n
 
 
 def trained(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, seed: int = 5) -> Labeller:
-    """A labeller fitted on the `sample` pages with the smallest hash of their markup (bounded, the same wherever it runs)."""
-    chosen = pages.select(F.col(html_col).alias("html")).filter("html is not null and length(html) < 200000").orderBy(F.xxhash64("html"), "html").limit(sample).toArrow()
+    """A labeller fitted on the `sample` distinct pages with the smallest hash of their markup (bounded, the same wherever it runs)."""
+    pages = pages.select(F.col(html_col).alias("html")).filter("html is not null").withColumn("h", F.xxhash64("html"))
+    least = [r["h"] for r in pages.select("h").distinct().orderBy("h").limit(sample).collect()]  # only hashes are dealt out
+    chosen = pages.filter(F.col("h").isin(least)).select("html").distinct().toArrow()
     r, data, targets = np.random.default_rng(seed), [], []
     for page in sorted(chosen.column("html").to_pylist()):
         cut = blocks(page)
         if any(teacher(b) == 1 for b in cut):
             for _ in range(3):
-                some, target = varied(cut[:400], r)
+                some, target = varied(cut, r)
                 data.append(vectors(some))
                 targets.append(target)
     model = Labeller()
