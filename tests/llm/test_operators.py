@@ -178,6 +178,22 @@ def test_lm_scores(spark, docs):
     assert lm.scored(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch_bytes", [8 << 20, 2000])
+def test_lm_knows_rare_bytes_in_context(spark, batch_bytes):
+    hot = [(k, " ".join(chr(33 + (k * 7 + j * j) % 90) * 3 for j in range(300))) for k in range(40)]
+    rare = [(100 + k, "щука, плыла; по реке и ещё дальше" * 3) for k in range(8)] + [(200, None), (None, "щука")]
+    rows = hot + rare
+    training, values = [(t or "").encode() for i, t in rows if not lm.in_fold(i)], [(t or "").encode() for _, t in rows]
+    assert len(set(b"".join(values))) > 62 and 0 < len(training) < len(rows)
+    alphabet = lm.Alphabet(lm.histogram(training))
+    s, c, _ = alphabet.coded(training)
+    index, count = np.unique(c.astype(np.int64) * lm.SYMBOLS + s, return_counts=True)
+    want = lm.Trie(index % lm.SYMBOLS**lm.ORDER, count, index, count).scores(alphabet, values)
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=batch_bytes).collect()}
+    assert len(got) == len(rows) and all(math.isclose(got[i], w, rel_tol=1e-5) for (i, _), w in zip(rows, want, strict=True))
+    assert all(got[i] / len(t.encode()) > -0.2 for i, t in rare[:8])  # a script that few documents have is learnt like others
+
+
 def test_trie_probabilities_sum_to_one_and_match_exclusion():
     values = [b"abracadabra", b"abrabra", b"", b"xyz \xff"]
     alphabet = lm.Alphabet(lm.histogram(values))

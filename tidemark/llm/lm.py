@@ -1,19 +1,22 @@
 """Operator 8: language-model scores by prediction by partial matching, beside a smoothed word-unigram base.
 
 The model is a trie of byte contexts up to ORDER symbols deep. Its counts are gathered
-from all training documents; a document is scored with the trained trie (`pretrained`),
-or with a trie that learns while it reads that document alone (`adaptive_bits`).
-
-* Alphabet: symbol 0 frames a text (start context and end), 1..62 are the 62 most
-  frequent bytes of the training texts, 63 stands for all other bytes, which are then
-  told apart by their own smoothed frequencies. All contexts of up to 3 symbols are kept
-  (at most 64 ** 3) and the most frequent ones of 4, DEEPEST at most, so that the trie is
-  bounded whatever the corpus holds (256 bytes a context); the others use their suffix.
+from all training documents; a document is scored with that trie (`scored`), or with a
+trie that learns while it reads that document alone (`adaptive_bits`).
+
+* Alphabet: symbol 0 frames a text (start context and end), 1..256 are the byte values.
+  All contexts of all orders are kept. A context and its next symbol are one number, a
+  code; the trie is the counts of the distinct codes, from which those of the shorter
+  contexts follow.
+* The trie is a partitioned table. Codes of all batches are summed where their hash puts
+  them (`exchange`), then dealt by their last two context symbols, so that a part holds
+  all contexts from ORDER down to two; only the counts of pairs of symbols, 257 * 257 at
+  most, are broadcast. Each batch gets the final probabilities of its own distinct codes.
 * Escape estimation (method C): in a context with total T and U distinct symbols, a seen
   symbol has count / (T + U) and the escape U / (T + U).
 * Symbol exclusion: after an escape, the shorter context leaves out the symbols that the
   longer one has seen. What is left out depends on the longer context alone, so every
-  context gets one row of 64 final probabilities and scoring is a table look-up.
+  code has one final probability.
 
 Base: words and one end per text are tokens; their training counts are gathered with
 `exchange` (a hot word costs one key per batch of documents), as 64-bit hashes of words.
@@ -33,13 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import all_word_hashes, slices, texts, written
+from tidemark.llm.common import all_word_hashes, slices, texts, trimmed
 
 ORDER = 4
-#: contexts of full depth that a model keeps at most
-DEEPEST = 1 << 19
-SYMBOLS = 64
-FRAME, RARE = 0, SYMBOLS - 1
+SYMBOLS = 257
+FRAME = 0
 FOLDS = 10
 SMOOTHING = 0.1
 
@@ -50,16 +51,11 @@ def in_fold(doc_id: object) -> bool:
 
 
 class Alphabet:
-    def __init__(self, histogram: np.ndarray):
-        """histogram: how often each byte occurs in the training texts."""
-        common = np.lexsort((np.arange(256), -histogram))[: SYMBOLS - 2]
-        self.symbol = np.full(256, RARE, np.uint8)
-        self.symbol[common] = np.arange(1, SYMBOLS - 1)
-        rare = self.symbol == RARE
-        counts = np.where(rare, histogram + 1.0, 0.0)
+    def __init__(self, histogram: np.ndarray | None = None):
+        """All byte values are symbols of their own, whatever their frequency."""
+        self.symbol = np.arange(1, SYMBOLS)
         #: log10 probability of a byte, given its symbol
         self.spelling = np.zeros(256)
-        self.spelling[rare] = np.log10(counts[rare] / counts.sum())
 
     def coded(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of texts, each followed by the frame; the context of each; and the text of each."""
@@ -69,9 +65,9 @@ class Alphabet:
         s = self.symbol[data]
         s[ends - 1] = FRAME
         place = np.arange(len(s)) - np.repeat(ends - sizes, sizes)
-        context = np.zeros(len(s), np.int32)
+        context = np.zeros(len(s), np.int64)
         for k in range(ORDER, 0, -1):
-            before = np.zeros(len(s), np.int32)
+            before = np.zeros(len(s), np.int64)
             before[k:] = s[: len(s) - k]
             before[place < k] = FRAME
             context = context * SYMBOLS + before
@@ -82,64 +78,80 @@ def histogram(values: list[bytes]) -> np.ndarray:
     return np.bincount(np.frombuffer(b"".join(values), np.uint8), minlength=256)
 
 
+def codes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """context * SYMBOLS + symbol of every symbol of texts, and the text of each."""
+    symbol, context, text = Alphabet().coded(values)
+    return context * SYMBOLS + symbol, text
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their sums, those above 0."""
+    keys, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, weights=counts, minlength=len(keys))
+    return keys[n > 0], n[n > 0]
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys hold the wanted ones, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Trie:
-    """Final probabilities of every context that the counts hold."""
+    """Final probabilities of codes, from sparse counts."""
 
-    def __init__(self, index: np.ndarray, count: np.ndarray, deep_index: np.ndarray, deep_count: np.ndarray):
-        """index: context * SYMBOLS + symbol of the counts one short of full depth; deep_index: those of full depth that are kept."""
-        levels = []
+    def __init__(self, index: np.ndarray, count: np.ndarray, deep_index: np.ndarray, deep_count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None):
+        """index: codes of contexts one short of full depth; deep_index: those of full depth; pairs: those of one symbol, where the others are a part of a trie."""
+        self.levels = []
         for k in range(ORDER + 1):  # a suffix of a context is the context modulo a power of the alphabet
-            keys, n = (deep_index, deep_count) if k == ORDER else (index % SYMBOLS ** (k + 1), count)
-            seen, row = np.unique(keys // SYMBOLS, return_inverse=True)
-            table = np.zeros((len(seen), SYMBOLS))
-            np.add.at(table, (row, keys % SYMBOLS), n)
-            levels.append((seen, table))
-        if not len(levels[0][0]):
-            levels[0] = (np.zeros(1, np.int64), np.zeros((1, SYMBOLS)))
-        self.seen, rows = [s for s, _ in levels], []
-        for k, (seen, table) in enumerate(levels):
-            for at in range(0, len(seen), 4096):
-                part = self._level(levels, k, seen[at : at + 4096], table[at : at + 4096], np.zeros((len(seen[at : at + 4096]), SYMBOLS), bool))
-                rows.append(np.log10(part).astype(np.float32))
-        self.log10 = np.concatenate(rows)
-        self.row = None
-
-    @staticmethod
-    def _level(levels: list, order: int, contexts: np.ndarray, counts: np.ndarray, excluded: np.ndarray) -> np.ndarray:
-        """Probabilities of the symbols that are not excluded; each row sums to 1 over them."""
-        allowed = ~excluded
-        if order < 0:
-            return allowed / np.maximum(1, allowed.sum(axis=1, keepdims=True))
-        n = np.where(excluded, 0, counts)
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        unseen = allowed & (n == 0)
-        more = unseen.any(axis=1, keepdims=True)
-        base = np.maximum(1e-300, total + np.where(more, kinds, 0))
-        escape = np.where(more, np.where(total > 0, kinds / base, 1.0), 0.0)
-        shorter = contexts % max(1, SYMBOLS ** (order - 1))
-        below = levels[order - 1][1][np.searchsorted(levels[order - 1][0], shorter)] if order > 0 else None
-        lower = Trie._level(levels, order - 1, shorter, below, excluded | (n > 0))
-        return n / base + np.where(unseen, escape * lower, 0.0)
-
-    def _rows(self) -> np.ndarray:
-        """The row of each context of full depth: that of its longest suffix that was seen."""
-        if self.row is None:
-            row, offset = np.zeros(1, np.int32), len(self.seen[0])
-            for k in range(1, ORDER + 1):
-                row = np.tile(row, SYMBOLS)
-                row[self.seen[k]] = np.arange(len(self.seen[k])) + offset
-                offset += len(self.seen[k])
-            self.row = row
-        return self.row
+            keys, n = (deep_index, deep_count) if k == ORDER else pairs if pairs is not None and k < 2 else (index, count)
+            keys, n = summed(keys % SYMBOLS ** (k + 1), n)
+            seen, start = np.unique(keys // SYMBOLS, return_index=True)
+            #: counts that the symbols of a context have in the next shorter one
+            below = np.zeros(len(keys))
+            if k:
+                at, has = found(self.levels[-1][0], keys % SYMBOLS**k)
+                below[has] = self.levels[-1][1][at[has]]
+            sums = [np.add.reduceat(x, start) if len(start) else np.zeros(0) for x in (n, below)]
+            self.levels.append((keys, n, seen, sums[0], np.diff(np.append(start, len(keys))), sums[1]))
+
+    def log_chances(self, wanted: np.ndarray) -> np.ndarray:
+        """log10 probability of each code."""
+        out, left = np.zeros(len(wanted)), np.ones(len(wanted), bool)
+        longer_kinds, longer_sum = np.zeros(len(wanted)), np.zeros(len(wanted))
+        for k in range(ORDER, -1, -1):
+            keys, n, seen, totals, kinds, below = self.levels[k]
+            code = wanted % SYMBOLS ** (k + 1)
+            at, has = found(seen, code // SYMBOLS)
+            total, different, passed = (np.where(has, x[at], 0) if len(seen) else np.zeros(len(wanted)) for x in (totals, kinds, below))
+            fresh = np.where(has, different - longer_kinds, 0)
+            rest = np.where(has, total - longer_sum, 0)
+            base = rest + np.where(different < SYMBOLS, fresh, 0)
+            at, here = found(keys, code)
+            hit = left & here
+            out[hit] += np.log10(n[at[hit]] / base[hit])
+            left &= ~here
+            escaped = left & (rest > 0)
+            out[escaped] += np.log10(fresh[escaped] / base[escaped])
+            longer_kinds, longer_sum = np.where(has, different, longer_kinds), passed
+        out[left] -= np.log10(SYMBOLS - longer_kinds[left])
+        return out
+
+    @property
+    def log10(self) -> np.ndarray:
+        """All probabilities of the contexts of full depth, a row for each."""
+        seen = self.levels[ORDER][2]
+        return self.log_chances((seen[:, None] * SYMBOLS + np.arange(SYMBOLS)).reshape(-1)).reshape(-1, SYMBOLS)
 
     def scores(self, alphabet: Alphabet, values: list[bytes]) -> np.ndarray:
         """log10 probability of each whole text, its end included."""
         if not values:
             return np.zeros(0)
         symbol, context, text = alphabet.coded(values)
-        each = self.log10[self._rows()[context], symbol].astype(np.float64)
-        spelled = np.bincount(np.repeat(np.arange(len(values)), [len(v) for v in values]), weights=alphabet.spelling[np.frombuffer(b"".join(values), np.uint8)], minlength=len(values))
-        return np.bincount(text, weights=each, minlength=len(values)) + spelled
+        distinct, at = np.unique(context * SYMBOLS + symbol, return_inverse=True)
+        return np.bincount(text, weights=self.log_chances(distinct)[at], minlength=len(values))
 
 
 def adaptive_bits(text: bytes, alphabet: Alphabet, block: int = 1024) -> float:
@@ -156,49 +168,91 @@ def adaptive_bits(text: bytes, alphabet: Alphabet, block: int = 1024) -> float:
     return total
 
 
-def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Alphabet, Trie]:
-    """The alphabet and the trie of all training documents; only their bounded sums reach the driver."""
-    docs = texts(docs, id_col, text_col)
+#: A code has under 48 bits, and so has its key: the same number, shuffled by steps that can be undone.
+_BITS, _HALF = np.uint64((1 << 48) - 1), np.uint64(24)
+_ODD = (0xFB21C651E98D, 0xE8FEB86659FD)
+
+
+def keys_of_codes(code: np.ndarray) -> np.ndarray:
+    """The keys, in the leading 48 bits."""
+    x = code.astype(np.uint64)
+    for odd in _ODD:
+        x = (x * np.uint64(odd)) & _BITS
+        x ^= x >> _HALF
+    return x << np.uint64(16)
 
-    def training(batch):
-        return [t.encode() for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if not in_fold(i)]
 
-    def letters(batches):
-        found = sum((histogram(training(b)) for b in batches), np.zeros(256, np.int64))
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], ["k", "n"])
+def codes_of_keys(key: np.ndarray) -> np.ndarray:
+    x = key >> np.uint64(16)
+    for odd in reversed(_ODD):
+        x = x ^ (x >> _HALF)
+        x = (x * np.uint64(pow(odd, -1, 1 << 48))) & _BITS
+    return x.astype(np.int64)
 
-    seen = docs.mapInArrow(letters, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    frequency = np.zeros(256, np.int64)
-    for r in seen:
-        frequency[r["k"]] = r["n"]
-    alphabet = Alphabet(frequency)
 
-    def counts(batches):
+WIDTHS = (6,)
+
+
+def pair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Codes of contexts of one symbol in all training documents, and their counts."""
+
+    def run(batches):
+        held = np.zeros(SYMBOLS**2, np.int64)
         for b in slices(batches, "text", 2 << 20):
-            if values := training(b):
-                symbol, context, _ = alphabet.coded(values)
-                index, n = np.unique(context.astype(np.int64) * SYMBOLS + symbol, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(n, pa.int64())], ["k", "n"])
-
-    summed = written(docs.mapInArrow(counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "trie-counts")
-    context = F.floor(F.col("k") / SYMBOLS)
-    totals = summed.groupBy(context.alias("c")).agg(F.sum("n").alias("m")).withColumn("step", F.floor(F.log2("m") * 8))
-    held, least = 0, 0
-    for r in totals.groupBy("step").agg(F.count("*").alias("contexts")).orderBy(F.desc("step")).collect():  # at most 512 steps of frequency
-        held += r["contexts"]
-        if held > DEEPEST:
-            least = r["step"] + 1
-            break
-    deep = summed.join(totals.filter(F.col("step") >= least), context == F.col("c"), "left_semi").toArrow()
-    short = summed.groupBy((F.col("k") % SYMBOLS**ORDER).alias("k")).agg(F.sum("n").alias("n")).toArrow()
-    numbers = [t.column(c).to_numpy() for t in (short, deep) for c in ("k", "n")]
-    return alphabet, Trie(*numbers)
+            if values := [t.encode() for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if not in_fold(i)]:
+                held += np.bincount(codes(values)[0] % SYMBOLS**2, minlength=SYMBOLS**2)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["k", "n"])
+
+    got = texts(docs, id_col, text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    return got.column("k").to_numpy(), got.column("n").to_numpy()
+
+
+def chances(sent: DataFrame, digits: int, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(digit, h, chance): log10 probability of every distinct code that batches have sent."""
+    held = sent.sparkSession.sparkContext.broadcast(pairs)  # 257 * 257 counts at most
+
+    def total(part):
+        """Distinct codes of one digit with their training counts, 0 for those of held-out texts alone."""
+        keys = np.concatenate([ex.keys_of(k, WIDTHS)[0] for k in part.column("keys").to_pylist()]) << np.uint64(16)
+        low = np.concatenate([ex.unpacked(a) for a in part.column("low").to_pylist()])
+        order, fresh = ex.distinct((keys,))
+        first = np.flatnonzero(fresh)
+        return pa.table({"code": pa.array(codes_of_keys(keys[order[first]])), "n": pa.array(np.add.reduceat(low[order], first))})
+
+    def worked(part):
+        code, n = part.column("code").to_numpy(), part.column("n").to_numpy()
+        known = n > 0
+        trie = Trie(code[known], n[known], code[known], n[known], held.value)
+        h = keys_of_codes(code)
+        out = pa.table({"digit": pa.array(ex.digit_of(h, digits).astype(np.int32)), "h": pa.array(h.view(np.int64)), "chance": pa.array(trie.log_chances(code).astype(np.float32))})
+        trimmed()
+        return out
+
+    shares = max(64, digits * 4)
+    suffix = F.floor(F.col("code") / SYMBOLS) % SYMBOLS**2
+    table = sent.groupBy("digit").applyInArrow(total, "code long, n long")
+    return table.withColumn("share", F.pmod(F.xxhash64(suffix), F.lit(shares))).groupBy("share").applyInArrow(worked, "digit int, h long, chance float")
+
+
+def told(sent: DataFrame, table: DataFrame) -> DataFrame:
+    """Replies to batches (step 2): the chances of their codes, in the order of the keys."""
+
+    def run(part, known):
+        h = known.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, chance = h[order], known.column("chance").to_numpy()[order]
+        rows = part.select(["batch", "base", "keys"]).to_pylist()
+        held = [chance[np.searchsorted(h, ex.keys_of(r["keys"], WIDTHS)[0] << np.uint64(16))].tobytes() for r in rows]
+        columns = [[r["batch"] for r in rows], [2] * len(rows), [r["base"] for r in rows], [None] * len(rows), held]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["batch", "step", "base", "told", "answers"])
+
+    return sent.groupBy("digit").cogroup(table.groupBy("digit")).applyInArrow(run, ex.REPLY)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = ex.BATCH_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col))
+    pairs = pair_counts(docs, id_col, text_col)
     parts, n = ex.batched(docs, id_col, text_col, batch_bytes)
 
     def words(part):
@@ -217,6 +271,27 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
         _, _, keys, own, _, _, _, _ = words(part)
         return ex.send(key[0].as_py(), n, (keys,), own, own)
 
+    def own_codes(part):
+        """Distinct codes of a batch in the order of their hashes, the hashes, and the place and text of each code."""
+        values = [t.encode() for t in part.column("text").to_pylist()]
+        code, text = codes(values)
+        kept, at = np.unique(code, return_inverse=True)
+        h = keys_of_codes(kept)
+        order = np.argsort(h)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return kept[order], h[order], place[at], text
+
+    def emit_codes(key, part):
+        part = ex.ordered(part)
+        code, h, place, text = own_codes(part)
+        learn = np.array([not in_fold(i) for i in part.column("doc_id").to_pylist()], bool)
+        counts = np.bincount(place, weights=learn[text], minlength=len(code)).astype(np.int64)
+        sent = ex.send(key[0].as_py(), n, (h,), counts, counts, WIDTHS)
+        del code, h, place, text
+        trimmed()
+        return sent
+
     def close(key, part, replies):
         part, values, keys, own, place, text, sizes, learn = words(part)
         places, found = ex.answers(replies, 1)
@@ -224,8 +299,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
         count = own[place]
         known = np.bincount(text, weights=count > 0, minlength=len(values)).astype(np.int64)
         logs = np.bincount(text, weights=np.log10(own + SMOOTHING)[place], minlength=len(values))
-        alphabet, trie = model.value
-        score = np.concatenate([np.zeros(0), *(trie.scores(alphabet, values[k : k + 64]) for k in range(0, len(values), 64))])
+        code, _, at, of = own_codes(part)
+        each = np.zeros(len(code))
+        for step, base, held in zip(*(replies.column(c).to_pylist() for c in ("step", "base", "answers")), strict=True):
+            if step == 2:
+                chance = np.frombuffer(held, np.float32)
+                each[base : base + len(chance)] = chance
+        score = np.bincount(of, weights=each[at], minlength=len(values))
         columns = [part.column("doc_id"), pa.array(~learn), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(score)]
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known_words", "word_logs", "score"])
 
@@ -240,7 +320,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     kind = dict(parts.dtypes)["doc_id"]
     asked = parts.groupBy("batch")
     sent = asked.applyInArrow(emit, ex.SENT)
-    each = asked.cogroup(ex.resolved(sent, 1, ex.total).groupBy("batch")).applyInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, known_words long, word_logs double, score double")
+    asked_codes = asked.applyInArrow(emit_codes, ex.SENT)
+    replies = ex.resolved(sent, 1, ex.total).unionAll(told(asked_codes, chances(asked_codes, n, pairs)))
+    each = asked.cogroup(replies.groupBy("batch")).applyInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, known_words long, word_logs double, score double")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     ends = docs.agg(F.count(F.when(~held, 1)).alias("ends")).scalar()
     tallied = sent.groupBy("digit").applyInArrow(tally, "kinds long, words long").agg(F.struct(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).alias("t")).scalar()
