@@ -87,11 +87,36 @@ def test_suffix_dedup_equals_brute_force(docs, batch_bytes):
 
 def test_suffix_dedup_on_documents(small):
     rows = [(r.doc_id, r.text) for r in small.collect()]
-    for length, gram in ((50, 16), (200, 32)):
+    for length, gram in ((50, 16), (99, 48)):
         got = suffix_dedup.kept_digests(suffix_dedup.removed_spans(small, length=length, gram=gram)).collect()
         assert sorted(map(tuple, got), key=str) == removed(rows, length)
 
 
+@pytest.mark.parametrize(("batch_bytes", "hot"), [(4 << 20, 512), (2000, 512), (2000, 2)])
+def test_suffix_dedup_decides_on_bytes(spark, batch_bytes, hot):
+    r = np.random.default_rng(3)
+    core = "".join(map(chr, r.integers(97, 101, 400)))
+    rows = [(f"d{k:02}", core[: 40 + 9 * k] + "".join(map(chr, r.integers(97, 123, 60))) + core[k * 7 :]) for k in range(40)]
+    rows += [("d05", "another row of an id that is there, " + core[100:190]), (None, core[:80]), (None, core[:80]), ("a", "a" * 300), ("b", "a" * 120 + "b" + "a" * 49)]
+    docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id string, text string, number int, batch string")
+    want = {}
+    owner = {}
+    key = lambda i: (i is None, i or "")
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            owner[t[p : p + 50]] = min(owner.get(t[p : p + 50], (True, "~")), key(i))
+    for n, (i, t) in enumerate(rows):
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if owner[t[p : p + 50]] < key(i):
+                gone[p : p + 50] = b"\1" * 50
+        want[n] = (i, sum(gone), hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest())
+    spans = suffix_dedup.removed_spans(docs, batch_bytes=batch_bytes, hot=hot, carry=("number", "batch"))
+    assert {(x.number, x.batch) for x in (r.rest for r in spans.collect())} == {(1, "n")}
+    got = [(x.doc_id, x.n_removed, x.kept_sha256) for x in suffix_dedup.kept_digests(spans).collect()]
+    assert sorted(got, key=str) == sorted(want.values(), key=str)
+
+
 def linked(rows, width, percent):
     ids = sorted({i for i, t in rows if i is not None})
     sets = collections.defaultdict(list)

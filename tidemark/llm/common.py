@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Letters that the contracts lower-case, and the bytes that separate words.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,9 +26,11 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a temporary one on a local master; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,7 +40,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discarded(df: DataFrame) -> None:
+    """Removes a table that written() has made; nothing may read it any more."""
+    jvm, path = df.sparkSession._jvm, df.stored_at
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: The number of a row without id: it counts as the largest.
+NULL_ID = np.iinfo(np.int64).max
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds `_number`, a long in the order of the ids, equal for equal ids: whole numbers as they are, ids of another type by their rank."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, IntegralType):
+        return docs.withColumn("_number", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
+    ranks = written(ids.orderBy("_id").withColumn("_number", F.monotonically_increasing_id()), "ranks")
+    found = docs.drop("_number").join(ranks, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    return found.withColumn("_number", F.coalesce("_number", F.lit(NULL_ID)))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,10 +96,18 @@ def byte_ends(column: pa.Array) -> np.ndarray:
     return np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column end to end, and where each value ends."""
-    values = b"".join((x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist())
-    return np.frombuffer(values, np.uint8), byte_ends(column)
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column without nulls end to end, and where each value ends."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    if data is None or ends[-1] == ends[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(column), np.int64)
+    return np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]), ends[1:] - ends[0]
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:

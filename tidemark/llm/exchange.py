@@ -14,28 +14,27 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts, trimmed
+from tidemark.llm.common import NULL_ID, trimmed
 
 BATCH_BYTES = 2 << 20
 #: batches whose text has as many keys as meet in one task: so many that packed rows stay few
 DIGIT_BATCHES = 12
 SENT = "digit int, batch int, base long, keys binary, low binary, more binary"
 REPLY = "batch int, step int, base long, told binary, answers binary"
-NULL_ID = np.iinfo(np.int64).max  # an unknown id counts as the largest
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text), where a batch holds about batch_bytes, and the number of digits to deal keys out by.
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """(batch, doc_id, text, extra columns), where a batch holds about batch_bytes, and the number of batches.
 
-    The batch depends on the id alone, so it is the same wherever it is computed.
+    The batch depends on id and text alone, so it is the same wherever it is computed. A null text is empty.
     """
-    docs = texts(docs, id_col, text_col)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(c.alias(n) for n, c in (extra or {}).items()))
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // batch_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch"), "doc_id", "text"), -(-n // DIGIT_BATCHES)
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"), "*"), n
 
 
 def ordered(part: pa.Table) -> pa.Table:
