@@ -157,6 +157,14 @@ def test_near_dedup_finds_chains_and_truncated_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == linked(rows, 3, 85)
 
 
+def test_near_dedup_ids(spark):
+    """Ids that are strings, and an id whose rows tie two classes together."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [("b", " ".join(words)), ("a", " ".join(words).upper()), ("c", " ".join(words[:30])), ("b", " ".join(words[:30])), ("d", "x " + " ".join(words)), (None, " ".join(words)), ("e", None)]
+    got = near_dedup.NearDedup(3, 85).run(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted([("b", "a", False), ("a", "a", True), ("c", "a", False), ("b", "a", False), ("d", "a", False), (None, None, True), ("e", "e", True)], key=str)
+
+
 def test_bayes_bound_grows_with_what_was_seen():
     least = [near_dedup.fewest_matches(0.85, n, 1e-6) for n in (25, 50, 125)]
     assert least == sorted(least) and 0 < least[0] < 25 and least[2] > 70
@@ -174,17 +182,49 @@ def test_decontamination_equals_exact_containment(spark, docs, small):
     items = spark.createDataFrame([(1, PASSAGE, "t"), (2, "two words", "t"), (3, None, "t"), (4, "", "t"), (5, PASSAGE + " with a tail", "t"), (5, "no such thing at all in here", "t")], "item_id long, text string, doc_id string")
     cases = [(docs, ROWS, items), (small, [(r.doc_id, r.text) for r in small.collect()], spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet"))]
     for table, rows, bench in cases:
-        for block_bytes in (4 << 20, 200):
-            got = decontaminate.contaminated(table, bench, block_bytes=block_bytes).collect()
-            want = []
-            for i, t in rows:
-                for r in bench.collect():
-                    q = shingles(r.text, 5)
-                    if q and len(q & shingles(t, 5)) >= 0.8 * len(q):
-                        want.append((i, r.item_id, len(q & shingles(t, 5))))
-            assert sorted(((r.doc_id, r.item_id, r.n_shared) for r in got), key=str) == sorted(want, key=str)
-    assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
-    assert {r.doc_id for r in decontaminate.decontaminated(docs, items).collect()} == {1, 2, 5, 6, 7, 8, 9, 10, 12, None}
+        got = decontaminate.contaminated(table, bench).collect()
+        want = []
+        for i, t in rows:
+            for r in bench.collect():
+                q = shingles(r.text, 5)
+                if q and len(q & shingles(t, 5)) >= 0.8 * len(q):
+                    want.append((i, r.item_id, len(q & shingles(t, 5))))
+        assert sorted(((r.doc_id, r.item_id, r.n_shared) for r in got), key=str) == sorted(want, key=str)
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == decontaminate.contaminated(docs.limit(0), items).count() == 0
+    clean = decontaminate.decontaminated(docs, items)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted((x for x in ROWS if not (x[0] in (3, 4, 11) or x[1] == PASSAGE)), key=str)
+    rows = spark.createDataFrame([("a", f"x {PASSAGE}"), ("a", "a clean row of the same id"), ("b", PASSAGE)], "doc_id string, text string")
+    assert [(r.doc_id, r.text) for r in decontaminate.decontaminated(rows, items).collect()] == [("a", "a clean row of the same id")]
+
+
+def test_decontamination_against_very_many_items(spark):
+    """A large item table is joined; the filters are full enough to let wrong hashes through."""
+    word = lambda k, j: f"w{(k * 2654435761 + j * j * 40503 + j) % 1000003}"
+    item = lambda k: " ".join(word(k, j) for j in range(12 + k % 30))
+    n = 100_000
+    items = spark.createDataFrame([(k, item(k)) for k in range(n)], "item_id long, text string")
+    whole = {k: f"some words before {item(k)} and some after" for k in range(0, n, 997)}
+    part = {n + k: " ".join(item(k).split()[: (12 + k % 30) // 2]) + " and quite other words" for k in range(0, n, 997)}
+    docs = spark.createDataFrame(list((whole | part).items()), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in whole} and all(r.containment == 1 for r in got)
+
+
+def thue_morse(a, b, n=1024):
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_are_told_apart(spark):
+    """Words that every polynomial hash modulo a power of two confuses."""
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one.upper()), (4, f"{one} {two} c d e"), (5, f"{two} {one} c d e")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.NearDedup(3, 85).run(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    items = spark.createDataFrame([(1, f"{one} {two} c d e")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(docs, items).collect()] == [4]
+    base = {r.doc_id: r.base_score for r in lm.scored(docs.unionAll(docs.filter("doc_id = 1").select(F.lit(7).cast("long"), "text"))).collect()}
+    assert base[1] == base[3] > base[2]
 
 
 def test_lm_scores(spark, docs):
@@ -269,12 +309,56 @@ def test_quality_awkward_rows(spark, docs):
         got = quality.graded(docs, quality.trained(docs, some)).collect()
         assert len(got) == len(ROWS) and all(0 <= r.tail_probability <= 1 for r in got)
     assert all(r.kept for r in got)
-    model = quality.fit(*quality.features([b"good fine text"] * 30 + [b"so so text"] * 30 + [b"bad awful text"] * 30), np.repeat([2, 1, 0], 30))
+    index, counts = quality.features([b"good fine text"] * 30 + [b"so so text"] * 30 + [b"bad awful text"] * 30)
+    used, slots = np.unique(index, return_inverse=True)
+    model = quality.fit(slots, counts, np.repeat([2, 1, 0], 30), used)
     tails = model.tails([b"good fine text", b"so so text", b"bad awful text"])
     assert (np.diff(model.thresholds) > 0).all() and (tails[:, 0] >= tails[:, 1]).all()
     assert list(tails.sum(1).round()) == [2, 1, 0]
 
 
+def test_ordinal_likelihood_and_slopes():
+    """The likelihood against its definition, and its slopes against differences."""
+    r = np.random.default_rng(5)
+    rows = [r.choice(9, r.integers(1, 6), replace=False) for _ in range(60)]
+    grades = r.integers(0, quality.GRADES, 60)
+    likelihood = quality.Likelihood(np.concatenate(rows), np.array([len(x) for x in rows]), grades, 9, 0.01)
+    w, first, gaps = r.normal(size=9), -0.4, np.array([0.3])
+
+    def by_hand(w, first, gaps):
+        cuts = [first, first + math.exp(gaps[0])]
+        at_least = lambda s, k: 1.0 if k == 0 else 0.0 if k == 3 else 1 / (1 + math.exp(cuts[k - 1] - s))
+        logs = [math.log(at_least(w[x].sum(), g) - at_least(w[x].sum(), g + 1)) for x, g in zip(rows, grades, strict=True)]
+        return sum(logs) / 60 - 0.005 * (w * w).sum()
+
+    value, up, first_up, gap_up = likelihood.slopes(w, first, gaps)
+    assert math.isclose(value, by_hand(w, first, gaps), rel_tol=1e-9)
+    e = 1e-6
+    for k in range(9):
+        d = np.eye(9)[k] * e
+        assert math.isclose(up[k], (by_hand(w + d, first, gaps) - by_hand(w - d, first, gaps)) / (2 * e), rel_tol=1e-4, abs_tol=1e-8)
+    assert math.isclose(first_up, (by_hand(w, first + e, gaps) - by_hand(w, first - e, gaps)) / (2 * e), rel_tol=1e-4)
+    assert math.isclose(gap_up[0], (by_hand(w, first, gaps + e) - by_hand(w, first, gaps - e)) / (2 * e), rel_tol=1e-4)
+
+
+def test_features_are_chosen_as_counted_by_hand(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
+    model = quality.trained(docs, labels)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rated = sorted((r.doc_id, r.quality + 1 - r.toxic) for r in labels.collect() if r.doc_id in text)
+    index, counts = quality.features([text[i] for i, _ in rated])
+    grades = np.array([g for _, g in rated])
+    size = len(model.weights)
+    held, total = np.bincount(index, minlength=size), np.bincount(index, weights=np.repeat(grades, counts), minlength=size)
+    used = np.flatnonzero(quality.signals(held, total, len(grades), grades.sum(), (grades**2).sum()))
+    slot = np.full(size, -1)
+    slot[used] = np.arange(len(used))
+    mine = slot[index]
+    want = quality.fit(mine[mine >= 0], np.bincount(np.repeat(np.arange(len(grades)), counts)[mine >= 0], minlength=len(grades)), grades, used)
+    assert len(used) and np.allclose(model.weights, want.weights) and np.allclose(model.thresholds, want.thresholds)
+
+
 def segmentations(word, vocab):
     def rest(i):
         if i == len(word):

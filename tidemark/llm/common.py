@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StructType
 
 #: Letters that the contracts lower-case, and the bytes that separate words.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,15 +57,18 @@ def discarded(df: DataFrame) -> None:
 NULL_ID = np.iinfo(np.int64).max
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds `_number`, a long in the order of the ids, equal for equal ids: whole numbers as they are, ids of another type by their rank."""
-    kind = docs.schema[id_col].dataType
-    if isinstance(kind, IntegralType):
-        return docs.withColumn("_number", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+def ranked(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """docs with `_number`, a long in the order of the ids, equal for equal ids and null for a null one; and where ids are no whole numbers, the table (_id, _number) that tells their ranks."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return docs.withColumn("_number", F.col(id_col).cast("long")), None
     ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
     ranks = written(ids.orderBy("_id").withColumn("_number", F.monotonically_increasing_id()), "ranks")
-    found = docs.drop("_number").join(ranks, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    return found.withColumn("_number", F.coalesce("_number", F.lit(NULL_ID)))
+    return docs.drop("_number").join(ranks, F.col(id_col) == F.col("_id"), "left").drop("_id"), ranks
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds `_number`, a long in the order of the ids; that of a row without id is the largest."""
+    return ranked(docs, id_col)[0].withColumn("_number", F.coalesce("_number", F.lit(NULL_ID)))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,6 +76,11 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_rest(schema: str, df: DataFrame) -> StructType:
+    """A schema of named columns, and df's own `rest` with its fields as they are (null or not)."""
+    return StructType.fromDDL(schema).add("rest", df.schema["rest"].dataType)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,6 +119,13 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]), ends[1:] - ends[0]
 
 
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the runs first..last, and the run of each."""
+    sizes = last - first + 1
+    run = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[run], run
+
+
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finalizer over uint64 values; the same input gives the same output everywhere."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
@@ -121,38 +137,51 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-_ROOT = 0x2545F4914F6CDD1D
-_CODES = mixed(np.arange(256, dtype=np.uint64), 3)[_LOWER]
-_CODES[_IS_SPACE] = 0
-_POWERS: dict[int, np.ndarray] = {}
+_TAIL = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)  # the low bytes that count
+#: words with more bytes are hashed one by one
+_LONG_WORD = 256
 
 
-def powers(root: int, n: int) -> np.ndarray:
-    """root ** 0 .. root ** (n - 1) modulo 2 ** 64."""
-    have = _POWERS.get(root, np.ones(1, np.uint64))
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(root, len(have), 1 << 64))])
-    _POWERS[root] = have
-    return have[:n]
+def string_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, mixed eight bytes at a time (no sum or polynomial, so none can be built to collide by rearrangement)."""
+    h = mixed(size.astype(np.uint64), salt)
+    spare = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(spare, 8)
+    rows = np.flatnonzero((size > 0) & (size <= _LONG_WORD))
+    done = 0
+    while len(rows):
+        left = size[rows] - done
+        w = eight[start[rows] + done].view("<u8").reshape(-1).astype(np.uint64)
+        h[rows] = mixed(h[rows] ^ np.where(left >= 8, w, w & _TAIL[np.minimum(left, 7)]), salt)
+        done += 8
+        rows = rows[left > 8]
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : start[k] + size[k]].tobytes(), digest_size=8, salt=bytes([salt])).digest(), "little")
+    return h
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts that lie end to end, A-Z lower-cased, and the number of words of each text.
+def word_places(data: np.ndarray, ends: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of the words of texts that lie end to end, and the number of words of each text.
 
-    A word is a run of bytes other than the six white-space bytes; words never cross texts.
+    A word is a run of bytes for which `within` is true; words never cross texts.
     """
-    n = len(data)
-    begin = ~_IS_SPACE[data]
-    after = begin.copy()
-    begin[1:] &= ~after[:-1]
-    cuts = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < n)]
-    begin[cuts] = after[cuts]
-    starts = np.flatnonzero(begin)
-    per_text = np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), per_text
-    sums = np.add.reduceat(_CODES[data] * powers(_ROOT, n), starts)
-    return mixed(sums * powers(pow(_ROOT, -1, 1 << 64), n)[starts], 5), per_text
+    inside = within[data]
+    begin, stop = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
+    cuts = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(data))]
+    begin[cuts] = inside[cuts]
+    stop[cuts - 1] = inside[cuts - 1]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(stop) + 1 - start, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie end to end, A-Z lower-cased, and the number of words of each text."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    start, size, per_text = word_places(data, ends, ~_IS_SPACE)
+    return string_hashes(_LOWER[data], start, size, 5), per_text
 
 
 def all_word_hashes(values: list[bytes], chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:

@@ -11,104 +11,51 @@ salted rounds as keep the chance to miss an item under 1e-6. Candidates are veri
 exact containment: shared distinct shingles / distinct shingles of the item, over the
 whole document.
 
-Items are a query set, searched in blocks: each block's total size is bounded by
-`block_bytes`, whatever the benchmark's size, and each runs against all documents.
+Items are a table: their minima are joined with those of the documents. Documents are read
+once, whatever the number of items. Only two filters are broadcast (which hashes are an item's
+minimum, and which are an item's shingle): bitmaps of FILTER_BITS bits at most. More items
+than they can tell apart let more hashes through to the join, and change no result.
 
 Texts: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, shingles of `width` words; with fewer
-words the whole sequence is one shingle. Null or empty items and documents match
-nothing. Null ids are kept as they are. Repeated rows give repeated results. Other columns
-are dropped.
+words the whole sequence is one shingle, which equals only such a shingle. Null or empty items and documents match
+nothing. Null ids are kept as they are. Repeated rows, and rows that share an id, are judged each. Other columns
+are dropped, unless named in `carry`.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, slices, texts
+from tidemark.llm.common import mixed, slices, spread, with_rest, written
 from tidemark.llm.near_dedup import shingles_of
 
 WIDTH = 5
 CONTAINMENT = 0.8
-BLOCK_BYTES = 4 << 20
 MISS = 1e-6
+FILTER_BITS = 1 << 26
 
 
-@dataclass
-class Partition:
-    """Items whose set size lies in one power of two, for one salt."""
-
-    largest: int
-    bins: int
-    salt: int
-    hashes: np.ndarray  # the items' smallest hashes of their bins, sorted
-    items: np.ndarray  # the item of each
-    bloom: np.ndarray
-
-
-class ItemIndex:
-    """Signatures and full sets of a block of items."""
-
-    def __init__(self, ids: list, values: list[bytes], width: int, containment: float):
-        hashes, counts = shingles_of(values, width)
-        self.ids, self.width, self.containment = ids, width, containment
-        self.sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])] if values else []
-        sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.partitions = []
-        for power in range(64):
-            mine = np.flatnonzero((sizes >= 1 << power) & (sizes < 2 << power))
-            if not len(mine):
-                continue
-            largest = (2 << power) - 1
-            bins = 1 << (16 * largest - 1).bit_length()
-            shared = math.ceil(containment * (1 << power))
-            for salt in range(math.ceil(-math.log(MISS) / (shared * math.log(16)))):
-                pairs = [(v, k) for k in mine for v in smallest(mixed(self.sets[k], salt), bins)]
-                order = np.argsort([v for v, _ in pairs], kind="stable")
-                hashes = np.array([v for v, _ in pairs], np.uint64)[order]
-                bloom = np.zeros(1 << 20, bool)
-                bloom[(hashes >> np.uint64(44)).astype(np.int64)] = True
-                self.partitions.append(Partition(largest, bins, salt, hashes, np.array([k for _, k in pairs], np.int64)[order], bloom))
-
-    def candidates(self, hashes: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) whose binned signatures agree somewhere.
-
-        A bin's minimum is looked up only where one of its hashes is an item's minimum; no other bin can agree.
-        """
-        found: set[tuple[int, int]] = set()
-        ends = np.cumsum(counts)
-        for p in self.partitions:
-            salted = mixed(hashes, p.salt)
-            hits = np.flatnonzero(p.bloom[(salted >> np.uint64(44)).astype(np.int64)])
-            left, right = np.searchsorted(p.hashes, salted[hits], "left"), np.searchsorted(p.hashes, salted[hits], "right")
-            real = left < right
-            for at, a, b in zip(hits[real].tolist(), left[real], right[real], strict=True):
-                doc = int(np.searchsorted(ends, at, "right"))
-                begin, end, low = int(ends[doc] - counts[doc]), int(ends[doc]), salted[at] & np.uint64(p.bins - 1)
-                block = (at - begin) // p.largest
-                for first in (block - 1, block):  # a stretch is two blocks, so each block lies in two
-                    stretch = salted[begin + max(0, first) * p.largest : min(end, begin + (first + 2) * p.largest)]
-                    if salted[at] == stretch[(stretch & np.uint64(p.bins - 1)) == low].min():
-                        found.update((doc, int(k)) for k in p.items[a:b])
-                        break
-        return found
-
-    def contained(self, values: list[bytes]) -> list[tuple[int, int, int]]:
-        """(document, item, shared shingles) of the pairs that reach the containment."""
-        hashes, counts = shingles_of(values, self.width)
-        ends, out, sets = np.cumsum(counts), [], {}
-        for doc, item in sorted(self.candidates(hashes, counts)):
-            if doc not in sets:
-                sets = {doc: np.unique(hashes[ends[doc] - counts[doc] : ends[doc]])}
-            shared = len(np.intersect1d(sets[doc], self.sets[item], assume_unique=True))
-            if shared >= self.containment * len(self.sets[item]) - 1e-9:
-                out.append((doc, item, shared))
-        return out
+def largest_of(power: int) -> int:
+    return (2 << power) - 1
+
+
+def bins_of(power: int) -> int:
+    return 1 << (16 * largest_of(power) - 1).bit_length()
+
+
+def rounds_of(power: int, containment: float) -> int:
+    """Salted rounds for items of 2 ** power shingles or more."""
+    return math.ceil(-math.log(MISS) / (math.ceil(containment * (1 << power)) * math.log(16)))
+
+
+def salted(hashes: np.ndarray, power: int, turn: int) -> np.ndarray:
+    return mixed(hashes, 101 + power * 64 + turn)
 
 
 def smallest(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -118,36 +65,128 @@ def smallest(hashes: np.ndarray, bins: int) -> np.ndarray:
     return hashes[order][np.r_[True, bin_of[1:] != bin_of[:-1]]]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+class Filter:
+    """A bitmap of the leading bits of hashes."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.bits, self.bytes = bits, words.astype("<u8").view(np.uint8)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def filter_of(hashes: DataFrame, column: str) -> Filter:
+    """The filter of a column of long arrays; its size follows the number of hashes up to a fixed bound."""
+    each = hashes.select(F.explode(column).alias("h"))
+    n = each.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length())).bit_length() - 1
+    at = each.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return Filter(out, bits)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
+
+
+def item_signatures(items: DataFrame, width: int, containment: float) -> DataFrame:
+    """(item, item_id, n, power, shingles, minima) of every item with a shingle; item numbers the rows."""
+
+    def run(batches):
+        serial = TaskContext.get().partitionId() << 40
+        for b in slices(batches, "text", 1 << 18):
+            hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
+            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            some = [k for k, s in enumerate(sets) if len(s)]
+            powers = [len(sets[k]).bit_length() - 1 for k in some]
+            minima = [np.concatenate([smallest(salted(sets[k], p, t), bins_of(p)) for t in range(rounds_of(p, containment))]) for k, p in zip(some, powers, strict=True)]
+            columns = [pa.array(np.arange(serial, serial + len(some))), b.column("item_id").take(pa.array(some, pa.int64())), pa.array([len(sets[k]) for k in some], pa.int64()), pa.array(powers, pa.int32()), _lists([sets[k] for k in some]), _lists(minima)]
+            serial += len(some)
+            yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "n", "power", "shingles", "minima"])
+
+    return items.mapInArrow(run, f"item long, item_id {dict(items.dtypes)['item_id']}, n long, power int, shingles array<long>, minima array<long>")
+
+
+def agreeing(hashes: np.ndarray, counts: np.ndarray, power: int, turn: int, known: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash): minima of bins of documents' stretches that may be minima of items. A bin's minimum is sought only in stretches with a hash that may be one."""
+    values, ends, largest = salted(hashes, power, turn), np.cumsum(counts), largest_of(power)
+    hits = np.flatnonzero(known.holds(values))
+    if not len(hits):
+        return hits, values[hits]
+    doc = np.searchsorted(ends, hits, "right")
+    begin = ends - counts
+    block = (hits - begin[doc]) // largest
+    # a stretch is two blocks, so each block lies in two
+    stretches = np.unique(np.concatenate([np.stack([doc, block]), np.stack([doc, np.maximum(0, block - 1)])], axis=1), axis=1)
+    first = begin[stretches[0]] + stretches[1] * largest
+    last = np.minimum(ends[stretches[0]], first + 2 * largest) - 1
+    at, stretch = spread(first, last)
+    mine = values[at]
+    bin_of = mine & np.uint64(bins_of(power) - 1)
+    order = np.lexsort((mine, bin_of, stretch))
+    lead = np.r_[True, (bin_of[order][1:] != bin_of[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])]
+    least = np.zeros(len(values), bool)
+    least[at[order[lead]]] = True
+    good = least[hits]
+    return doc[good], values[hits[good]]
+
+
+def searched(docs: DataFrame, items: DataFrame, width: int, containment: float, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, minima, shingles, rest) of documents (doc_id, text, rest) that may hold an item, of all if `whole`; and (row, item_id, n_item_shingles, n_shared) of those that do.
+
+    Both are read from written tables.
+    """
+    index = written(item_signatures(items, width, containment), "items")
+    session = docs.sparkSession
+    powers = sorted(r["power"] for r in index.select("power").distinct().collect())  # 63 at most
+    held = session.sparkContext.broadcast((filter_of(index, "minima"), filter_of(index, "shingles")))
+
+    def run(batches):
+        serial = TaskContext.get().partitionId() << 40
+        minima, shingle = held.value
+        for b in slices(batches, "text", 1 << 17):
+            hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
+            found = [agreeing(hashes, counts, p, t, minima) for p in powers for t in range(rounds_of(p, containment))]
+            pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.uint64), *(f[k].astype(np.uint64) for f in found)]) for k in range(2)]), axis=1)
+            cuts = np.searchsorted(pairs[0], np.arange(b.num_rows + 1, dtype=np.uint64))
+            ends = np.cumsum(counts)
+            keys = [pairs[1, x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            sets = []
+            for k, e, c in zip(keys, ends, counts, strict=True):
+                own = np.unique(hashes[e - c : e]) if len(k) else hashes[:0]
+                sets.append(own[shingle.holds(own)] if len(own) else own)
+            columns = [pa.array(np.arange(serial, serial + b.num_rows)), b.column("doc_id"), _lists(keys), _lists(sets), b.column("rest")]
+            serial += b.num_rows
+            out = pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "minima", "shingles", "rest"])
+            yield out if whole else out.filter(pa.array(np.array([len(k) > 0 for k in keys], bool)))
+
+    rows = written(docs.mapInArrow(run, with_rest(f"row long, doc_id {dict(docs.dtypes)['doc_id']}, minima array<long>, shingles array<long>", docs)), "searched")
+    key = lambda df, one: df.select(one, F.explode("minima").alias("h"))
+    pairs = key(rows, "row").join(key(index, "item"), "h").select("row", "item").distinct()
+    full = pairs.join(rows.select("row", F.col("shingles").alias("held")), "row").join(index.select("item", "item_id", "n", "shingles"), "item")
+    shared = full.withColumn("n_shared", F.size(F.array_intersect("held", "shingles")).cast("long"))
+    dirty = shared.filter(F.col("n_shared") >= containment * F.col("n") - 1e-9)
+    return rows, dirty.select("row", "item_id", F.col("n").alias("n_item_shingles"), "n_shared")
+
+
+def _sides(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, rest: Column) -> tuple[DataFrame, DataFrame]:
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
+    return docs, items.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document that holds enough of an item."""
-    docs = texts(docs, id_col, text_col)
-    items = items.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text").cast("long") + 16).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    kind, item_kind = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    schema = f"doc_id {kind}, item_id {item_kind}, n_item_shingles long, n_shared long, containment double"
-
-    def search(k: int) -> DataFrame:
-        """All documents against one block of items; blocks are fetched one at a time and each is bounded."""
-        part = items.filter(block == k).toArrow()
-        index = ItemIndex(part.column("item_id").to_pylist(), [t.encode() for t in part.column("text").to_pylist()], width, containment)
-
-        def run(batches):
-            for b in slices(batches, "text", 1 << 17):
-                ids = b.column("doc_id").to_pylist()
-                rows = [(ids[d], index.ids[i], len(index.sets[i]), n, n / len(index.sets[i])) for d, i, n in index.contained([t.encode() for t in b.column("text").to_pylist()])]
-                kinds = [b.column("doc_id").type, pa.int64() if item_kind == "bigint" else pa.string(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
-
-        return docs.mapInArrow(run, schema)
-
-    found = search(0)
-    for k in range(1, blocks):
-        found = found.unionAll(search(k))
-    return found
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents (all their columns) that hold no item; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    rows, dirty = searched(*_sides(docs, items, id_col, text_col, item_col, item_text_col, F.lit(None).cast("string")), width, containment, False)
+    found = dirty.join(rows.select("row", "doc_id"), "row")
+    return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, containment: float = CONTAINMENT, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs that hold no item, with the columns in `carry` (all if None)."""
+    rest = F.struct(*(F.col(c) for c in (carry or docs.columns)))
+    rows, dirty = searched(*_sides(docs, items, id_col, text_col, item_col, item_text_col, rest), width, containment, True)
+    return rows.join(dirty.select("row").distinct(), "row", "left_anti").select("rest.*")

@@ -1,31 +1,39 @@
 """Operator 6: MinHash near-duplicates with sequential Bayesian verification.
 
-1. Each document gets its set of word shingles, a MinHash signature and band keys. Texts
-   with one and the same set form a class; its smallest id stands for it from then on.
+1. Each document gets its set of word shingles, a MinHash signature, band keys, and a
+   128-bit cryptographic digest of its words in order. Texts with the same words form a
+   class; its smallest id stands for it from then on.
 2. Classes that share a band key are candidates. Each bucket is compared with its
-   smallest member first (one pair a member, never all pairs). Signatures are compared in
+   smallest member first (one pair a member). Signatures are compared in
    batches; a pair is dropped as soon as the posterior probability that its similarity
-   reaches the threshold falls under `miss`; survivors are confirmed on the full sets.
-3. Buckets whose members lie in one component are settled. In the others members are compared
-   within classes of nearly equal size, again with the smallest of each class, and these
-   with those of the next two classes (linear in the bucket).
-4. What is still open is settled exactly: a member can only
+   reaches the threshold falls under `miss`; survivors are confirmed on the full sets, word for word.
+3. Buckets whose members lie in one component are settled. Of the others, a member can only
    link with what shares enough of its set: with u shingles that no other open member
    holds, a set of n meets any other in n - u at most, which bounds the sizes of possible
-   partners. Pairs within both bounds, in different components, and not yet ruled out by
-   their signatures (which the join itself compares) are verified likewise.
-
-Band counts follow from the threshold so that a link at the threshold is missed with
-probability `miss` at most (sets far above it practically never). Texts with fewer words
-than a shingle has are one shingle as a whole.
-
-Nulls: a null text, like one without words, has an empty set and links with nothing. A row
+   partners and settles members that have none.
+4. Members that are still open get longer signatures and bands of FINE_ROWS places, and are
+   compared within these much smaller buckets, again with the smallest member.
+5. Where a fine bucket still lies in several components, its members are joined by the fine
+   key: only pairs in different components that both bounds allow and that their long
+   signatures do not rule out come from that join, and each is verified like the others.
+
+Band counts follow from the threshold so that a link at the threshold shares a band but
+with probability `miss` (twice: bands and fine bands). The sequential test keeps a pair while the
+posterior is `miss` or more, by which a link at the threshold is lost with a probability of about
+1e-5 (6.5e-6 at 0.85, 9.0e-6 at 0.80). Texts with fewer words than a shingle has are one
+shingle as a whole.
+
+Confirmation deals pairs out by center and, where a center has very many, by member as well; a
+center's text is sent once to each such group and not with every pair.
+
+Ids may be of any type that sorts. Nulls: a null text, like one without words, has an empty set and links with nothing. A row
 with a null id keeps its own null component and is never linked. Rows that share an id are
-one node. Repeated rows give repeated results. Other columns are dropped.
+one node with several sets. Repeated rows give repeated results. Other columns are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -35,14 +43,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import all_word_hashes, mixed, powers, slices, texts, written
+from tidemark.llm.common import all_word_hashes, discarded, mixed, ranked, slices, trimmed, written
 from tidemark.llm.components import components
 
-ROWS = 5
+#: places of a signature that make a band: first for all classes, then for those that are left open
+ROWS, FINE_ROWS = 5, 10
 BATCH = 25
-#: places of the signatures that open members are compared by
-LONG = 1024
 MISS = 1e-6
+#: shingles that meet in one group when links are confirmed
+GROUP = 400_000
 
 
 def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -57,11 +66,16 @@ def shingles_of(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     begin = np.repeat(ends - sizes, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     length = np.minimum(width, np.repeat(sizes, counts))
     total = np.zeros(len(begin), np.uint64)
-    rank = powers(0x9E3779B97F4A7C15, width)
     for j in range(width):
-        more = j < length
-        total[more] += words[begin[more] + j] * rank[j]
-    return mixed(total + length.astype(np.uint64), 11), counts
+        more = slice(None) if j == 0 else np.flatnonzero(j < length)
+        total[more] = mixed(total[more] ^ words[begin[more] + j], 11)
+    return total, counts
+
+
+def shingle_set(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words, not as hashes."""
+    words = text.encode().lower().split()  # bytes: A-Z alone are lower-cased, and the six white-space bytes separate
+    return set(zip(*(words[k:] for k in range(width)))) if len(words) >= width else {tuple(words)} if words else set()
 
 
 @lru_cache(8)
@@ -130,6 +144,11 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, places), F.lit(0), lambda total, x: total + x)
 
 
+def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The number of distinct hashes of each text."""
+    return np.array([len(np.unique(x)) for x in np.split(hashes, np.cumsum(counts)[:-1])], np.int64)
+
+
 def plausible(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
     """Which rows of two byte-signature matrices stay after all batches."""
     n = left.shape[1]
@@ -148,26 +167,27 @@ class NearDedup:
 
     def __init__(self, width: int = 5, percent: int = 80, miss: float = MISS):
         self.width, self.percent, self.miss = width, percent, miss
-        self.bands = band_count(percent / 100, miss=miss)
+        self.bands, self.fine = band_count(percent / 100, miss=miss), band_count(percent / 100, FINE_ROWS, miss)
 
     def sketches(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n, c1, c2, signature, keys) for each row; the class of a set is (n, c1, c2)."""
+        """(doc_id, n, digest, signature, keys) for each row (doc_id long, text)."""
         width, bands = self.width, self.bands
 
         def run(batches):
             for b in slices(batches, "text", 1 << 17):
-                hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
+                values = [t.encode() for t in b.column("text").to_pylist()]
+                hashes, counts = shingles_of(values, width)
                 signature = signatures(hashes, counts, bands * ROWS)
-                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-                sums = np.array([[mixed(x, k).sum(dtype=np.uint64) for x in sets] for k in (23, 29)], np.uint64).view(np.int64)
+                n = distinct_counts(hashes, counts)
+                digests = [hashlib.blake2b(b" ".join(v.lower().split()), digest_size=16).digest() for v in values]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bands, pa.int32()), pa.array(band_keys(signature).reshape(-1)))
                 low = pa.array([x.tobytes() for x in (signature & np.uint32(255)).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sums[0]), pa.array(sums[1]), low, keys], ["doc_id", "n", "c1", "c2", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), low, keys], ["doc_id", "n", "digest", "signature", "keys"])
 
-        return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, signature binary, keys array<long>")
+        return docs.mapInArrow(run, "doc_id long, n long, digest binary, signature binary, keys array<long>")
 
     def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """The links among pairs (a, b): first by signatures, then on the full sets."""
+        """The links among pairs (a, b), as a written table: first by signatures, then on the full sets."""
         threshold, miss, width, percent = self.percent / 100, self.miss, self.width, self.percent
         side = lambda c, *cols: members.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
 
@@ -175,29 +195,43 @@ class NearDedup:
             for b in batches:
                 if b.num_rows:
                     left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("signature_a", "signature_b"))
-                    yield b.select(["a", "b"]).filter(pa.array(plausible(left, right, threshold, miss)))
-
-        def confirmed(batches):
-            held = (None, None)
-            for b in slices(batches, "text_b"):
-                links = []
-                for a, c, one, two in zip(*(b.column(x).to_pylist() for x in ("a", "b", "text_a", "text_b")), strict=True):
-                    if held[0] != one:
-                        held = (one, np.unique(shingles_of([one.encode()], width)[0]))
-                    x, y = held[1], np.unique(shingles_of([two.encode()], width)[0])
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if len(x) and len(y) and 100 * shared >= percent * (len(x) + len(y) - shared):
-                        links.append((a, c))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
-
-        survivors = pairs.join(side("a", "signature"), "a").join(side("b", "signature"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(likely, "a long, b long")
-        full = survivors.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(confirmed, "a long, b long")
+                    yield b.select(["a", "b", "n_b"]).filter(pa.array(plausible(left, right, threshold, miss)))
+
+        sized = pairs.join(side("a", "n", "signature"), "a").join(side("b", "n", "signature"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        found = written(sized.select("a", "b", "n_b", "signature_a", "signature_b").mapInArrow(likely, "a long, b long, n_b long").groupBy("a", "b").agg(F.max("n_b").alias("n_b")), "likely")
+        work = found.agg(F.sum("n_b")).first()[0] or 0
+        slots = max(64, -(-work // GROUP))
+        # a center with very many members is dealt out in several shares, each with the center's text once
+        fans = found.groupBy("a").agg(F.ceil(F.sum("n_b") / GROUP).alias("shares"))
+        slot = lambda share: F.pmod(F.xxhash64("a", share), F.lit(slots)).cast("int")
+        right = found.select("a", "b").join(fans, "a").select(slot(F.pmod(F.xxhash64("b"), F.col("shares"))).alias("slot"), "a", "b").join(side("b", "text"), "b").select("slot", "a", "b", F.col("text_b").alias("text"))
+        left = fans.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")).select(slot(F.col("share")).alias("slot"), "a").distinct().join(side("a", "text"), "a").select("slot", F.col("a").alias("center"), F.col("text_a").alias("text"))
+
+        def confirmed(key, centers, others):
+            ids, links = centers.column("center").to_pylist(), []
+            order = np.argsort(others.column("a").to_numpy(), kind="stable")
+            sorted_a = others.column("a").to_numpy()[order]
+            for k in np.argsort(np.array(ids, np.int64), kind="stable").tolist():
+                x = shingle_set(centers.column("text")[k].as_py(), width)
+                at, stop = np.searchsorted(sorted_a, ids[k], "left"), np.searchsorted(sorted_a, ids[k], "right")
+                for row in order[at:stop].tolist():
+                    y = shingle_set(others.column("text")[row].as_py(), width)
+                    shared = len(x & y)
+                    if x and y and 100 * shared >= percent * (len(x) + len(y) - shared):
+                        links.append((ids[k], others.column("b")[row].as_py()))
+            del order, sorted_a
+            trimmed()
+            return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
+
+        links = written(left.groupBy("slot").cogroup(right.groupBy("slot")).applyInArrow(confirmed, "a long, b long"), "links")
+        discarded(found)
+        return links
 
     def shared_sizes(self, members: DataFrame) -> DataFrame:
         """(rep, shared): how many shingles of each member another member holds too."""
         width = self.width
-        parts, n = ex.batched(members, "rep", "text")
+        parts, n = ex.batched(members, "rep", "text", 1 << 19)
+        digits = max(64, -(-n // ex.DIGIT_BATCHES))
 
         def keys(part):
             part = ex.ordered(part)
@@ -208,7 +242,7 @@ class NearDedup:
 
         def emit(key, part):
             _, every, ids = keys(part)
-            return ex.send_range(key[0].as_py(), n, (every,), ids)
+            return ex.send_range(key[0].as_py(), digits, (every,), ids)
 
         def close(key, part, replies):
             part, every, ids = keys(part)
@@ -219,80 +253,94 @@ class NearDedup:
             place[order] = np.cumsum(fresh) - 1
             found, sums = np.unique(ids, return_inverse=True)
             shared = np.bincount(sums, weights=several[place], minlength=len(found)).astype(np.int64)
+            trimmed()
             return pa.table({"rep": pa.array(found, pa.int64()), "shared": pa.array(shared, pa.int64())})
 
         asked = parts.groupBy("batch")
         told = ex.resolved(asked.applyInArrow(emit, ex.SENT), 1, answered=False)
-        return asked.cogroup(told.groupBy("batch")).applyInArrow(close, "rep long, shared long")
+        each = asked.cogroup(told.groupBy("batch")).applyInArrow(close, "rep long, shared long")
+        return each.groupBy("rep").agg(F.max("shared").alias("shared"))  # of an id with several texts, what allows most
 
-    def long_signatures(self, members: DataFrame) -> DataFrame:
-        """(rep, nibbles): signatures of LONG places, of four bits each."""
-        width = self.width
+    def bounded(self, members: DataFrame) -> DataFrame:
+        """(rep, n, least, most): members that can link with another one, and the sizes that its partners can have."""
+        # |x & y| <= shared, and the similarity is |x & y| / (n_x + n_y - |x & y|)
+        reach = F.floor(F.col("shared") * (100 + self.percent) / self.percent) - F.col("n")
+        sizes = self.shared_sizes(members).join(members.groupBy("rep").agg(F.min("n").alias("n"), F.max("n").alias("_largest")), "rep")
+        sure = sizes.withColumn("most", F.when(F.col("n") == F.col("_largest"), reach).otherwise(F.lit(1 << 60))).withColumn("least", F.ceil(F.col("n") * self.percent / 100))
+        return sure.filter("least <= most").select("rep", "n", "_largest", "least", "most")
+
+    def fine_keys(self, members: DataFrame) -> DataFrame:
+        """(rep, nibbles, keys) for members (rep, text): long signatures of four bits a place, and keys of bands of FINE_ROWS places."""
+        width, places = self.width, self.fine * FINE_ROWS
 
         def run(batches):
             for b in slices(batches, "text", 1 << 17):
                 hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
-                found = nibbles(signatures(hashes, counts, LONG))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * found.shape[1], pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column("rep"), lists], ["rep", "nibbles"])
+                signature = signatures(hashes, counts, places)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (nibbles(signature), band_keys(signature, FINE_ROWS))]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), *lists], ["rep", "nibbles", "keys"])
 
-        return members.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(run, "rep long, nibbles array<long>")
+        return members.select("rep", "text").mapInArrow(run, "rep long, nibbles array<long>, keys array<long>")
 
-    def links(self, sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, n, rep) of all rows, and all links (a, b) among representatives that components need."""
-        full = sketches.filter("n > 0 and doc_id is not null")
-        classes = full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
-        membership = written(full.select("doc_id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).select("doc_id", "n", "rep"), "classes")
-        reps = membership.filter("doc_id = rep").select("rep").distinct()
-        bands = full.join(reps, full["doc_id"] == reps["rep"]).select("rep", F.explode("keys").alias("key"))
-        centers = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center <> last").select("key", "center")
-        buckets = written(bands.join(centers, "key").distinct(), "buckets")
-        involved = buckets.select("rep").distinct()
-        members = written(
-            involved.join(full.select(F.col("doc_id").alias("rep"), "n", "signature"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"),
-            "members",
-        )
-        first = written(self.verified(buckets.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), members), "links")
-        labelled = self._labelled(buckets, components(first))
-        opened = written(self._open(labelled).join(members.select("rep", "n").distinct(), "rep"), "open")
-        # sizes within a few percent: a star in each size class, and a chain of the stars' centers
-        classed = opened.withColumn("size", F.floor(F.log("n") / math.log1p((100 - self.percent) / 200)))
-        stars = classed.groupBy("key", "size").agg(F.min("rep").alias("star"))
-        to_star = classed.join(stars, ["key", "size"]).select(F.col("star").alias("a"), F.col("rep").alias("b"))
-        other = stars.select("key", "size", F.col("star").alias("b"))
-        chain = stars.select("key", F.explode(F.array(F.col("size") + 1, F.col("size") + 2)).alias("size"), F.col("star").alias("a")).join(other, ["key", "size"]).select("a", "b")
-        more = to_star.unionAll(chain).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        first = first.unionAll(written(self.verified(more, members), "links"))
-        opened = written(self._open(self._labelled(buckets, components(first))), "open")
-        sizes = self.shared_sizes(members.join(opened.select("rep").distinct(), "rep", "left_semi")).join(members.select("rep", "n").distinct(), "rep")
-        # |x & y| <= shared, and the similarity is |x & y| / (n_x + n_y - |x & y|)
-        reach = F.floor(F.col("shared") * (100 + self.percent) / self.percent) - F.col("n")
-        bounds = sizes.withColumn("most", reach).withColumn("least", F.ceil(F.col("n") * self.percent / 100)).filter("least <= most").select("rep", "n", "least", "most")
-        some = opened.join(bounds, "rep").join(self.long_signatures(members.join(bounds, "rep", "left_semi")), "rep").join(opened.groupBy("rep").agg(F.collect_set("key").alias("keys")), "rep")
-        x, y = (some.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "center", "component", "n", "least", "most", "nibbles", "keys"))) for s in "xy")
-        alike = differing(F.col("nibbles_x"), F.col("nibbles_y")) <= LONG - fewest_matches(self.percent / 100, LONG, self.miss, 16)
-        once = F.array_min(F.array_intersect("keys_x", "keys_y")) == x["key"]  # a pair counts in one of its buckets
-        sizes_fit = F.expr("rep_x < rep_y and component_x <> component_y and n_y between least_x and most_x and n_x between least_y and most_y and rep_x <> center_x")
-        near = x.join(y, (x["key"] == y["key"]) & sizes_fit & alike & once)
-        second = self.verified(near.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), members)
-        return membership, first.unionAll(written(second, "links"))
+    @staticmethod
+    def _stars(keyed: DataFrame) -> DataFrame:
+        """(key, rep, center) of the buckets of (key, rep) that have several members."""
+        centers = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("_last")).filter("center <> _last").select("key", "center")
+        return keyed.join(centers, "key").distinct()
 
     @staticmethod
-    def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
-        return buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "center", F.coalesce("component", "rep").alias("component"))
+    def _pairs(stars: DataFrame) -> DataFrame:
+        return stars.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
 
     @staticmethod
-    def _open(labelled: DataFrame) -> DataFrame:
-        """The rows of buckets whose members lie in several components."""
-        several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    def _open(stars: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of buckets whose members lie in several components, with their component."""
+        labelled = stars.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = labelled.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("key")
         return labelled.join(several, "key", "left_semi")
 
+    def links(self, sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, n, rep) of all rows with a set and an id, and all links (a, b) among representatives that components need."""
+        full = sketches.filter("n > 0 and doc_id is not null")
+        classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        membership = written(full.select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "rep"), "classes")
+        reps = membership.filter("doc_id = rep").select("rep").distinct()
+        own = full.join(reps, F.col("doc_id") == F.col("rep")).select("rep", "n", "signature", "keys")
+        stars = written(self._stars(own.select("rep", F.explode("keys").alias("key"))), "buckets")
+        involved = stars.select("rep").distinct()
+        members = written(involved.join(own.select("rep", "n", "signature"), "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep"), "members")
+        first = self.verified(self._pairs(stars), members)
+        # an id with several texts ties their classes together
+        ties = membership.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_b")).filter("a <> _b").select("doc_id", "a")
+        first = first.unionAll(membership.join(ties, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")))
+        opened = self._open(stars, components(first)).select("rep").distinct()
+        some = members.join(opened, "rep", "left_semi")
+        bounds = written(self.bounded(some), "bounds")
+        fine = written(self.fine_keys(some.join(bounds, "rep", "left_semi")).distinct(), "fine")
+        stars = written(self._stars(fine.select("rep", F.explode("keys").alias("key"))), "buckets")
+        second = first.unionAll(self.verified(self._pairs(stars), members))
+        left = self._open(stars, components(second)).join(bounds, "rep").join(fine.select("rep", "nibbles"), "rep")
+        x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "_largest", "least", "most", "nibbles"))) for s in "xy")
+        places = self.fine * FINE_ROWS
+        alike = differing(F.col("nibbles_x"), F.col("nibbles_y")) <= places - fewest_matches(self.percent / 100, places, self.miss, 16)
+        fit = F.expr("rep_x < rep_y and component_x <> component_y and _largest_y >= least_x and n_y <= most_x and _largest_x >= least_y and n_x <= most_y")
+        near = x.join(y, (x["key"] == y["key"]) & fit & alike).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+        return membership, second.unionAll(self.verified(near, members))
+
     def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
-        docs = texts(docs, id_col, text_col)
+        docs, ranks = ranked(docs, id_col)
+        kind = dict(docs.dtypes)[id_col]
+        docs = docs.select(F.col("_number").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         sketches = written(self.sketches(docs), "sketches")
         membership, links = self.links(sketches, docs)
         found = components(links)
-        linked = membership.join(found, membership["rep"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        linked = membership.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         alone = sketches.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-        return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        out = linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        for c in ("doc_id", "component_id"):
+            if ranks is None:
+                out = out.withColumn(c, F.col(c).cast(kind))
+            else:
+                out = out.join(ranks.select(F.col("_number").alias(c), F.col("_id").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+        return out.select("doc_id", "n_shingles", "component_id", "kept")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, powers, slices, texts
+from tidemark.llm.common import discarded, slices, string_hashes, texts, trimmed, with_rest, word_places, written
 
 BITS = 18
 GRADES = 3
@@ -39,12 +39,10 @@ KEEP = 0.65
 _SHAPES = 1 << 12
 
 PREFIXES = (4, 6)
-_ROOT = 0x2545F4914F6CDD1D
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_CODE = mixed(np.r_[np.arange(65), np.arange(65, 91) + 32, np.arange(91, 256)].astype(np.uint64), 31)
-_CODE[~_LETTER] = 0
+_LOWER = np.r_[np.arange(65), np.arange(65, 91) + 32, np.arange(91, 256)].astype(np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MARKS = np.flatnonzero(~_LETTER & ~_SPACE & (np.arange(256) > 32) & ~np.isin(np.arange(256), np.arange(48, 58)))
@@ -59,23 +57,16 @@ def features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     found = [_shapes(data, text, sizes)]
     if len(data):
-        letter = _LETTER[data]
-        begin, stop = letter.copy(), letter.copy()
-        begin[1:] &= ~letter[:-1] | (text[1:] != text[:-1])
-        stop[:-1] &= ~letter[1:] | (text[1:] != text[:-1])
-        start, stop = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        start, length, words = word_places(data, ends, _LETTER)
         if len(start):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * powers(_ROOT, len(data)))])
-            back, owner = powers(pow(_ROOT, -1, 1 << 64), len(data))[start], np.searchsorted(ends, start, "right")
+            low, owner = _LOWER[data], np.repeat(np.arange(len(values)), words)
             parts = []
             for k, size in enumerate((None, *PREFIXES)):
-                some = np.ones(len(start), bool) if size is None else stop - start > size
-                end = stop if size is None else start + size
-                hashes = mixed((sums[end[some]] - sums[start[some]]) * back[some], 37 + k)
+                some = np.ones(len(start), bool) if size is None else length > size
+                hashes = string_hashes(low, start[some], length[some] if size is None else np.full(int(some.sum()), size), 37 + k)
                 parts.append((owner[some] << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
             distinct = np.unique(parts[0])
             key = np.unique(np.concatenate(parts))
-            words = np.bincount(owner, minlength=len(values))
             kinds = np.bincount(distinct >> BITS, minlength=len(values))
             found.append(np.stack([key >> BITS, (key & ((1 << BITS) - 1)) + _SHAPES], 1))
             long = np.log2(words + 1).astype(np.int64)
@@ -117,19 +108,46 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit(index: np.ndarray, counts: np.ndarray, grades: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4, min_docs: int = MIN_DOCS) -> OrdinalModel:
-    """Maximum likelihood with weight decay, by full-batch Adam steps; the same rows give the same model."""
+def signals(held: np.ndarray, rated: np.ndarray, n: int, total: float, squares: float, min_docs: int = MIN_DOCS) -> np.ndarray:
+    """Which features get a weight. held: documents that have each; rated: the sum of their grades; n, total, squares: number, sum and sum of squares of all grades."""
+    mean = total / max(1, n)
+    spread = max(1e-9, squares / max(1, n) - mean * mean)
+    signal = np.abs(rated - held * mean) / np.sqrt(np.maximum(1e-9, held * spread))
+    return (held >= min_docs) & (held < n) & (signal >= SIGNAL)
+
+
+class Likelihood:
+    """The cumulative-link likelihood of some rows and its slopes. Rows are lists of slots (numbers of weights) end to end."""
+
+    def __init__(self, slots: np.ndarray, counts: np.ndarray, grades: np.ndarray, size: int, decay: float):
+        self.slots, self.row = slots.astype(np.int32), np.repeat(np.arange(len(grades), dtype=np.int32), counts)
+        self.grades, self.size, self.decay = grades, size, decay
+
+    def slopes(self, w: np.ndarray, first: float, gaps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """Mean log likelihood less decay / 2 * w * w, and how it rises with the weights, the first threshold, and the logarithms of the gaps."""
+        grades, n, at = self.grades, len(self.grades), np.arange(len(self.grades))
+        thresholds = first + np.r_[0, np.cumsum(np.exp(gaps))]
+        score = np.bincount(self.row, weights=w[self.slots], minlength=n)
+        tail = np.concatenate([np.ones((n, 1)), _sigmoid(score[:, None] - thresholds), np.zeros((n, 1))], 1)
+        high, low = tail[at, grades], tail[at, grades + 1]
+        chance = np.maximum(1e-9, high - low)
+        slope_high, slope_low = high * (1 - high) / chance, low * (1 - low) / chance
+        by_score = slope_high - slope_low
+        by_cut = np.array([-slope_high[grades == k].sum() + slope_low[grades == k - 1].sum() for k in range(1, GRADES)])
+        up = np.bincount(self.slots, weights=by_score[self.row], minlength=self.size) / n - self.decay * w
+        gap_up = np.array([by_cut[k:].sum() for k in range(1, GRADES - 1)]) * np.exp(gaps) / n
+        return np.log(chance).mean() - self.decay / 2 * (w * w).sum(), up, by_cut.sum() / n, gap_up
+
+
+def fit(slots: np.ndarray, counts: np.ndarray, grades: np.ndarray, used: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
+    """Maximum likelihood with weight decay, by full-batch Adam steps; the same rows give the same model.
+
+    used: the features that get a weight; slots: the places in `used` of each row's features, row by row.
+    """
     size = (1 << BITS) + _SHAPES
     if not len(grades):
         return OrdinalModel(np.zeros(size), np.full(GRADES - 1, -1e9))
-    held = np.bincount(index, minlength=size)
-    gap = np.bincount(index, weights=np.repeat(grades - grades.mean(), counts), minlength=size)
-    signal = np.abs(gap) / np.sqrt(np.maximum(1e-9, held * max(1e-9, grades.var())))
-    used = np.flatnonzero((held >= min_docs) & (held < len(grades)) & (signal >= SIGNAL))
-    slot = np.full(size, -1)
-    slot[used] = np.arange(len(used))
-    row, column = np.repeat(np.arange(len(grades)), counts), slot[index]
-    row, column = row[column >= 0], column[column >= 0]
+    likelihood = Likelihood(slots, counts, grades, len(used), decay)
     share = (np.bincount(grades, minlength=GRADES) + 1) / (len(grades) + GRADES)
     below = np.cumsum(share)[:-1]
     # thresholds as a first cut and logarithms of the gaps, which keeps them ordered
@@ -137,22 +155,8 @@ def fit(index: np.ndarray, counts: np.ndarray, grades: np.ndarray, rounds: int =
     w, first, gaps = np.zeros(len(used)), cut[0], np.log(np.maximum(1e-3, np.diff(cut)))
     state = [[np.zeros_like(np.asarray(p, float)), np.zeros_like(np.asarray(p, float))] for p in (w, first, gaps)]
     for t in range(1, rounds + 1):
-        thresholds = first + np.r_[0, np.cumsum(np.exp(gaps))]
-        score = np.bincount(row, weights=w[column], minlength=len(grades))
-        tail = np.concatenate([np.ones((len(grades), 1)), _sigmoid(score[:, None] - thresholds), np.zeros((len(grades), 1))], 1)
-        at = np.arange(len(grades))
-        high, low = tail[at, grades], tail[at, grades + 1]
-        chance = np.maximum(1e-9, high - low)
-        slope_high, slope_low = high * (1 - high) / chance, low * (1 - low) / chance
-        by_score = slope_high - slope_low
-        by_cut = np.zeros(GRADES - 1)
-        for k in range(1, GRADES):
-            by_cut[k - 1] = -(slope_high[grades == k].sum()) + slope_low[grades == k - 1].sum()
-        n = len(grades)
-        ups = np.bincount(column, weights=by_score[row], minlength=len(used)) / n - decay * w
-        gap_up = np.array([by_cut[k:].sum() for k in range(1, GRADES - 1)]) * np.exp(gaps) / n
         steps = []
-        for (m, v), g in zip(state, (ups, by_cut.sum() / n, gap_up), strict=True):
+        for (m, v), g in zip(state, likelihood.slopes(w, first, gaps)[1:], strict=True):
             m[...] = 0.9 * m + 0.1 * g
             v[...] = 0.999 * v + 0.001 * np.square(g)
             steps.append(rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
@@ -162,36 +166,80 @@ def fit(index: np.ndarray, counts: np.ndarray, grades: np.ndarray, rounds: int =
     return OrdinalModel(weights, first + np.r_[0, np.cumsum(np.exp(gaps))])
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """The model of a bounded, deterministic sample of labelled documents (doc_id, text; doc_id, quality, toxic)."""
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(values, pa.int32()))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """The model of a bounded, deterministic sample of labelled documents (doc_id, text; doc_id, quality, toxic).
+
+    Features are counted and chosen where the documents are; the driver gets, for each sampled
+    row, only the numbers of its chosen features.
+    """
+    docs = texts(docs, id_col, text_col)
     rated = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade")).filter("doc_id is not null and grade between 0 and 2")
-    both = texts(docs).join(rated.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
+    both = docs.join(rated.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
     chosen = both.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = rated.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(2 * sample)
-    rows = texts(docs).join(F.broadcast(picked), "doc_id")
+    rows = docs.join(F.broadcast(picked), "doc_id")
+    size = (1 << BITS) + _SHAPES
 
-    def run(batches):
+    def featured(batches):
         for b in slices(batches, "text", 1 << 20):
             index, counts = features([t.encode() for t in b.column("text").to_pylist()])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(index, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), lists], ["doc_id", "grade", "features"])
-
-    found = rows.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
-    if not found.num_rows:
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    lists = found.column("features").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return fit(lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()), found.column("grade").to_numpy())
-
-
-def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """(doc_id, expected_grade, tail_probability, kept) of every document."""
-    docs = texts(docs, id_col, text_col)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), _lists(counts, index)], ["doc_id", "grade", "features"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = written(rows.mapInArrow(featured, f"doc_id {kind}, grade int, features array<int>"), "features")
+
+    def counted(batches):
+        held, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for b in batches:
+            index, counts = b.column("features").flatten().to_numpy(), np.diff(b.column("features").offsets.to_numpy())
+            held += np.bincount(index, minlength=size)
+            total += np.bincount(index, weights=np.repeat(b.column("grade").to_numpy(), counts), minlength=size).astype(np.int64)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at]), pa.array(total[at])], ["feature", "held", "rated"])
+
+    n, total, squares = found.agg(F.count("*"), F.coalesce(F.sum("grade"), F.lit(0)), F.coalesce(F.sum(F.col("grade") * F.col("grade")), F.lit(0))).first()
+    sums = found.select("grade", "features").mapInArrow(counted, "feature int, held long, rated long").groupBy("feature").agg(F.sum("held").alias("held"), F.sum("rated").alias("rated"))
+    sums = sums.filter(F.col("held") >= MIN_DOCS).toArrow()  # a fixed number of features at most
+    index = sums.column("feature").to_numpy()
+    some = signals(sums.column("held").to_numpy(), sums.column("rated").to_numpy(), n, float(total), float(squares))
+    used = np.sort(index[some])
+    del sums, index, some
+
+    def slotted(batches):
+        slot = np.full(size, -1, np.int32)
+        slot[used] = np.arange(len(used))
+        for b in batches:
+            counts = np.diff(b.column("features").offsets.to_numpy())
+            mine = slot[b.column("features").flatten().to_numpy()]
+            per_row = np.bincount(np.repeat(np.arange(len(counts)), counts)[mine >= 0], minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), _lists(per_row, mine[mine >= 0])], ["doc_id", "grade", "slots"])
+
+    got = found.mapInArrow(slotted, f"doc_id {kind}, grade int, slots array<int>").toArrow()
+    discarded(found)
+    if not got.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), used)
+    got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    lists = pa.concat_arrays(got.column("slots").chunks)
+    model = fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), got.column("grade").to_numpy(), used)
+    del got, lists
+    trimmed()
+    return model
+
+
+def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, expected_grade, tail_probability, kept) of every document; with `carry`, also `rest`, a struct of those columns of its row."""
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the corpus
 
     def run(batches):
         for b in slices(batches, "text", 1 << 18):
             tails = held.value.tails([t.encode() for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep)], ["doc_id", "expected_grade", "tail_probability", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep), b.column("rest")], ["doc_id", "expected_grade", "tail_probability", "kept", "rest"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail_probability double, kept boolean")
+    found = docs.mapInArrow(run, with_rest(f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail_probability double, kept boolean", docs))
+    return found if carry else found.drop("rest")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import flat, mixed, numbered, trimmed
+from tidemark.llm.common import flat, mixed, numbered, trimmed, with_rest
 
 LENGTH = 50
 GRAM = 24
@@ -400,11 +400,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         trimmed()
         return pa.Table.from_arrays([part.column("doc_id"), part.column("text"), *spans, part.column("rest")], ["doc_id", "text", "starts", "stops", "rest"])
 
-    kinds = dict(parts.dtypes)
+    kind = dict(parts.dtypes)["doc_id"]
     asked = parts.groupBy("batch")
     one = asked.applyInArrow(send_anchors, SENT).groupBy("digit").applyInArrow(lambda part: shared_anchors(part, hot), REPLY)
     two = asked.cogroup(one.groupBy("batch")).applyInArrow(send_stretches, SENT).groupBy("digit").applyInArrow(lambda part: smaller_holders(part, length, gram), REPLY)
-    return asked.cogroup(one.unionAll(two).groupBy("batch")).applyInArrow(close, f"doc_id {kinds['doc_id']}, text string, starts array<long>, stops array<long>, rest {kinds['rest']}")
+    return asked.cogroup(one.unionAll(two).groupBy("batch")).applyInArrow(close, with_rest(f"doc_id {kind}, text string, starts array<long>, stops array<long>", parts))
 
 
 def _kept(text: str, starts: list[int], stops: list[int]) -> bytes:
@@ -442,5 +442,4 @@ def kept_texts(spans: DataFrame) -> DataFrame:
                 rows.append((kept.decode("utf-8", "ignore") if starts else text, sum(stops) - sum(starts)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), b.column("rest")], ["doc_id", "text", "n_removed", "rest"])
 
-    kinds = dict(spans.dtypes)
-    return spans.mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, n_removed long, rest {kinds['rest']}")
+    return spans.mapInArrow(run, with_rest(f"doc_id {dict(spans.dtypes)['doc_id']}, text string, n_removed long", spans))
