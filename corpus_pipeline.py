@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over `documents`, each of which can be written and read again by whoever runs them.
 
-Every stage but the last returns the columns of documents. A null text is empty to every
-stage; rows with a null doc_id are graded like others and pass the stages that compare
-documents by id unchanged.
+Every stage but the last returns the columns of documents. Decisions are taken row by row, so rows
+with a null id, and rows that share an id, are each judged on their own text; only near duplicates know
+documents by id: rows of one id are one document there, and those with a null id are linked with nothing and stay.
+A null text is empty to every stage.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ PASSAGE_BYTES = 99
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the classifier rejects go."""
     model = quality.trained(docs, table(spark, sf_dir, "labels"))
-    kept = quality.graded(docs.filter("doc_id is not null"), model).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS).unionAll(docs.filter("doc_id is null").select(COLUMNS))
+    return quality.graded(docs, model, carry=tuple(COLUMNS)).filter("kept").select("rest.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +33,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: passages that a document with a smaller id holds are cut out; texts change, no document goes."""
-    spans = suffix_dedup.removed_spans(docs, length=PASSAGE_BYTES, gram=32)
-    kept = suffix_dedup.kept_texts(spans).filter("n_removed > 0").select("doc_id", F.col("text").alias("kept_text")).dropDuplicates(["doc_id"])
-    text = F.coalesce("kept_text", "text")
-    return docs.join(kept, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    marked = docs.select(*COLUMNS, F.col("text").isNull().alias("none"))
+    spans = suffix_dedup.removed_spans(marked, length=PASSAGE_BYTES, gram=48, carry=("lang", "source", "n_chars", "none"))
+    cut = suffix_dedup.kept_texts(spans)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return cut.select("doc_id", F.when(~F.col("rest.none"), F.col("text")).alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that hold a benchmark item go."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), carry=tuple(COLUMNS))
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
