@@ -80,15 +80,15 @@ def removed(rows, length):
 
 @pytest.mark.parametrize("batch_bytes", [8 << 20, 3000])
 def test_suffix_dedup_equals_brute_force(docs, batch_bytes):
-    got = suffix_dedup.kept_digests(suffix_dedup.removed_spans(docs, batch_bytes=batch_bytes)).collect()
+    got = suffix_dedup.kept_digests(docs, batch_bytes=batch_bytes).collect()
     assert sorted(map(tuple, got), key=str) == removed(ROWS, 50)
-    assert suffix_dedup.kept_digests(suffix_dedup.removed_spans(docs.limit(0))).count() == 0
+    assert suffix_dedup.kept_digests(docs.limit(0)).count() == 0
 
 
 def test_suffix_dedup_on_documents(small):
     rows = [(r.doc_id, r.text) for r in small.collect()]
     for length, gram in ((50, 16), (99, 48)):
-        got = suffix_dedup.kept_digests(suffix_dedup.removed_spans(small, length=length, gram=gram)).collect()
+        got = suffix_dedup.kept_digests(small, length=length, gram=gram).collect()
         assert sorted(map(tuple, got), key=str) == removed(rows, length)
 
 
@@ -113,7 +113,7 @@ def test_suffix_dedup_decides_on_bytes(spark, batch_bytes, hot):
         want[n] = (i, sum(gone), hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest())
     spans = suffix_dedup.removed_spans(docs, batch_bytes=batch_bytes, hot=hot, carry=("number", "batch"))
     assert {(x.number, x.batch) for x in (r.rest for r in spans.collect())} == {(1, "n")}
-    got = [(x.doc_id, x.n_removed, x.kept_sha256) for x in suffix_dedup.kept_digests(spans).collect()]
+    got = [(x.doc_id, x.n_removed, x.kept_sha256) for x in suffix_dedup.kept_digests(docs, batch_bytes=batch_bytes, hot=hot).collect()]
     assert sorted(got, key=str) == sorted(want.values(), key=str)
 
 

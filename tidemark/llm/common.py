@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
@@ -76,6 +76,11 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def struct_of(columns: tuple[str, ...]) -> Column:
+    """Columns to be carried along, as one struct; a null string where there are none."""
+    return F.struct(*(F.col(c) for c in columns)) if columns else F.lit(None).cast("string")
+
+
 def with_rest(schema: str, df: DataFrame) -> StructType:
     """A schema of named columns, and df's own `rest` with its fields as they are (null or not)."""
     return StructType.fromDDL(schema).add("rest", df.schema["rest"].dataType)

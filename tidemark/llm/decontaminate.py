@@ -29,10 +29,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, slices, spread, with_rest, written
+from tidemark.llm.common import mixed, slices, spread, struct_of, with_rest, written
 from tidemark.llm.near_dedup import shingles_of
 
 WIDTH = 5
@@ -80,7 +80,7 @@ def filter_of(hashes: DataFrame, column: str) -> Filter:
     """The filter of a column of long arrays; its size follows the number of hashes up to a fixed bound."""
     each = hashes.select(F.explode(column).alias("h"))
     n = each.count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length())).bit_length() - 1
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (4096 * n).bit_length())).bit_length() - 1
     at = each.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros((1 << bits) // 64, np.uint64)
@@ -136,7 +136,7 @@ def agreeing(hashes: np.ndarray, counts: np.ndarray, power: int, turn: int, know
 
 
 def searched(docs: DataFrame, items: DataFrame, width: int, containment: float, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, minima, shingles, rest) of documents (doc_id, text, rest) that may hold an item, of all if `whole`; and (row, item_id, n_item_shingles, n_shared) of those that do.
+    """(row, doc_id, minima, shingles, rest) of documents (doc_id, text, rest) that may hold an item, of all, with their text, if `whole`; and (row, item_id, n_item_shingles, n_shared) of those that do.
 
     Both are read from written tables.
     """
@@ -149,7 +149,7 @@ def searched(docs: DataFrame, items: DataFrame, width: int, containment: float,
         serial = TaskContext.get().partitionId() << 40
         minima, shingle = held.value
         for b in slices(batches, "text", 1 << 17):
-            hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
+            hashes, counts = shingles_of([(t or "").encode() for t in b.column("text").to_pylist()], width)
             found = [agreeing(hashes, counts, p, t, minima) for p in powers for t in range(rounds_of(p, containment))]
             pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.uint64), *(f[k].astype(np.uint64) for f in found)]) for k in range(2)]), axis=1)
             cuts = np.searchsorted(pairs[0], np.arange(b.num_rows + 1, dtype=np.uint64))
@@ -159,12 +159,13 @@ def searched(docs: DataFrame, items: DataFrame, width: int, containment: float,
             for k, e, c in zip(keys, ends, counts, strict=True):
                 own = np.unique(hashes[e - c : e]) if len(k) else hashes[:0]
                 sets.append(own[shingle.holds(own)] if len(own) else own)
-            columns = [pa.array(np.arange(serial, serial + b.num_rows)), b.column("doc_id"), _lists(keys), _lists(sets), b.column("rest")]
+            text = b.column("text") if whole else pa.nulls(b.num_rows, pa.string())
+            columns = [pa.array(np.arange(serial, serial + b.num_rows)), b.column("doc_id"), text, _lists(keys), _lists(sets), b.column("rest")]
             serial += b.num_rows
-            out = pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "minima", "shingles", "rest"])
+            out = pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text", "minima", "shingles", "rest"])
             yield out if whole else out.filter(pa.array(np.array([len(k) > 0 for k in keys], bool)))
 
-    rows = written(docs.mapInArrow(run, with_rest(f"row long, doc_id {dict(docs.dtypes)['doc_id']}, minima array<long>, shingles array<long>", docs)), "searched")
+    rows = written(docs.mapInArrow(run, with_rest(f"row long, doc_id {dict(docs.dtypes)['doc_id']}, text string, minima array<long>, shingles array<long>", docs)), "searched")
     key = lambda df, one: df.select(one, F.explode("minima").alias("h"))
     pairs = key(rows, "row").join(key(index, "item"), "h").select("row", "item").distinct()
     full = pairs.join(rows.select("row", F.col("shingles").alias("held")), "row").join(index.select("item", "item_id", "n", "shingles"), "item")
@@ -173,20 +174,22 @@ def searched(docs: DataFrame, items: DataFrame, width: int, containment: float,
     return rows, dirty.select("row", "item_id", F.col("n").alias("n_item_shingles"), "n_shared")
 
 
-def _sides(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, rest: Column) -> tuple[DataFrame, DataFrame]:
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
+def _sides(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), struct_of(carry).alias("rest"))
     return docs, items.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document that holds enough of an item."""
-    rows, dirty = searched(*_sides(docs, items, id_col, text_col, item_col, item_text_col, F.lit(None).cast("string")), width, containment, False)
+    rows, dirty = searched(*_sides(docs, items, id_col, text_col, item_col, item_text_col), width, containment, False)
     found = dirty.join(rows.select("row", "doc_id"), "row")
     return found.select("doc_id", "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, containment: float = CONTAINMENT, carry: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of docs that hold no item, with the columns in `carry` (all if None)."""
-    rest = F.struct(*(F.col(c) for c in (carry or docs.columns)))
-    rows, dirty = searched(*_sides(docs, items, id_col, text_col, item_col, item_text_col, rest), width, containment, True)
-    return rows.join(dirty.select("row").distinct(), "row", "left_anti").select("rest.*")
+    names = carry or docs.columns
+    others = tuple(c for c in names if c not in (id_col, text_col))
+    rows, dirty = searched(*_sides(docs, items, id_col, text_col, item_col, item_text_col, others), width, containment, True)
+    clean = rows.join(dirty.select("row").distinct(), "row", "left_anti")
+    return clean.select(*(F.col({id_col: "doc_id", text_col: "text"}.get(c, f"rest.{c}")).alias(c) for c in names))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discarded, slices, string_hashes, texts, trimmed, with_rest, word_places, written
+from tidemark.llm.common import discarded, slices, string_hashes, struct_of, texts, trimmed, with_rest, word_places, written
 
 BITS = 18
 GRADES = 3
@@ -230,16 +230,17 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: st
     return model
 
 
-def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, expected_grade, tail_probability, kept) of every document; with `carry`, also `rest`, a struct of those columns of its row."""
-    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
+def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, expected_grade, tail_probability, kept) of every document; with `carry`, also its text as it is and `rest`, a struct of those other columns of its row."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), struct_of(carry or ()).alias("rest"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the corpus
 
     def run(batches):
         for b in slices(batches, "text", 1 << 18):
-            tails = held.value.tails([t.encode() for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep), b.column("rest")], ["doc_id", "expected_grade", "tail_probability", "kept", "rest"])
+            tails = held.value.tails([(t or "").encode() for t in b.column("text").to_pylist()])
+            found = [b.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep)]
+            names = ["doc_id", "expected_grade", "tail_probability", "kept"]
+            yield pa.RecordBatch.from_arrays([*found, b.column("text"), b.column("rest")] if carry else found, [*names, "text", "rest"] if carry else names)
 
-    found = docs.mapInArrow(run, with_rest(f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail_probability double, kept boolean", docs))
-    return found if carry else found.drop("rest")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, tail_probability double, kept boolean"
+    return docs.mapInArrow(run, with_rest(f"{schema}, text string", docs) if carry else schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import flat, mixed, numbered, trimmed, with_rest
+from tidemark.llm.common import flat, mixed, numbered, struct_of, trimmed, with_rest
 
 LENGTH = 50
 GRAM = 24
@@ -188,6 +188,7 @@ def texts_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 SENT = "digit int, batch int, base long, keys binary, more binary, body binary"
 REPLY = "batch int, step int, base long, answers binary"
+SPANS = "text string, starts array<long>, stops array<long>"
 
 
 def _table(rows: list[tuple], names: str) -> pa.Table:
@@ -323,14 +324,15 @@ def _answers(replies: pa.Table, step: int) -> list[tuple[int, bytes]]:
     return [(b, a) for s, b, a in zip(*(replies.column(c).to_pylist() for c in ("step", "base", "answers")), strict=True) if s == step]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, hot: int = HOT, carry: tuple[str, ...] = (), then: tuple[Callable[[pa.Table], pa.Table], str] | None = None) -> DataFrame:
     """(doc_id, text, starts array<long>, stops array<long>, rest): every row with its maximal removed runs, in bytes.
 
-    rest is a struct of the columns in `carry`.
+    rest is a struct of the columns in `carry`. `then` is a function of such rows, applied where
+    they are made, and the schema of its columns between doc_id and rest.
     """
     if not 8 <= gram < length or length - gram > 62:
         raise ValueError("gram must have 8 bytes at least and be shorter than length by 1 to 62")
-    parts, n = ex.batched(numbered(docs, id_col), id_col, text_col, batch_bytes, extra={"number": F.col("_number"), "rest": F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")})
+    parts, n = ex.batched(numbered(docs, id_col), id_col, text_col, batch_bytes, extra={"number": F.col("_number"), "rest": struct_of(carry)})
     digits = max(DIGITS, n // 4)
 
     def state(part):
@@ -398,13 +400,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         spans = [pa.ListArray.from_arrays(offsets, pa.array(x - heads[doc], pa.int64())) for x in (a, b)]
         del s, depth, cover, mask, mine
         trimmed()
-        return pa.Table.from_arrays([part.column("doc_id"), part.column("text"), *spans, part.column("rest")], ["doc_id", "text", "starts", "stops", "rest"])
+        out = pa.Table.from_arrays([part.column("doc_id"), part.column("text"), *spans, part.column("rest")], ["doc_id", "text", "starts", "stops", "rest"])
+        return then[0](out) if then else out
 
     kind = dict(parts.dtypes)["doc_id"]
     asked = parts.groupBy("batch")
     one = asked.applyInArrow(send_anchors, SENT).groupBy("digit").applyInArrow(lambda part: shared_anchors(part, hot), REPLY)
     two = asked.cogroup(one.groupBy("batch")).applyInArrow(send_stretches, SENT).groupBy("digit").applyInArrow(lambda part: smaller_holders(part, length, gram), REPLY)
-    return asked.cogroup(one.unionAll(two).groupBy("batch")).applyInArrow(close, with_rest(f"doc_id {kind}, text string, starts array<long>, stops array<long>", parts))
+    return asked.cogroup(one.unionAll(two).groupBy("batch")).applyInArrow(close, with_rest(f"doc_id {kind}, {then[1] if then else SPANS}", parts))
 
 
 def _kept(text: str, starts: list[int], stops: list[int]) -> bytes:
@@ -415,31 +418,27 @@ def _kept(text: str, starts: list[int], stops: list[int]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def kept_digests(spans: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of what removed_spans() returns."""
+def _digests(rows: pa.Table) -> pa.Table:
+    out = []
+    for text, starts, stops in zip(*(rows.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True):
+        kept, size = _kept(text, starts, stops), len(text.encode())
+        out.append((size, size - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.Table.from_arrays([rows.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), rows.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"])
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text, starts, stops in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True):
-                kept, size = _kept(text, starts, stops), len(text.encode())
-                rows.append((size, size - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kind = dict(spans.dtypes)["doc_id"]
-    return spans.select("doc_id", "text", "starts", "stops").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def _texts(rows: pa.Table) -> pa.Table:
+    out = []
+    for text, starts, stops in zip(*(rows.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True):
+        out.append((_kept(text, starts, stops).decode("utf-8", "ignore") if starts else text, sum(stops) - sum(starts)))
+    return pa.Table.from_arrays([rows.column("doc_id"), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), rows.column("rest")], ["doc_id", "text", "n_removed", "rest"])
 
 
-def kept_texts(spans: DataFrame) -> DataFrame:
-    """(doc_id, text, n_removed, rest): the texts without their removed runs. A character that a run cuts is dropped whole."""
+def kept_digests(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; options as of removed_spans()."""
+    return removed_spans(docs, then=(_digests, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"), **options).drop("rest")
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text, starts, stops in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "stops")), strict=True):
-                kept = _kept(text, starts, stops)
-                rows.append((kept.decode("utf-8", "ignore") if starts else text, sum(stops) - sum(starts)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), b.column("rest")], ["doc_id", "text", "n_removed", "rest"])
 
-    return spans.mapInArrow(run, with_rest(f"doc_id {dict(spans.dtypes)['doc_id']}, text string, n_removed long", spans))
+def kept_texts(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, text, n_removed, rest): the texts without their removed runs. A character that a run cuts is dropped whole."""
+    return removed_spans(docs, then=(_texts, "text string, n_removed long"), **options)
