@@ -22,7 +22,8 @@ PASSAGE_BYTES = 99
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the classifier rejects go."""
     model = quality.trained(docs, table(spark, sf_dir, "labels"))
-    return quality.graded(docs, model, carry=tuple(COLUMNS)).filter("kept").select("rest.*")
+    graded = quality.graded(docs, model, carry=("lang", "source", "n_chars"))
+    return graded.filter("kept").select("doc_id", "text", "rest.lang", "rest.source", "rest.n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: passages that a document with a smaller id holds are cut out; texts change, no document goes."""
     marked = docs.select(*COLUMNS, F.col("text").isNull().alias("none"))
-    spans = suffix_dedup.removed_spans(marked, length=PASSAGE_BYTES, gram=48, carry=("lang", "source", "n_chars", "none"))
-    cut = suffix_dedup.kept_texts(spans)
+    cut = suffix_dedup.kept_texts(marked, length=PASSAGE_BYTES, gram=48, carry=("lang", "source", "n_chars", "none"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
     return cut.select("doc_id", F.when(~F.col("rest.none"), F.col("text")).alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"))
 
