@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -533,6 +534,47 @@ def test_html_deep_wrappers(spark):
     assert model.main_text([html.blocks(page)])[0].split("\n") == [f"Sentence {k} of the main text that goes on for a while, and more." for k in range(5)]
 
 
+def test_html_reads_markup_like_html():
+    cases = {
+        "<p title=it's>hello world</p>": ["hello world"],
+        "<a href=x'y>t</a>": ["t"],
+        '<a href = "a>b" title=\'c>d\'>t</a> u': ["t u"],
+        "<article><p>a</p><!--><p>b</p><!---><p>c</p></article>": ["a", "b", "c"],
+        "<p>a<!-- x --!>b<!-- never <p>ends": ["ab"],
+        "<p>a</><?php x ?><![CDATA[ y ]]>b": ["ab"],
+        "<p>a < b and 3<4</p>": ["a < b and 3<4"],
+        '<p class="x>lost quote</p><p>next</p>': ["lost quote", "next"],
+        "<b>x<div>y</b>z</div>": ["x", "yz"],
+        "<ul><li>a<ul><li>b</ul><li>c</ul>": ["a", "b", "c"],
+        "<table><tr><td>a<td>b<tr><td>c</table>": ["a", "b", "c"],
+    }
+    for page, want in cases.items():
+        assert [b.text for b in html.blocks(page)] == want, page
+    assert html.blocks("<div class=a id='b c' role=\"d\">x")[0].path == ("div a b c d",)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60000 + "</span>" * 60000 + "x", "<span>" + "<div>" * 60000 + "</span>" * 60000 + "x", "<![CDATA[" * 60000, "<!x" * 60000, "<b>" * 60000 + "<hr>x" * 60000, "<p class='" * 60000, "".join(f"<div class=c{k}>x" for k in range(20000)), "</" * 60000, "<a b=" * 60000])
+def test_html_time_is_linear(page):
+    began = time.process_time()
+    html.vectors(html.blocks(page))
+    assert time.process_time() - began < 20
+
+
+def test_html_pages_without_telling_names(spark):
+    """Plain division and table layouts, read by a labeller that has seen named pages, and by one that has not."""
+    sentence = lambda k: f"The committee of the town met on day {k} of the month, and it decided to build a bridge over the river."
+    links = "".join(f"<a href=/{k}>Page {k}</a> " for k in range(6))
+    body = [sentence(k) for k in range(6)]
+    div = f"<html><body><div><div>{links}</div></div><div><div>" + "".join(f"<p>{x}</p>" for x in body) + f"</div></div><div>{links}</div></body></html>"
+    td = f"<html><body><table><tr><td>{links}</td></tr><tr><td>" + "".join(f"<p>{x}</p>" for x in body) + f"</td></tr><tr><td>{links}</td></tr></table></body></html>"
+    named = html.trained(spark.read.parquet(f"{DATA}/sf0.01/pages.parquet"))
+    plain = html.trained(spark.createDataFrame([(p.replace("river", f"river{k}"),) for p in (div, td) for k in range(20)], "html string"))
+    for model in (named, plain):
+        assert [t.split("\n") for t in model.main_text([html.blocks(div), html.blocks(td)])] == [body, body]
+    bare = html.trained(spark.createDataFrame([("<p>a<p>b",)], "html string"))
+    assert bare.main_text([html.blocks("<p>a<p>b")]) == ["a\nb"]
+
+
 def test_html_trains_on_distinct_whole_pages(spark, monkeypatch):
     long = "<article>" + "<p>some words</p>" * 450 + "<p>" + "word " * 45000 + "</p></article><footer>end</footer>"
     short = [f"<article><p>text {k}</p></article><footer>end</footer>" for k in range(3)]
@@ -541,7 +583,7 @@ def test_html_trains_on_distinct_whole_pages(spark, monkeypatch):
     monkeypatch.setattr(html.Labeller, "fit", lambda self, pages, targets: 0.0)
     pages = spark.createDataFrame([(p,) for p in [short[0]] * 20 + short[1:] + [long]], "html string")
     html.trained(pages, sample=4)
-    assert sorted(seen) == [2] * 9 + [452] * 3
+    assert sorted(seen) == [2] * 15 + [452] * 5
 
 
 def test_every_operator_has_one_query():

@@ -302,7 +302,7 @@ class NearDedup:
     def links(self, sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, rep) of all rows with a set and an id, and all links (a, b) among representatives that components need."""
         full = sketches.filter("n > 0 and doc_id is not null")
-        classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")  # a table of its own, so that the join can split a hot class
         membership = written(full.select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "rep"), "classes")
         reps = membership.filter("doc_id = rep").select("rep").distinct()
         own = full.join(reps, F.col("doc_id") == F.col("rep")).select("rep", "n", "signature", "keys")
