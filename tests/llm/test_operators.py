@@ -451,10 +451,21 @@ def test_chat_parts(spark):
     assert r.expanded_tokens == 438
 
 
-@pytest.mark.parametrize("kind", range(5))
+def test_png_rows_of_all_filters_and_colours():
+    r = np.random.default_rng(8)
+    for bpp in (1, 3):
+        samples = r.integers(0, 256, (40, 20 * bpp), dtype=np.uint8)
+        mixed = np.stack([media.filtered(samples, k, bpp) for k in range(5)])[r.integers(0, 5, 40), np.arange(40)]
+        assert set(mixed[:, 0]) == set(range(5)) and (media.unfiltered(mixed, bpp) == samples).all()
+        header = media.struct.pack(">IIBBBBB", 20, 40, 8, 2 if bpp == 3 else 0, 0, 0, 0)
+        png = media.SIGNATURE + media.chunk(b"IHDR", header) + media.chunk(b"IDAT", zlib.compress(mixed.tobytes())) + media.chunk(b"IEND", b"")
+        assert (media.read_png(png).reshape(40, -1) == samples).all()
+
+
+@pytest.mark.parametrize("kind", [None, *range(5)])
 @pytest.mark.parametrize("rows", [1, 7])
 def test_png_filters_round_trip(kind, rows):
-    data = np.random.default_rng(kind).integers(0, 256, rows * 192, dtype=np.uint8).tobytes()
+    data = np.random.default_rng(kind or 0).integers(0, 256, rows * 192, dtype=np.uint8).tobytes()
     png = media.write_png(data, kind=kind)
     assert media.read_png(png).tobytes() == data
     for at in (0, 20, len(png) // 2, len(png) - 1):
@@ -472,6 +483,8 @@ def test_media_columns(spark, docs):
         data += b" " * (-len(data) % 192 if data else 192)
         assert (got[i].payload_sha256, got[i].payload_bytes, got[i].tail_crc32) == (hashlib.sha256(data).hexdigest(), len(data), zlib.crc32(data[-16:]))
     assert got[1].feature == got[2].feature and got[1].media_sha256 == got[2].media_sha256
+    texts = [zlib.decompress(b"".join(body for kind, body in media.chunks(r.media) if kind == b"IDAT")) for r in made.filter("doc_id = 8").collect()]
+    assert {x for t in texts for x in t[::193]} - {media.NONE}  # filters are chosen, so reading back undoes them
     broken = media.media_features(made.withColumn("media", F.lit(b"\x89PNG broken"))).collect()
     assert all(r.feature is None and r.error for r in broken)
     assert media.media_features(media.with_media(docs.limit(0))).count() == 0

@@ -451,7 +451,7 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.n
             path = page[k].path
             at = _mark(path, label) + 1
             page[k] = Block((*path[:at], *above[label], *(_nest(r) if r.random() < 0.2 else ()), *path[at:]), page[k].text, page[k].linked, page[k].depth + len(above[label]))
-    for _ in range(int(r.integers(1, 5))):
+    for _ in range(int(r.integers(2, 8))):
         kind = str(names[r.integers(len(names))])
         tag = str(r.choice(["div", "section", "aside", "form", "nav", "footer", "header", "ul", "p", "dialog"]))
         where = inner if r.random() < 0.5 else outer

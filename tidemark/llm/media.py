@@ -1,6 +1,7 @@
 """Operator 10: media columns. Payloads become PNG files in a binary column and are read back from it.
 
-The writer makes 8-bit grey images; the reader takes any 8-bit grey or RGB PNG without
+The writer makes 8-bit grey images and gives each row the filter, of plain, left and up, whose
+differences are smallest; the reader takes any 8-bit grey or RGB PNG without
 interlacing: it tests every chunk's checksum, inflates the data and undoes the five row
 filters with numpy. Features are hashes of the low frequencies of a cosine transform.
 
@@ -74,36 +75,51 @@ def _nearest(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray
     return np.where((far_left <= far_up) & (far_left <= far_corner), left, np.where(far_up <= far_corner, up, corner))
 
 
+def adaptive(rows: np.ndarray, kinds: tuple[int, ...] = (NONE, SUB, UP)) -> np.ndarray:
+    """Rows of samples, each under the filter kind with the smallest sum of signed differences."""
+    made = np.stack([filtered(rows, k) for k in kinds])
+    cost = np.abs(made[:, :, 1:].view(np.int8).astype(np.int16)).sum(axis=2)
+    return made[cost.argmin(axis=0), np.arange(len(rows))]
+
+
 def unfiltered(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """Samples of filtered lines. Runs of plain or up-filtered rows are undone whole, the others row by row."""
+    """Samples of filtered lines. Plain, left and up rows are undone row by row; where a row needs each pixel's left neighbour and the row above, all rows go together along the diagonals."""
     kinds, out = lines[:, 0], lines[:, 1:].copy()
     if not len(kinds) or (kinds == NONE).all():
         return out
     if kinds.max() > PAETH:
         raise ValueError("unknown filter")
-    for y, kind in enumerate(kinds):
-        above = out[y - 1] if y else np.zeros(out.shape[1], np.uint8)
+    if kinds.max() >= AVERAGE:
+        return _by_diagonals(kinds, out, bpp)
+    for y, kind in enumerate(kinds.tolist()):
         if kind == UP:
-            out[y] += above
+            if y:
+                out[y] += out[y - 1]
         elif kind == SUB:
             for c in range(bpp):
                 out[y, c::bpp] = np.add.accumulate(out[y, c::bpp], dtype=np.uint8)
-        elif kind in (AVERAGE, PAETH):  # each pixel needs the one before it
-            row, up = out[y].astype(np.int16).reshape(-1, bpp), above.astype(np.int16).reshape(-1, bpp)
-            left = corner = np.zeros(bpp, np.int16)
-            for x in range(len(row)):
-                guess = (left + up[x]) >> 1 if kind == AVERAGE else _nearest(left, up[x], corner)
-                left = row[x] = (row[x] + guess) & 255
-                corner = up[x]
-            out[y] = row.reshape(-1)
     return out
 
 
-def write_png(payload: bytes, row_bytes: int = ROW_BYTES, level: int = 6, kind: int = NONE) -> bytes:
-    """A grey PNG whose samples are the payload; its length must be a positive multiple of row_bytes."""
+def _by_diagonals(kinds: np.ndarray, lines: np.ndarray, bpp: int) -> np.ndarray:
+    """A pixel needs those to its left, above and between, which lie on the two diagonals before its own."""
+    height, width = len(lines), lines.shape[1] // bpp
+    raw = lines.reshape(height, width, bpp).astype(np.int16)
+    done = np.zeros((height + 1, width + 1, bpp), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x, kind = d - y, kinds[y][:, None]
+        left, up, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        guess = np.select([kind == SUB, kind == UP, kind == AVERAGE, kind == PAETH], [left, up, (left + up) >> 1, _nearest(left, up, corner)], 0)
+        done[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return done[1:, 1:].reshape(height, -1).astype(np.uint8)
+
+
+def write_png(payload: bytes, row_bytes: int = ROW_BYTES, level: int = 6, kind: int | None = None) -> bytes:
+    """A grey PNG whose samples are the payload; its length must be a positive multiple of row_bytes. kind: one filter for all rows, None to choose for each."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, row_bytes)
     header = struct.pack(">IIBBBBB", row_bytes, len(rows), 8, 0, 0, 0, 0)
-    body = zlib.compress(filtered(rows, kind).tobytes() if kind else np.pad(rows, ((0, 0), (1, 0))).tobytes(), level)
+    body = zlib.compress((adaptive(rows) if kind is None else filtered(rows, kind)).tobytes(), level)
     return SIGNATURE + chunk(b"IHDR", header) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
 
 
@@ -129,14 +145,24 @@ def read_png(png: bytes) -> np.ndarray:
     return unfiltered(lines.reshape(height, -1), bpp).reshape(height, width, bpp)
 
 
-@lru_cache(4096)
-def cosines(n: int, k: int = 8) -> np.ndarray:
-    """The k lowest rows of the orthonormal cosine transform of length n."""
+#: transforms up to this length are kept: 512 of them have 16 MB at most
+KEPT = 512
+
+
+def _cosines(n: int, k: int = 8) -> np.ndarray:
     x = np.cos(np.pi * np.arange(k)[:, None] * (2 * np.arange(n)[None, :] + 1) / (2 * n)) * np.sqrt(2 / n)
     x[0] /= np.sqrt(2)
     return x
 
 
+_kept_cosines = lru_cache(KEPT)(_cosines)
+
+
+def cosines(n: int) -> np.ndarray:
+    """The eight lowest rows of the orthonormal cosine transform of length n."""
+    return _kept_cosines(n) if n <= KEPT else _cosines(n)
+
+
 def cosine_hash(samples: np.ndarray) -> str:
     """64 bits as hex: which of the 8 x 8 lowest frequencies of the whole image lie above their median."""
     grey = samples.mean(axis=2)
@@ -149,7 +175,7 @@ def padded(data: bytes, multiple: int = ROW_BYTES) -> bytes:
     return data + b" " * (-len(data) % multiple if data else multiple)
 
 
-def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = ROW_BYTES, level: int = 6, kind: int = NONE) -> DataFrame:
+def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = ROW_BYTES, level: int = 6, kind: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, media): the UTF-8 bytes of every whole text, padded with spaces, as a PNG in a binary column."""
 
     def encode(batches):
