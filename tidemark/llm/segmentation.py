@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +38,55 @@ SAMPLES = 2
 SLICE_BYTES = 1 << 20
 
 
+class Transitions:
+    """Vocabulary.transitions() as a table that is looked up by a hash of (state, letter), and the states of first letters (-1: none)."""
+
+    def __init__(self, vocab: Vocabulary):
+        keys, to, self.ids, self.scores = vocab.transitions()
+        first = keys < 1 << 21
+        self.opening = np.full(1 << 21, -1, np.int32)
+        self.opening[keys[first]] = to[first]
+        keys, to = keys[~first], to[~first].astype(np.int32)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.key, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at, left = self.slot(keys), np.arange(len(keys))
+        while len(left):  # whoever finds its place taken tries the next one
+            free = self.key[at[left]] < 0
+            self.key[at[left[free]]] = keys[left[free]]
+            mine = self.key[at[left]] == keys[left]
+            self.to[at[left[mine]]] = to[left[mine]]
+            left = left[~mine]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, keys: np.ndarray) -> np.ndarray:
+        """The state that each (state << 21 | letter) leads to, -1 where there is none."""
+        at, out = self.slot(keys), np.full(len(keys), -1, np.int64)
+        found = self.key[at]
+        hit = found == keys
+        out[hit] = self.to[at[hit]]
+        left = np.flatnonzero(~hit & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.key[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 @lru_cache(2)
-def _transitions(path: str):
-    """Vocabulary.transitions(), and for the first letter a table of the states (-1: none)."""
-    keys, to, ids, scores = vocabulary(path).transitions()
-    opening = np.full(1 << 21, -1, np.int32)
-    first = keys < 1 << 21
-    opening[keys[first]] = to[first]
-    return opening, keys, to, ids, scores
+def _transitions(path: str) -> Transitions:
+    return Transitions(vocabulary(path))
 
 
 class Lattices:
     """The lattices of distinct pre-tokens: nodes are places between letters, edges are pieces."""
 
-    def __init__(self, words: list[str], vocab: Vocabulary, transitions: tuple):
-        opening, keys, to, ids, scores = transitions
+    def __init__(self, words: list[str], vocab: Vocabulary, transitions: Transitions):
+        ids, scores = transitions.ids, transitions.scores
         sizes = np.array([len(w) for w in words], np.int64)
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         first = np.cumsum(sizes) - sizes
@@ -64,14 +99,13 @@ class Lattices:
         single = np.zeros(len(letters), bool)
         while len(at):
             if size == 0:
-                state = opening[letters]
+                state = transitions.opening[letters]
                 real = state >= 0
                 at, state = at[real], state[real].astype(np.int64)
             else:
-                key = (state << 21) | letters[at + size]
-                found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                real = keys[found] == key
-                at, state = at[real], to[found[real]]
+                state = transitions.next((state << 21) | letters[at + size])
+                real = state >= 0
+                at, state = at[real], state[real]
             size += 1
             whole = ids[state] >= 0
             starts.append(node[at[whole]])
@@ -139,10 +173,12 @@ def row_key(doc_id: object) -> int:
 class Sampler:
     """k segmentations without replacement of each of some documents."""
 
-    def __init__(self, keys: np.ndarray, cut: list[list[str]], vocab: Vocabulary, transitions: tuple):
+    def __init__(self, keys: np.ndarray, cut: list[list[str]], vocab: Vocabulary, transitions: Transitions):
         self.vocab = vocab
-        number: dict[str, int] = {}
-        self.word = np.array([number.setdefault(w, len(number)) for words in cut for w in words], np.int64)
+        every = list(chain.from_iterable(cut))
+        number = {w: k for k, w in enumerate(dict.fromkeys(every))}
+        self.word = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        del every
         self.lattices = Lattices(list(number), vocab, transitions)
         self.counts = np.array([len(w) for w in cut], np.int64)
         self.ends = np.cumsum(self.counts)
