@@ -290,7 +290,30 @@ def test_trie_probabilities_sum_to_one_and_match_exclusion():
     t = [0] * lm.ORDER + [int(alphabet.symbol[x]) for x in text] + [0]
     want = sum(math.log10(chance(tuple(t[k - lm.ORDER : k]), t[k])) for k in range(lm.ORDER, len(t)))
     assert math.isclose(trie.scores(alphabet, [text])[0], want + sum(alphabet.spelling[x] for x in text), rel_tol=1e-4)
-    assert lm.adaptive_bits(b"ab" * 4000, alphabet) < lm.adaptive_bits(np.random.default_rng(0).bytes(8000), alphabet)
+
+
+def test_adaptive_code_length(spark):
+    """Against counts gathered anew for every symbol."""
+    for text in (b"", b"a", b"abracadabra abracadabra", bytes(range(256)) + b"\xff\x00\xff\x00", b"mississippi" * 5):
+        t, want = [0] * lm.ORDER + [x + 1 for x in text] + [0], 0.0
+        for at in range(lm.ORDER, len(t)):
+            gone = set()
+            for k in range(lm.ORDER, -1, -1):
+                seen = collections.Counter(t[j] for j in range(lm.ORDER, at) if t[j - k : j] == t[at - k : at])
+                left = {x: n for x, n in seen.items() if x not in gone}
+                escape = len(left) if len(seen) < lm.SYMBOLS else 0
+                if t[at] in left:
+                    want -= math.log2(left[t[at]] / (sum(left.values()) + escape))
+                    break
+                if left:
+                    want -= math.log2(escape / (sum(left.values()) + escape))
+                gone |= set(seen)
+            else:
+                want += math.log2(lm.SYMBOLS - len(gone))
+        assert math.isclose(lm.adaptive_bits(text), want, rel_tol=1e-9)
+    docs = spark.createDataFrame([(1, "ab" * 2000), (2, None), (None, "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.adaptive(docs).collect()}
+    assert got[1].bits < 200 and got[1].n_bytes == 4000 and math.isclose(got[2].bits, lm.adaptive_bits(b""))
 
 
 def test_quality_holds_out(spark):

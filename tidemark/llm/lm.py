@@ -2,7 +2,7 @@
 
 The model is a trie of byte contexts up to ORDER symbols deep. Its counts are gathered
 from all training documents; a document is scored with that trie (`scored`), or with a
-trie that learns while it reads that document alone (`adaptive_bits`).
+trie that learns while it reads that document alone (`adaptive`).
 
 * Alphabet: symbol 0 frames a text (start context and end), 1..256 are the byte values.
   All contexts of all orders are kept. A context and its next symbol are one number, a
@@ -28,6 +28,7 @@ each time. Very long texts are scored whole. Other columns are dropped.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -154,20 +155,48 @@ class Trie:
         return np.bincount(text, weights=self.log_chances(distinct)[at], minlength=len(values))
 
 
-def adaptive_bits(text: bytes, alphabet: Alphabet, block: int = 1024) -> float:
-    """Code length in bits of one text when the trie learns from the text itself, block by block."""
-    total = 0.0
-    for at in range(0, max(1, len(text)), block):
-        past, now = text[:at], text[at : at + block]
-        s, c, _ = alphabet.coded([past])
-        index, count = np.unique((c.astype(np.int64) * SYMBOLS + s)[:-1], return_counts=True)
-        whole, before = Trie(index % SYMBOLS**ORDER, count, index, count), 0.0
-        if past:
-            before = whole.scores(alphabet, [past])[0]
-        total -= (whole.scores(alphabet, [past + now])[0] - before) / np.log10(2)
+def adaptive_bits(text: bytes) -> float:
+    """Code length in bits of one text, its end included, when the trie learns from the text itself, symbol by symbol. The time is linear in the text."""
+    tables: list[dict[tuple, dict[int, int]]] = [{} for _ in range(ORDER + 1)]
+    past, total = (FRAME,) * ORDER, 0.0
+    for symbol in (*(b + 1 for b in text), FRAME):
+        contexts = [past[ORDER - k :] for k in range(ORDER + 1)]
+        gone: set[int] = set()
+        for k in range(ORDER, -1, -1):
+            seen = tables[k].get(contexts[k])
+            if not seen:
+                continue
+            left = {x: n for x, n in seen.items() if x not in gone} if gone else seen
+            kinds = len(left) if len(seen) < SYMBOLS else 0
+            base = sum(left.values()) + kinds
+            if symbol in left:
+                total -= math.log2(left[symbol] / base)
+                break
+            if left:
+                total -= math.log2(kinds / base)
+            gone.update(seen)
+        else:
+            total += math.log2(SYMBOLS - len(gone))
+        for k in range(ORDER + 1):
+            seen = tables[k].setdefault(contexts[k], {})
+            seen[symbol] = seen.get(symbol, 0) + 1
+        past = (*past[1:], symbol)
     return total
 
 
+def adaptive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, bits): the adaptive code length of every document, each from itself alone. A null text is empty."""
+    docs = texts(docs, id_col, text_col)
+
+    def run(batches):
+        for b in slices(batches, "text", 1 << 18):
+            values = [t.encode() for t in b.column("text").to_pylist()]
+            columns = [b.column("doc_id"), pa.array([len(v) for v in values], pa.int64()), pa.array([adaptive_bits(v) for v in values], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "bits"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, bits double")
+
+
 #: A code has under 48 bits, and so has its key: the same number, shuffled by steps that can be undone.
 _BITS, _HALF = np.uint64((1 << 48) - 1), np.uint64(24)
 _ODD = (0xFB21C651E98D, 0xE8FEB86659FD)
