@@ -280,11 +280,10 @@ def test_trie_probabilities_sum_to_one_and_match_exclusion():
         if context is None:
             return 1 / (lm.SYMBOLS - len(out))
         n = {x: m for x, m in seen[len(context)][context].items() if x not in out}
-        u = len(n) if len(n) + len(out) < lm.SYMBOLS else 0
-        base = sum(n.values()) + u
+        given, total = 0.5 if len(n) + len(out) < lm.SYMBOLS else 0.0, sum(n.values())
         if symbol in n:
-            return n[symbol] / base
-        return (u / base if n else 1.0) * chance(context[1:] if context else None, symbol, out | set(n))
+            return (n[symbol] - given) / total
+        return (len(n) * given / total if n else 1.0) * chance(context[1:] if context else None, symbol, out | set(n))
 
     text = b"abrx"
     t = [0] * lm.ORDER + [int(alphabet.symbol[x]) for x in text] + [0]
@@ -301,12 +300,12 @@ def test_adaptive_code_length(spark):
             for k in range(lm.ORDER, -1, -1):
                 seen = collections.Counter(t[j] for j in range(lm.ORDER, at) if t[j - k : j] == t[at - k : at])
                 left = {x: n for x, n in seen.items() if x not in gone}
-                escape = len(left) if len(seen) < lm.SYMBOLS else 0
+                given = 0.5 if len(seen) < lm.SYMBOLS else 0.0
                 if t[at] in left:
-                    want -= math.log2(left[t[at]] / (sum(left.values()) + escape))
+                    want -= math.log2((left[t[at]] - given) / sum(left.values()))
                     break
                 if left:
-                    want -= math.log2(escape / (sum(left.values()) + escape))
+                    want -= math.log2(len(left) * given / sum(left.values()))
                 gone |= set(seen)
             else:
                 want += math.log2(lm.SYMBOLS - len(gone))

@@ -12,8 +12,8 @@ trie that learns while it reads that document alone (`adaptive`).
   them (`exchange`), then dealt by their last two context symbols, so that a part holds
   all contexts from ORDER down to two; only the counts of pairs of symbols, 257 * 257 at
   most, are broadcast. Each batch gets the final probabilities of its own distinct codes.
-* Escape estimation (method C): in a context with total T and U distinct symbols, a seen
-  symbol has count / (T + U) and the escape U / (T + U).
+* Escape estimation (method D): in a context with total T and U distinct symbols, a seen
+  symbol has (count - 1/2) / T and the escape U / 2 / T.
 * Symbol exclusion: after an escape, the shorter context leaves out the symbols that the
   longer one has seen. What is left out depends on the longer context alone, so every
   code has one final probability.
@@ -129,13 +129,13 @@ class Trie:
             total, different, passed = (np.where(has, x[at], 0) if len(seen) else np.zeros(len(wanted)) for x in (totals, kinds, below))
             fresh = np.where(has, different - longer_kinds, 0)
             rest = np.where(has, total - longer_sum, 0)
-            base = rest + np.where(different < SYMBOLS, fresh, 0)
+            given = np.where(different < SYMBOLS, 0.5, 0.0)  # what each seen symbol gives to the escape
             at, here = found(keys, code)
             hit = left & here
-            out[hit] += np.log10(n[at[hit]] / base[hit])
+            out[hit] += np.log10((n[at[hit]] - given[hit]) / rest[hit])
             left &= ~here
             escaped = left & (rest > 0)
-            out[escaped] += np.log10(fresh[escaped] / base[escaped])
+            out[escaped] += np.log10(fresh[escaped] * given[escaped] / rest[escaped])
             longer_kinds, longer_sum = np.where(has, different, longer_kinds), passed
         out[left] -= np.log10(SYMBOLS - longer_kinds[left])
         return out
@@ -167,13 +167,12 @@ def adaptive_bits(text: bytes) -> float:
             if not seen:
                 continue
             left = {x: n for x, n in seen.items() if x not in gone} if gone else seen
-            kinds = len(left) if len(seen) < SYMBOLS else 0
-            base = sum(left.values()) + kinds
+            given, rest = 0.5 if len(seen) < SYMBOLS else 0.0, sum(left.values())
             if symbol in left:
-                total -= math.log2(left[symbol] / base)
+                total -= math.log2((left[symbol] - given) / rest)
                 break
             if left:
-                total -= math.log2(kinds / base)
+                total -= math.log2(len(left) * given / rest)
             gone.update(seen)
         else:
             total += math.log2(SYMBOLS - len(gone))
