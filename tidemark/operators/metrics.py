@@ -16,40 +16,68 @@ def grouped(made: DataFrame) -> DataFrame:
     return made.withColumn("grp", F.explode(F.array(F.lit("ALL"), F.col("side"))))
 
 
+def _local(made: DataFrame, chunk_ms: int) -> DataFrame:
+    """Grouped trades with _chunk, and the running sum and its maximum inside each chunk of time."""
+    g = grouped(made).withColumn("_chunk", F.floor(F.col("entry_ts") / chunk_ms))
+    inside = Window.partitionBy("grp", "_chunk").orderBy("entry_ts", "symbol", "exit_ts", "pnl").rowsBetween(Window.unboundedPreceding, 0)
+    local = g.withColumn("_sum", F.sum("pnl").over(inside))
+    return local.withColumn("_top", F.max("_sum").over(inside))
+
+
+def _moved(chunks: DataFrame) -> DataFrame:
+    """Adds to chunks (grp, _chunk, _total, _top) what the chunks before add up to, and their peak."""
+    earlier = Window.partitionBy("grp").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    moved = chunks.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    return moved.withColumn("_peak", F.max(F.col("_before") + F.col("_top")).over(earlier))
+
+
 def equity_curve(made: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
     """(grp, entry_ts, symbol, side, pnl, equity, peak, drawdown) of grouped trades in the order of entry time and symbol.
 
     Running sums and maxima are taken inside chunks of time and moved by what the chunks
     before add up to, so that no task sorts a whole group.
     """
-    g = grouped(made).withColumn("_chunk", F.floor(F.col("entry_ts") / chunk_ms))
-    inside = Window.partitionBy("grp", "_chunk").orderBy("entry_ts", "symbol", "exit_ts", "pnl").rowsBetween(Window.unboundedPreceding, 0)
-    local = g.withColumn("_sum", F.sum("pnl").over(inside))
-    local = local.withColumn("_top", F.max("_sum").over(inside))
-    earlier = Window.partitionBy("grp").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = local.groupBy("grp", "_chunk").agg(F.sum("pnl").alias("total"), F.max("_sum").alias("top"))
-    whole = whole.withColumn("_before", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
-    whole = whole.withColumn("_peak", F.max(F.col("_before") + F.col("top")).over(earlier)).select("grp", "_chunk", "_before", "_peak")
+    local = _local(made, chunk_ms)
+    whole = _moved(local.groupBy("grp", "_chunk").agg(F.sum("pnl").alias("_total"), F.max("_sum").alias("_top"))).select("grp", "_chunk", "_before", "_peak")
     equity, peak = F.col("_sum") + F.col("_before"), F.greatest(F.col("_top") + F.col("_before"), F.col("_peak"))
     moved = local.join(whole, ["grp", "_chunk"]).withColumn("equity", equity).withColumn("peak", peak)
     return moved.select("grp", "entry_ts", "symbol", "side", "pnl", "equity", "peak", (F.col("equity") - F.col("peak")).alias("drawdown"), "pnl_gross", "fees")
 
 
 def metrics(made: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
-    """One row for each of ALL, LONG and SHORT, all zeros where there is no trade."""
+    """One row for each of ALL, LONG and SHORT, all zeros where there is no trade.
+
+    Trades are read once: a chunk of time is summed up with its lowest running sum and its own deepest fall, from
+    which the fall below the peak of all chunks before follows.
+    """
     pnl, win, loss = F.col("pnl"), F.col("pnl") > 0, F.col("pnl") < 0
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    a = equity_curve(made, chunk_ms).groupBy("grp").agg(
-        F.count("*").alias("trades"),
+    chunks = _local(made, chunk_ms).groupBy("grp", "_chunk").agg(
+        F.count("*").alias("_n"),
         F.count_if(win).alias("_wins"),
-        zero(F.sum(F.when(win, pnl))).alias("_profit"),
-        zero(F.abs(F.sum(F.when(loss, pnl)))).alias("_loss"),
-        zero(F.avg(F.when(win, pnl))).alias("_avg_win"),
-        zero(F.avg(F.when(loss, pnl))).alias("_avg_loss"),
+        F.count_if(loss).alias("_losses"),
+        F.sum(F.when(win, pnl)).alias("_profit"),
+        F.sum(F.when(loss, pnl)).alias("_loss"),
         F.sum("pnl_gross").alias("_gross"),
-        F.sum("pnl").alias("_net"),
+        F.sum("pnl").alias("_total"),
         F.sum("fees").alias("_fees"),
-        F.min("drawdown").alias("_drawdown"),
+        F.max("_sum").alias("_top"),
+        F.min("_sum").alias("_low"),
+        F.min_by(F.struct("_sum", "_top"), F.col("_sum") - F.col("_top")).alias("_deepest"),
+    )
+    before = F.col("_before")  # rounded results should not depend on the form, so falls are taken between equities as in the curve
+    fall = F.least(before + F.col("_deepest._sum") - (before + F.col("_deepest._top")), before + F.col("_low") - F.col("_peak"))  # no peak before the first chunk
+    a = _moved(chunks).groupBy("grp").agg(
+        F.sum("_n").alias("trades"),
+        F.sum("_wins").alias("_wins"),
+        zero(F.sum("_profit")).alias("_profit"),
+        zero(F.abs(F.sum("_loss"))).alias("_loss"),
+        zero(F.try_divide(F.sum("_profit"), F.sum("_wins"))).alias("_avg_win"),
+        zero(F.try_divide(F.sum("_loss"), F.sum("_losses"))).alias("_avg_loss"),
+        F.sum("_gross").alias("_gross"),
+        F.sum("_total").alias("_net"),
+        F.sum("_fees").alias("_fees"),
+        F.min(fall).alias("_drawdown"),
     )
     rate = F.try_divide(F.col("_wins"), F.col("trades"))
     rows = a.select(

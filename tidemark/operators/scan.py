@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import FAST, TRADE, TREND, StateParams, Timeframe
 from tidemark.functions.indicators import atr_expanding, volume_above_average
 from tidemark.operators.states import last_rows, with_states
-from tidemark.sources.bars import latest
+from tidemark.sources.bars import latest_of_each
 
 
 def latest_states(bars: DataFrame, symbols: DataFrame, frames: tuple[Timeframe, Timeframe, Timeframe] = (FAST, TRADE, TREND), p: StateParams = StateParams()) -> DataFrame:
@@ -18,14 +18,12 @@ def latest_states(bars: DataFrame, symbols: DataFrame, frames: tuple[Timeframe,
     All timeframes are one pass over one table.
     """
     fast, trade, trend = frames
-    limit = F.lit(0)
-    for t in frames:
-        limit = F.when(F.col("timeframe") == t.timeframe, t.candles).otherwise(limit)
-    cut = latest(bars.join(symbols.select("symbol"), "symbol", "left_semi"), limit)
-    states = with_states(cut, p).select("*", atr_expanding(trade.atr_expansion, trade.atr_period).alias("atr_ok"), volume_above_average(trade.volume_lookback).alias("vol_ok"))
+    cut = latest_of_each(bars, {t.timeframe: t.candles for t in frames})
+    gated = symbols.join(cut, "symbol", "left")  # a symbol without bars stays, with one empty row
+    states = with_states(gated, p).select("*", atr_expanding(trade.atr_expansion, trade.atr_period).alias("atr_ok"), volume_above_average(trade.volume_lookback).alias("vol_ok"))
     found = last_rows(states)
     at = lambda t, c: F.max(F.when(F.col("timeframe") == t.timeframe, F.col(c)))
-    one = found.groupBy("symbol").agg(
+    return found.groupBy(*symbols.columns).agg(
         at(trend, "trend").alias("trend"),
         at(trade, "direction").alias("direction"),
         at(fast, "momentum").alias("momentum"),
@@ -34,7 +32,6 @@ def latest_states(bars: DataFrame, symbols: DataFrame, frames: tuple[Timeframe,
         at(trade, "atr").alias("atr"),
         F.coalesce(at(trade, "n"), F.lit(0)).alias("n_trade"),
     )
-    return symbols.join(one, "symbol", "left")
 
 
 def _reason():
@@ -54,9 +51,10 @@ def scan_states(states: DataFrame) -> DataFrame:
     )
 
 
-def scan_errors(states: DataFrame) -> DataFrame:
-    """The symbols whose states could not be computed, and why; the others go on."""
-    return states.withColumn("reason", _reason()).filter("reason is not null").select("symbol", "reason")
+def scan_errors(states: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
+    """The symbols whose states could not be computed, and why; the others go on. unknown: symbols that the gate could not judge."""
+    found = states.withColumn("reason", _reason()).filter("reason is not null").select("symbol", "reason")
+    return found if unknown is None else found.unionAll(unknown.select("symbol", F.lit("no_quote_volume")))
 
 
 def tradeable(states: DataFrame) -> DataFrame:
@@ -65,6 +63,11 @@ def tradeable(states: DataFrame) -> DataFrame:
     return states.filter(ok).select("symbol", "trend", "direction", "momentum", "quote_volume")
 
 
+def write_scan(found: DataFrame, path: str) -> None:
+    """What a scan has found, as one table; a later scan replaces it."""
+    found.write.mode("overwrite").parquet(path)
+
+
 def state_labels(states: DataFrame) -> DataFrame:
     """States as short labels, and one status line."""
     trend = F.when(F.col("trend") == "neutral", "neutral").otherwise(F.upper("trend"))

@@ -6,9 +6,21 @@ Recurrences are in closed form here: pow(r, n) * running sum of u * pow(r, -n).
 from __future__ import annotations
 
 MIN_QUOTE_VOLUME = 36_000
+#: a time at which a scan of the suppliers finds some, and one so early that some cannot be judged, with its ticker window
+BUSY = 909_792_000_000
+EARLY, EARLY_WINDOW = 794_620_800_000, 5 * 86_400_000
+#: days of a short evaluation
+DAYS = 3
 
 TICKS = """ticks AS (SELECT event_type AS symbol, epoch_us(ts) AS us, event_id AS seq, 100 + value AS price, 1.0 * (1 + user_id % 10) AS qty FROM events)"""
-SUPPLIER_TICKS = """ticks AS (SELECT l_suppkey::VARCHAR AS symbol, epoch_us(l_shipdate) AS us, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS seq, l_extendedprice / l_quantity AS price, l_quantity::DOUBLE AS qty FROM lineitem)"""
+
+
+def _supplier_ticks(until: int | None = None) -> str:
+    where = "" if until is None else f" WHERE epoch_us(l_shipdate) <= {until * 1000}"
+    return f"""ticks AS (SELECT l_suppkey::VARCHAR AS symbol, epoch_us(l_shipdate) AS us, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS seq, l_extendedprice / l_quantity AS price, l_quantity::DOUBLE AS qty FROM lineitem{where})"""
+
+
+SUPPLIER_TICKS = _supplier_ticks()
 
 
 def _resampled(timeframe: str, ms: int) -> str:
@@ -55,7 +67,14 @@ def _states(source: str, prefix: str = "") -> str:
 
 UNIVERSE = """universe AS (SELECT DISTINCT event_type AS symbol FROM events WHERE event_type NOT IN ('error', 'view', 'signup'))"""
 GATED = f"""{UNIVERSE}, gated AS (SELECT symbol, sum(price * qty) AS quote_volume FROM ticks JOIN universe USING (symbol) WHERE us > (SELECT max(us) FROM ticks) - {DAY * 1000} GROUP BY symbol HAVING sum(price * qty) >= {MIN_QUOTE_VOLUME})"""
-SUPPLIER_GATED = f"""gated AS (SELECT symbol, sum(price * qty) AS quote_volume FROM ticks JOIN supplier ON symbol = s_suppkey::VARCHAR WHERE s_acctbal > 0 AND s_nationkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND us > (SELECT max(us) FROM ticks) - {365 * DAY * 1000} GROUP BY symbol)"""
+SUPPLIER_UNIVERSE = "SELECT s_suppkey::VARCHAR AS symbol FROM supplier WHERE s_acctbal > 0 AND s_nationkey % 5 <> 0 AND s_suppkey % 7 <> 0"
+
+
+def _supplier_gated(window: int = 365 * DAY) -> str:
+    return f"""gated AS (SELECT symbol, sum(price * qty) AS quote_volume FROM ticks JOIN ({SUPPLIER_UNIVERSE}) USING (symbol) WHERE us > (SELECT max(us) FROM ticks) - {window * 1000} GROUP BY symbol)"""
+
+
+SUPPLIER_GATED = _supplier_gated()
 
 
 def _scan(fast: str, trade: str, trend: str, candles: dict[str, int]) -> str:
@@ -67,6 +86,11 @@ scan_states AS (SELECT symbol, coalesce(trend, 'neutral') AS trend, direction, c
 
 
 SCAN = f"{TICKS}, {BARS}, {GATED}, {_scan('5m', '15m', '1h', {'5m': 100, '15m': 100, '1h': 200})}"
+_DAILY_CANDLES = {"1d": 100, "7d": 200}
+BUSY_SCAN = f"{_supplier_ticks(BUSY)}, {SUPPLIER_BARS}, {SUPPLIER_GATED}, {_scan('1d', '1d', '7d', _DAILY_CANDLES)}"
+EARLY_SCAN = f"{_supplier_ticks(EARLY)}, {SUPPLIER_BARS}, {_supplier_gated(EARLY_WINDOW)}, {_scan('1d', '1d', '7d', _DAILY_CANDLES)}"
+TRADEABLE = "FROM scan_states WHERE trend = 'bullish' AND direction = 'up' AND momentum = 'breakout_up' AND atr_ok AND vol_ok"
+_REASON = "SELECT symbol, CASE WHEN n IS NULL THEN 'no_15m_bars' ELSE 'atr_history' END AS reason FROM scanned WHERE atr IS NULL"
 _HISTORY = f"{TICKS}, {BARS}, {_states('bars')}"
 _ALIGNED = f"""{_HISTORY},
 aligned AS (SELECT b.* EXCLUDE (trend, momentum), coalesce(t.trend, 'neutral') AS trend, coalesce(m.momentum, 'none') AS momentum
@@ -99,6 +123,10 @@ grossed AS (SELECT *, CASE side WHEN 'LONG' THEN (exit_price - entry) / entry *
 trades AS (SELECT symbol, side, entry_ts, exit_ts, round(entry, 6) AS entry, round(exit_price, 6) AS exit_price, round(gross - 0.08, 3) AS pnl, round(gross, 3) AS pnl_gross, round(0.08::DOUBLE, 3) AS fees, exit_reason, round(abs((entry - sl) / entry * 100), 3) AS sl_pct, round(abs((entry - tp) / entry * 100), 3) AS tp_pct, round(abs(sl), 3) AS sl, round(tp, 3) AS tp FROM grossed)"""
 
 
+_RECENT = " ".join(f"WHEN '{t}' THEN {DAY // ms * DAYS + 200}" for t, ms in FRAMES.items())
+RECENT_BARS = f"whole_{BARS}, bars AS (SELECT * FROM whole_bars QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts_ms DESC) <= CASE timeframe {_RECENT} END)"
+
+
 def _metrics(source: str) -> str:
     return f"""grouped AS (SELECT *, unnest(['ALL', side]) AS grp FROM {source}),
 summed AS (SELECT *, sum(pnl) OVER (PARTITION BY grp ORDER BY entry_ts, symbol, exit_ts, pnl ROWS UNBOUNDED PRECEDING) AS equity FROM grouped),
@@ -139,9 +167,13 @@ def queries() -> dict[str, str]:
         "atr_expanding": _trade_rows("atr_ok"),
         "volume_above_avg": _trade_rows("vol_ok"),
         "scan_states": f"WITH {SCAN} SELECT * FROM scan_states",
-        "scan_tradeable": f"WITH {SCAN} SELECT symbol, trend, direction, momentum, quote_volume FROM scan_states WHERE trend = 'bullish' AND direction = 'up' AND momentum = 'breakout_up' AND atr_ok AND vol_ok",
-        "scan_hit_count": f"WITH {SCAN} SELECT count(*) AS hits FROM scan_states WHERE trend = 'bullish' AND direction = 'up' AND momentum = 'breakout_up' AND atr_ok AND vol_ok",
-        "scan_errors": f"WITH {SCAN} SELECT symbol, CASE WHEN n IS NULL THEN 'no_15m_bars' ELSE 'atr_history' END AS reason FROM scanned WHERE atr IS NULL",
+        "scan_tradeable": f"WITH {SCAN} SELECT symbol, trend, direction, momentum, quote_volume {TRADEABLE}",
+        "scan_hit_count": f"WITH {SCAN} SELECT count(*) AS hits {TRADEABLE}",
+        "scan_errors": f"WITH {SCAN} {_REASON}",
+        "supplier_scan_tradeable": f"WITH {BUSY_SCAN} SELECT symbol, trend, direction, momentum, quote_volume {TRADEABLE}",
+        "supplier_scan_hit_count": f"WITH {BUSY_SCAN} SELECT count(*) AS hits {TRADEABLE}",
+        "supplier_scan_errors": f"WITH {EARLY_SCAN} {_REASON} UNION ALL SELECT symbol, 'no_quote_volume' FROM ({SUPPLIER_UNIVERSE}) WHERE symbol NOT IN (SELECT symbol FROM gated)",
+        "recent_trades": f"WITH {_TRADES.replace(BARS, RECENT_BARS)} SELECT * FROM trades",
         "state_labels": f"""WITH {SCAN}, labelled AS (SELECT symbol, CASE trend WHEN 'neutral' THEN trend ELSE upper(trend) END AS trend_label, upper(direction) AS direction_label, CASE momentum WHEN 'breakout_up' THEN 'BO UP' WHEN 'breakout_down' THEN 'BO DOWN' ELSE '-' END AS momentum_label, atr_ok, vol_ok FROM scan_states)
 SELECT *, concat_ws(' | ', symbol, trend_label, direction_label, momentum_label, atr_ok, vol_ok) AS status FROM labelled""",
         "asof_states": f"WITH {_ALIGNED} SELECT symbol, ts_ms, trend, direction, momentum FROM aligned",

@@ -78,17 +78,36 @@ def _supplier_bars(spark: SparkSession, d: str) -> DataFrame:
     return daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms))
 
 
-def _supplier_scan(spark: SparkSession, d: str) -> DataFrame:
+def _supplier_scanned(spark: SparkSession, d: str, as_of: int | None = None) -> DataFrame:
     ticks = src.lineitem_ticks(spark, d)
+    if as_of is not None:
+        ticks = ticks.filter(F.col("ts_us") <= as_of * 1000)
     gated = src.liquid(src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, 365 * src.DAY_MS), 0)
-    states = scan.latest_states(_supplier_bars(spark, d), gated, (DAILY, DAILY, WEEKLY))
-    return scan.scan_states(states).withColumn("quote_volume", F.round("quote_volume", 4))
+    daily = src.resample(ticks, DAILY.timeframe, DAILY.ms)
+    return scan.latest_states(daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms)), gated, (DAILY, DAILY, WEEKLY))
+
+
+def _supplier_scan(spark: SparkSession, d: str, as_of: int | None = None) -> DataFrame:
+    return scan.scan_states(_supplier_scanned(spark, d, as_of)).withColumn("quote_volume", F.round("quote_volume", 4))
+
+
+def _supplier_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A scan so early that some suppliers have too few bars, and some no trade in the ticker's window of a day."""
+    ticks = src.lineitem_ticks(spark, d).filter(F.col("ts_us") <= oracle.EARLY * 1000)
+    symbols, tickers = src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, oracle.EARLY_WINDOW)
+    daily = src.resample(ticks, DAILY.timeframe, DAILY.ms)
+    states = scan.latest_states(daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms)), src.liquid(symbols, tickers, 0), (DAILY, DAILY, WEEKLY))
+    return scan.scan_errors(states, src.unknown_volume(symbols, tickers))
 
 
 def _read_by_timeframe(spark: SparkSession, d: str) -> DataFrame:
     """The newest bars of every series, by each timeframe's own number of candles."""
-    bars, config = src.unique_bars(_all_bars(spark, d)), F.broadcast(timeframe_config(spark))
-    return src.latest(bars.join(config, "timeframe"), F.col("candles")).select("symbol", "timeframe", "ts_ms", "open", "high", "low", "close", "volume")
+    return src.latest_of_each(src.unique_bars(_all_bars(spark, d)), {t.timeframe: t.candles for t in TIMEFRAMES}).select("symbol", "timeframe", "ts_ms", "open", "high", "low", "close", "volume")
+
+
+def _recent_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Trades of an evaluation of the last days, which reads no more history than it needs."""
+    return signals.evaluate(with_states(src.history(_all_bars(spark, d), TIMEFRAMES, oracle.DAYS)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -128,6 +147,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trade_report": lambda s, d: _price_digits(met.trade_report(_trades(s, d))),
     "supplier_bars": lambda s, d: _supplier_bars(s, d).select("symbol", "timeframe", "ts_ms", "open", "high", "low", "close", "volume"),
     "supplier_scan_states": _supplier_scan,
+    "supplier_scan_tradeable": lambda s, d: scan.tradeable(_supplier_scan(s, d, oracle.BUSY)),
+    "supplier_scan_hit_count": lambda s, d: scan.tradeable(_supplier_scan(s, d, oracle.BUSY)).agg(F.count("*").alias("hits")),
+    "supplier_scan_errors": _supplier_errors,
+    "recent_trades": lambda s, d: _price_digits(_recent_trades(s, d)),
 }
 
 

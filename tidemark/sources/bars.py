@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import Timeframe
@@ -67,11 +67,13 @@ def resample(ticks: DataFrame, timeframe: str, ms: int) -> DataFrame:
 
 
 def resample_all(ticks: DataFrame, timeframes: Iterable[Timeframe]) -> DataFrame:
-    """Bars of several timeframes; one shuffle for each, all in one table."""
-    out = None
-    for t in timeframes:
-        bars = resample(ticks, t.timeframe, t.ms)
-        out = bars if out is None else out.unionAll(bars)
+    """Bars of several timeframes, the finest first. Each of the others must be a multiple of the finest and is made of its bars, so ticks are read and shuffled once."""
+    first, *others = timeframes
+    out = finest = resample(ticks, first.timeframe, first.ms)
+    for t in others:
+        if t.ms % first.ms:
+            raise ValueError(f"{t.timeframe} is no multiple of {first.timeframe}")
+        out = out.unionAll(rebase(finest, t.timeframe, t.ms))
     return out
 
 
@@ -86,11 +88,16 @@ def rebase(bars: DataFrame, timeframe: str, ms: int) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, timeframe: str | None = None, as_of_ms: int | None = None) -> DataFrame:
-    """Stored bars; a timeframe and a last time reach the Parquet scan as filters."""
+    """Stored bars, each once; a timeframe and a last time reach the Parquet scan as filters."""
     bars = spark.read.schema(BAR).parquet(path)
     if timeframe is not None:
         bars = bars.filter(F.col("timeframe") == timeframe)
-    return bars if as_of_ms is None else bars.filter(F.col("ts_ms") <= as_of_ms)
+    return unique_bars(as_of(bars, as_of_ms))
+
+
+def as_of(bars: DataFrame, ms: int | None) -> DataFrame:
+    """The bars that start at a time or before it; all of them if it is None."""
+    return bars if ms is None else bars.filter(F.col("ts_ms") <= ms)
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
@@ -103,12 +110,26 @@ def unique_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEY, "ts_ms").agg(F.min(values).alias("b")).select(*KEY, "ts_ms", "b.*")
 
 
-def latest(bars: DataFrame, n: int | Column) -> DataFrame:
-    """The newest n bars of each series."""
+def latest(bars: DataFrame, n: int) -> DataFrame:
+    """The newest n bars of each series; with a fixed n each task forgets older ones before the shuffle."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("ts_ms"))
     return bars.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def latest_of_each(bars: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The newest bars of each series, as many as its timeframe's limit; other timeframes go."""
+    out = None
+    for timeframe, n in limits.items():
+        part = latest(bars.filter(F.col("timeframe") == timeframe), n)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def history(bars: DataFrame, timeframes: Iterable[Timeframe], days: int, warmup: int = 200) -> DataFrame:
+    """What an evaluation of the last days reads of each series: the bars of so many days, and the warm-up before them."""
+    return latest_of_each(bars, {t.timeframe: DAY_MS // t.ms * days + warmup for t in timeframes})
+
+
 def event_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).filter("symbol is not null").distinct()
     return s.select(
@@ -145,3 +166,8 @@ def universe(markets: DataFrame, quote: str = "USDT") -> DataFrame:
 def liquid(symbols: DataFrame, tickers_: DataFrame, min_quote_volume: float) -> DataFrame:
     """(symbol, quote_volume) of those that trade enough; equality passes, an unknown volume does not."""
     return symbols.join(tickers_, "symbol").filter(F.col("quote_volume") >= min_quote_volume)
+
+
+def unknown_volume(symbols: DataFrame, tickers_: DataFrame) -> DataFrame:
+    """The symbols whose volume nobody knows, for which the gate has no answer."""
+    return symbols.join(tickers_.filter("quote_volume is not null"), "symbol", "left_anti").select("symbol")
