@@ -313,12 +313,17 @@ class NearDedup:
         # an id with several texts ties their classes together
         ties = membership.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_b")).filter("a <> _b").select("doc_id", "a")
         first = first.unionAll(membership.join(ties, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")))
-        opened = self._open(stars, components(first)).select("rep").distinct()
-        some = members.join(opened, "rep", "left_semi")
+        opened = written(self._open(stars, components(first)).select("rep", "component").distinct(), "open")
+        some = members.join(opened.select("rep"), "rep", "left_semi")
         bounds = written(self.bounded(some), "bounds")
         fine = written(self.fine_keys(some.join(bounds, "rep", "left_semi")).distinct(), "fine")
-        stars = written(self._stars(fine.select("rep", F.explode("keys").alias("key"))), "buckets")
-        second = first.unionAll(self.verified(self._pairs(stars), members))
+        keyed = fine.join(opened, "rep").select("rep", "component", F.explode("keys").alias("key"))
+        # only fine buckets that still lie in several components, and of those only members of another component than the center's
+        centers = keyed.groupBy("key").agg(F.min(F.struct("rep", "component")).alias("c"), F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y")
+        stars = written(keyed.join(centers.select("key", F.col("c.rep").alias("center"), F.col("c.component").alias("_home")), "key").distinct(), "buckets")
+        apart = self._pairs(stars.filter("component <> _home"))
+        stars = stars.select("key", "rep", "center")
+        second = first.unionAll(self.verified(apart, members))
         left = self._open(stars, components(second)).join(bounds, "rep").join(fine.select("rep", "nibbles"), "rep")
         x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "_largest", "least", "most", "nibbles"))) for s in "xy")
         places = self.fine * FINE_ROWS
