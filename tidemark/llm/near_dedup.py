@@ -14,8 +14,11 @@
 4. Members that are still open get longer signatures and bands of FINE_ROWS places, and are
    compared within these much smaller buckets, again with the smallest member.
 5. Where a fine bucket still lies in several components, its members are joined by the fine
-   key: only pairs in different components that both bounds allow and that their long
-   signatures do not rule out come from that join, and each is verified like the others.
+   key: only pairs in different components that both bounds allow and that neither their parity
+   sketches nor their long signatures rule out come from that join, and each is verified like the
+   others. A parity sketch holds, for each of PARITY places, whether an odd number of shingles
+   falls there; two sets differ in at least as many shingles as their sketches in places, so
+   that no link is lost by it.
 
 Band counts follow from the threshold so that a link at the threshold shares a band but
 with probability `miss` (twice: bands and fine bands). The sequential test keeps a pair while the
@@ -50,6 +53,8 @@ from tidemark.llm.components import components
 ROWS, FINE_ROWS = 5, 10
 BATCH = 25
 MISS = 1e-6
+#: places of a parity sketch, a multiple of 64
+PARITY = 2048
 #: shingles that meet in one group when links are confirmed
 GROUP = 400_000
 
@@ -144,6 +149,21 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, places), F.lit(0), lambda total, x: total + x)
 
 
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Parity sketches (texts, PARITY / 64) as 64-bit numbers, of hashes that are distinct within a text."""
+    place = np.repeat(np.arange(len(counts)), counts) * PARITY + (mixed(hashes, 23) % np.uint64(PARITY)).astype(np.int64)
+    place, times = np.unique(place, return_counts=True)
+    place = place[times % 2 == 1]
+    out = np.zeros(len(counts) * PARITY // 64, np.uint64)
+    np.bitwise_or.at(out, place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+    return out.reshape(len(counts), -1).view(np.int64)
+
+
+def least_difference(a: Column, b: Column) -> Column:
+    """In how many shingles two sets differ at least, by their parity sketches, as a Spark expression."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, PARITY // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
 def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The number of distinct hashes of each text."""
     return np.array([len(np.unique(x)) for x in np.split(hashes, np.cumsum(counts)[:-1])], np.int64)
@@ -270,17 +290,19 @@ class NearDedup:
         return sure.filter("least <= most").select("rep", "n", "_largest", "least", "most")
 
     def fine_keys(self, members: DataFrame) -> DataFrame:
-        """(rep, nibbles, keys) for members (rep, text): long signatures of four bits a place, and keys of bands of FINE_ROWS places."""
+        """(rep, size, parity, nibbles, keys) for members (rep, text): set sizes, parity sketches, long signatures of four bits a place, and keys of bands of FINE_ROWS places."""
         width, places = self.width, self.fine * FINE_ROWS
 
         def run(batches):
             for b in slices(batches, "text", 1 << 17):
                 hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
                 signature = signatures(hashes, counts, places)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (nibbles(signature), band_keys(signature, FINE_ROWS))]
-                yield pa.RecordBatch.from_arrays([b.column("rep"), *lists], ["rep", "nibbles", "keys"])
+                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (parities(np.concatenate(sets), sizes), nibbles(signature), band_keys(signature, FINE_ROWS))]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sizes), *lists], ["rep", "size", "parity", "nibbles", "keys"])
 
-        return members.select("rep", "text").mapInArrow(run, "rep long, nibbles array<long>, keys array<long>")
+        return members.select("rep", "text").mapInArrow(run, "rep long, size long, parity array<long>, nibbles array<long>, keys array<long>")
 
     @staticmethod
     def _stars(keyed: DataFrame) -> DataFrame:
@@ -324,12 +346,14 @@ class NearDedup:
         apart = self._pairs(stars.filter("component <> _home"))
         stars = stars.select("key", "rep", "center")
         second = first.unionAll(self.verified(apart, members))
-        left = self._open(stars, components(second)).join(bounds, "rep").join(fine.select("rep", "nibbles"), "rep")
-        x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "_largest", "least", "most", "nibbles"))) for s in "xy")
+        left = self._open(stars, components(second)).join(bounds, "rep").join(fine.select("rep", "size", "parity", "nibbles"), "rep")
+        x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "_largest", "least", "most", "size", "parity", "nibbles"))) for s in "xy")
         places = self.fine * FINE_ROWS
         alike = differing(F.col("nibbles_x"), F.col("nibbles_y")) <= places - fewest_matches(self.percent / 100, places, self.miss, 16)
         fit = F.expr("rep_x < rep_y and component_x <> component_y and _largest_y >= least_x and n_y <= most_x and _largest_x >= least_y and n_x <= most_y")
-        near = x.join(y, (x["key"] == y["key"]) & fit & alike).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+        # a link's sets differ in (1 - t) of their union at most, which is (1 - t) / (1 + t) of the sum of their sizes
+        close = (100 + self.percent) * least_difference(F.col("parity_x"), F.col("parity_y")) <= (100 - self.percent) * (F.col("size_x") + F.col("size_y"))
+        near = x.join(y, (x["key"] == y["key"]) & fit & close & alike).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
         return membership, second.unionAll(self.verified(near, members))
 
     def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
