@@ -172,6 +172,33 @@ def test_bayes_bound_grows_with_what_was_seen():
     assert 1 - (1 - (1 - 0.85**5) ** near_dedup.band_count(0.85)) <= 1e-6
 
 
+def test_parity_sketches_lose_no_link(spark):
+    """Sketches differ in no more places than the sets do, and keep apart what a join by bands cannot."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > share], rng.integers(0, 1 << 62, 20).astype(np.uint64)])) for share in (0, 0.02, 0.1, 0.5, 1)] + [np.zeros(0, np.uint64)]
+    sketches = near_dedup.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert not sketches[-1].any()
+    pairs = spark.createDataFrame([(x, y, sketches[x].tolist(), sketches[y].tolist()) for x in range(6) for y in range(6)], "x int, y int, a array<long>, b array<long>")
+    for r in pairs.select("x", "y", near_dedup.least_difference(pairs["a"], pairs["b"]).alias("least")).collect():
+        truth = len(np.setxor1d(sets[r.x], sets[r.y]))
+        assert truth * 0.8 <= r.least <= truth and (truth - r.least) % 2 == 0
+
+
+def test_near_dedup_in_a_group_just_under_the_threshold(spark):
+    """Copies of one text with own edits, most of which are no links: every true link is found, and no other."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(240)]
+    rows = []
+    for k in range(80):
+        copy = list(words)
+        for at in rng.choice(240, 4 + k % 4, replace=False):
+            copy[at] = f"e{rng.integers(0, 40)}"
+        rows.append((k, " ".join(copy)))
+    got = near_dedup.NearDedup(3, 85).run(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked(rows, 3, 85)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (8, 9), (7, 7), (None, 1)] + [(100, 100 + k) for k in range(1, 40)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
