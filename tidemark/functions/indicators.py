@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import StateParams
-from tidemark.functions.recurrence import recurrences, seeded
+from tidemark.functions.recurrence import blocked, memory, recurrences, seeded_sql
 from tidemark.sources.bars import KEY, series
 
 #: Two numbers this close, relative to their size, are equal: sums in different orders may differ so much.
 TOLERANCE = 1e-12
+#: What an indicator computation can be resumed from, besides the bars themselves.
+SMOOTHED = ("ema_fast", "ema_slow", "atr", "adx", "plus_smooth", "minus_smooth")
 
 
 def rows(n: int):
@@ -27,6 +29,10 @@ def above(a: Column, b: Column) -> Column:
     return (a - b) > TOLERANCE * F.greatest(F.abs(a), F.abs(b))
 
 
+def above_sql(a: str, b: str) -> str:
+    return f"({a} - {b} > {TOLERANCE}D * greatest(abs({a}), abs({b})))"
+
+
 def numbered(bars: DataFrame) -> DataFrame:
     """Adds rn, the row's place in its series from 0."""
     return bars.withColumn("rn", F.row_number().over(series()) - 1)
@@ -41,35 +47,79 @@ def directional_movement(bars: DataFrame) -> DataFrame:
     """Adds plus_dm and minus_dm (0 in the first row)."""
     up, down = F.col("high") - F.lag("high").over(series()), F.lag("low").over(series()) - F.col("low")
     moved = bars.select("*", up.alias("_up"), down.alias("_down"))
-    plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
-    minus = F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)
-    return moved.select(*bars.columns, plus.alias("plus_dm"), minus.alias("minus_dm"))
+    return moved.select(*bars.columns, *(F.expr(e) for e in _MOVES))
+
+
+_MOVES = (
+    "CASE WHEN _up > _down AND _up > 0 THEN _up ELSE 0D END AS plus_dm",
+    "CASE WHEN _down > _up AND _down > 0 THEN _down ELSE 0D END AS minus_dm",
+)
+
+
+def overlap(p: StateParams = StateParams()) -> int:
+    """Rows before a part of a series after which all indicators of the part are what they are in the whole series.
+
+    The slowest average must have forgotten its start, and ADX, which smooths what is smoothed, twice.
+    """
+    return max(memory(2 / (p.slow + 1)), 2 * memory(1 / p.period)) + p.slow
+
 
+def along(by: tuple[str, ...] = KEY, before: int | None = None, row: str = "rn") -> str:
+    """Window over the rows of blocked series in order; before: how many rows before the current one it holds."""
+    frame = "" if before is None else f" ROWS BETWEEN {before} PRECEDING AND CURRENT ROW"
+    return f"(PARTITION BY {', '.join(by)} ORDER BY _blk, {row}{frame})"
 
-def with_indicators(bars: DataFrame, p: StateParams = StateParams()) -> DataFrame:
-    """Adds rn, tr, plus_dm, minus_dm, ema_fast, ema_slow, atr and adx, in two layers of recurrences."""
+
+def blocked_series(bars: DataFrame, by: tuple[str, ...] = KEY, row: str = "rn") -> DataFrame:
+    """Bars with rn, _blk and _place, by which all windows of indicators and states are sorted once."""
+    if "_blk" in bars.columns:
+        return bars
+    numbered_ = bars if "rn" in bars.columns else numbered(bars)
+    return numbered_.selectExpr("*", *blocked(row))
+
+
+def with_indicators(bars: DataFrame, p: StateParams = StateParams(), by: tuple[str, ...] = KEY, row: str = "rn") -> DataFrame:
+    """Adds rn, tr, plus_dm, minus_dm and SMOOTHED (EMAs, ATR, ADX, smoothed movements), in two layers of recurrences.
+
+    by: what makes a series; `row` numbers its rows from 0 if it is a part of a longer one, whose rows rn numbers. Bars with
+    _held ('last' or 'row') and the columns of SMOOTHED under an underscore are known from before (see `resume`).
+    """
     n, a = p.period, 1 / p.period
-    b = directional_movement(numbered(bars).withColumn("tr", true_range()))
-    ema = lambda span: (seeded(F.col("close"), F.col("close"), 0, 2 / (span + 1)), 2 / (span + 1))
-    b = b.select("*", *(F.avg(x).over(rows(n)).alias(f"_mean_{x}") for x in ("tr", "plus_dm", "minus_dm")))
-    b = recurrences(
-        b,
-        {
-            "ema_fast": ema(p.fast),
-            "ema_slow": ema(p.slow),
-            "atr": (seeded(F.col("tr"), F.col("_mean_tr"), n - 1, a), a),
-            "_plus": (seeded(F.col("plus_dm"), F.col("_mean_plus_dm"), n, a), a),
-            "_minus": (seeded(F.col("minus_dm"), F.col("_mean_minus_dm"), n, a), a),
-        },
-        KEY,
+    known = "_held" in bars.columns
+    plain = "_blk" not in bars.columns
+    own = [c for c in bars.columns if c != "rn" and not c.startswith("_") or c in by]
+    kept = [*own, "rn", "_blk", "_place", *([row] if row != "rn" else []), *(["_held", *(f"_{c}" for c in SMOOTHED)] if known else []), *(["_own"] if "_own" in bars.columns else [])]
+    w = along(by, row=row)
+    b = blocked_series(bars, by, row).selectExpr(
+        *kept,
+        f"greatest(high - low, abs(high - lag(close) OVER {w}), abs(low - lag(close) OVER {w})) AS tr",
+        f"high - lag(high) OVER {w} AS _up",
+        f"lag(low) OVER {w} - low AS _down",
     )
-    dx = F.when(F.col("rn") >= n, F.coalesce(F.try_divide(100 * F.abs(F.col("_plus") - F.col("_minus")), F.col("_plus") + F.col("_minus")), F.lit(0.0)))
-    b = b.withColumn("_dx", dx)
-    b = b.withColumn("_mean_dx", F.avg("_dx").over(rows(n)))
-    b = recurrences(b, {"adx": (seeded(F.col("_dx"), F.col("_mean_dx"), 2 * n - 1, a), a)}, KEY)
-    ready = {"ema_fast": p.fast - 1, "ema_slow": p.slow - 1, "atr": n - 1, "adx": 2 * n - 1}
-    out = [*bars.columns, "rn", "tr", "plus_dm", "minus_dm"]
-    return b.select(*out, *(F.when(F.col("rn") >= first, F.col(c)).alias(c) for c, first in ready.items()))
+    kept.append("tr")
+    b = b.selectExpr(*kept, *_MOVES)
+    kept += ["plus_dm", "minus_dm"]
+    mean = lambda x: f"avg({x}) OVER {along(by, n - 1, row)}"
+    old = lambda c: f"_{c}" if known else None
+    ema = lambda c, span: (seeded_sql("close", "close", 0, 2 / (span + 1), old(c)), 2 / (span + 1))
+    wilder = lambda c, x, first: (seeded_sql(x, mean(x), first, a, old(c)), a)
+    layer = {
+        "ema_fast": ema("ema_fast", p.fast),
+        "ema_slow": ema("ema_slow", p.slow),
+        "atr": wilder("atr", "tr", n - 1),
+        "plus_smooth": wilder("plus_smooth", "plus_dm", n),
+        "minus_smooth": wilder("minus_smooth", "minus_dm", n),
+    }
+    b = recurrences(b, layer, by, row)
+    told = lambda c: f"coalesce(_{c}, {c})" if known else c
+    b = b.selectExpr(*kept, *(f"{told(c)} AS {c}" for c in layer))
+    kept += layer
+    b = b.selectExpr(*kept, f"CASE WHEN rn >= {n} THEN coalesce(try_divide(100 * abs(plus_smooth - minus_smooth), plus_smooth + minus_smooth), 0D) END AS _dx")
+    b = recurrences(b, {"adx": wilder("adx", "_dx", 2 * n - 1)}, by, row)
+    ready = {"ema_fast": p.fast - 1, "ema_slow": p.slow - 1, "atr": n - 1, "adx": 2 * n - 1, "plus_smooth": n, "minus_smooth": n}
+    out = [*own, "rn", "tr", "plus_dm", "minus_dm", *(f"CASE WHEN rn >= {first} THEN {told(c) if c == 'adx' else c} END AS {c}" for c, first in ready.items())]
+    inner = [] if plain else [c for c in kept if c.startswith("_") and c not in own and not c.startswith(tuple(f"_{s}" for s in SMOOTHED))]
+    return b.selectExpr(*out, *inner)
 
 
 def atr_expanding(factor: float, period: int) -> Column:
@@ -79,3 +129,12 @@ def atr_expanding(factor: float, period: int) -> Column:
 
 def volume_above_average(lookback: int) -> Column:
     return F.coalesce(above(F.col("volume"), F.avg("volume").over(rows(lookback))), F.lit(False))
+
+
+def atr_expanding_sql(factor: float, period: int, by: tuple[str, ...] = KEY, row: str = "rn") -> str:
+    """`atr_expanding` over blocked series."""
+    return f"coalesce({above_sql('atr', f'(avg(atr) OVER {along(by, period - 1, row)} * {factor!r}D)')}, false)"
+
+
+def volume_above_average_sql(lookback: int, by: tuple[str, ...] = KEY, row: str = "rn") -> str:
+    return f"coalesce({above_sql('volume', f'(avg(volume) OVER {along(by, lookback - 1, row)})')}, false)"

@@ -6,22 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FAST, TRADE, TREND, StateParams, Timeframe
-from tidemark.functions.indicators import atr_expanding, volume_above_average
 from tidemark.operators.states import last_rows, with_states
-from tidemark.sources.bars import latest_of_each
+from tidemark.sources.bars import latest_of_each, restricted
 
 
 def latest_states(bars: DataFrame, symbols: DataFrame, frames: tuple[Timeframe, Timeframe, Timeframe] = (FAST, TRADE, TREND), p: StateParams = StateParams()) -> DataFrame:
     """One row per symbol of `symbols`: the latest states, and how many bars each timeframe had.
 
-    Indicators start at the first of the newest bars, as in a scan that fetches no more.
-    All timeframes are one pass over one table.
+    Only bars of these symbols are made, sorted and cut. Indicators start at the first of the newest bars, as in a scan that
+    fetches no more. All timeframes are one pass over one table.
     """
     fast, trade, trend = frames
-    cut = latest_of_each(bars, {t.timeframe: t.candles for t in frames})
+    cut = latest_of_each(restricted(bars, symbols), {t.timeframe: t.candles for t in frames})
     gated = symbols.join(cut, "symbol", "left")  # a symbol without bars stays, with one empty row
-    states = with_states(gated, p).select("*", atr_expanding(trade.atr_expansion, trade.atr_period).alias("atr_ok"), volume_above_average(trade.volume_lookback).alias("vol_ok"))
-    found = last_rows(states)
+    found = last_rows(with_states(gated, p, trade))
     at = lambda t, c: F.max(F.when(F.col("timeframe") == t.timeframe, F.col(c)))
     return found.groupBy(*symbols.columns).agg(
         at(trend, "trend").alias("trend"),

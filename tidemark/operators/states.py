@@ -2,45 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import StateParams
-from tidemark.functions.indicators import above, with_indicators
-from tidemark.sources.bars import KEY, series
-
-
-def trend(p: StateParams = StateParams()) -> Column:
-    """bullish or bearish where both averages, the slow one's slope and ADX agree; else, or with too short a history, neutral."""
-    fast, slow = F.col("ema_fast"), F.col("ema_slow")
-    before = F.lag("ema_slow", p.slope_rows).over(series())
-    strong = F.col("adx") > p.adx_min
-    return (
-        F.when(F.col("rn") + 1 < p.slow + p.slope_rows, "neutral")
-        .when(above(fast, slow) & above(slow, before) & strong, "bullish")
-        .when(above(slow, fast) & above(before, slow) & strong, "bearish")
-        .otherwise("neutral")
-    )
-
-
-def direction(p: StateParams = StateParams()) -> Column:
-    fast, slow = F.col("ema_fast"), F.col("ema_slow")
-    return F.when(F.col("rn") + 1 < p.slow, "range").when(above(fast, slow), "up").when(above(slow, fast), "down").otherwise("range")
-
-
-def momentum() -> Column:
-    """Whether the close left the range of the bar before."""
-    return F.when(F.col("close") > F.lag("high").over(series()), "breakout_up").when(F.col("close") < F.lag("low").over(series()), "breakout_down").otherwise("none")
-
-
-def with_states(bars: DataFrame, p: StateParams = StateParams()) -> DataFrame:
-    """Adds the indicators, ema_slope and the three states to every bar."""
-    b = with_indicators(bars, p)
-    slope = F.col("ema_slow") - F.lag("ema_slow", p.slope_rows).over(series())
-    return b.select("*", slope.alias("ema_slope"), trend(p).alias("trend"), direction(p).alias("direction"), momentum().alias("momentum"))
+from tidemark.config import StateParams, Timeframe
+from tidemark.functions.indicators import above_sql, along, atr_expanding_sql, blocked_series, overlap, volume_above_average_sql, with_indicators
+from tidemark.functions.series import owned, split
+from tidemark.sources.bars import KEY
+
+
+def _expressions(p: StateParams, by: tuple[str, ...], row: str, trade: Timeframe | None) -> list[str]:
+    w = along(by, row=row)
+    before = f"lag(ema_slow, {p.slope_rows}) OVER {w}"
+    strong = f"adx > {p.adx_min!r}D"
+    out = [
+        f"ema_slow - {before} AS ema_slope",
+        # bullish or bearish where both averages, the slow one's slope and ADX agree; else, or with too short a history, neutral
+        f"CASE WHEN rn + 1 < {p.slow + p.slope_rows} THEN 'neutral' WHEN {above_sql('ema_fast', 'ema_slow')} AND {above_sql('ema_slow', before)} AND {strong} THEN 'bullish'"
+        f" WHEN {above_sql('ema_slow', 'ema_fast')} AND {above_sql(before, 'ema_slow')} AND {strong} THEN 'bearish' ELSE 'neutral' END AS trend",
+        f"CASE WHEN rn + 1 < {p.slow} THEN 'range' WHEN {above_sql('ema_fast', 'ema_slow')} THEN 'up' WHEN {above_sql('ema_slow', 'ema_fast')} THEN 'down' ELSE 'range' END AS direction",
+        # whether the close left the range of the bar before
+        f"CASE WHEN close > lag(high) OVER {w} THEN 'breakout_up' WHEN close < lag(low) OVER {w} THEN 'breakout_down' ELSE 'none' END AS momentum",
+    ]
+    if trade is not None:
+        out += [f"{atr_expanding_sql(trade.atr_expansion, trade.atr_period, by, row)} AS atr_ok", f"{volume_above_average_sql(trade.volume_lookback, by, row)} AS vol_ok"]
+    return out
+
+
+def with_states(bars: DataFrame, p: StateParams = StateParams(), trade: Timeframe | None = None) -> DataFrame:
+    """Adds the indicators, ema_slope and the three states to every bar; atr_ok and vol_ok by the settings of `trade`, if given."""
+    b = with_indicators(blocked_series(bars), p)
+    return b.selectExpr(*(c for c in b.columns if c not in ("_blk", "_place")), *_expressions(p, KEY, "rn", trade))
+
+
+def long_states(bars: DataFrame, p: StateParams = StateParams(), trade: Timeframe | None = None, rows: int = 16_384, before: int | None = None) -> DataFrame:
+    """`with_states` of series of any length: no task sorts a whole one.
+
+    Series are numbered by chunks of time and cut into parts of `rows` rows. Each part is computed on its own, with
+    the `before` rows that its averages still remember in front of it.
+    """
+    by = (*KEY, "_part")
+    parts = split(bars, rows, overlap(p) if before is None else before)
+    b = with_indicators(blocked_series(parts, by, "_row"), p, by, "_row")
+    inner = ("_part", "_blk", "_place", "_row", "_own")
+    b = b.selectExpr(*(c for c in b.columns if c not in inner), *_expressions(p, by, "_row", trade), "_own")
+    return owned(b)
 
 
 def last_rows(df: DataFrame) -> DataFrame:
     """The newest row of each series, with the series' length as `n`."""
     w = Window.partitionBy(*KEY)
     return df.withColumn("n", F.count("*").over(w)).filter(F.col("rn") == F.col("n") - 1)
+

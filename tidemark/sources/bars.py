@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import Timeframe
@@ -26,6 +26,12 @@ def series() -> WindowSpec:
     return Window.partitionBy(*KEY).orderBy("ts_ms")
 
 
+def frame_ms(column: str) -> Column:
+    """Milliseconds of a timeframe by its name, such as 5m, 1h or 7d."""
+    unit = F.create_map(*(F.lit(x) for x in ("s", 1000, "m", 60_000, "h", 3_600_000, "d", DAY_MS)))
+    return F.expr(f"cast(left({column}, length({column}) - 1) AS long)") * unit[F.right(F.col(column), F.lit(1))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -168,6 +174,15 @@ def liquid(symbols: DataFrame, tickers_: DataFrame, min_quote_volume: float) ->
     return symbols.join(tickers_, "symbol").filter(F.col("quote_volume") >= min_quote_volume)
 
 
+def restricted(bars: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The bars (or ticks) of some symbols.
+
+    A semi-join: the optimizer moves it below what makes the bars of finer rows, so those of other symbols are neither
+    aggregated nor shuffled, and a small set of symbols is broadcast by its size.
+    """
+    return bars.join(symbols.select("symbol"), "symbol", "left_semi")
+
+
 def unknown_volume(symbols: DataFrame, tickers_: DataFrame) -> DataFrame:
     """The symbols whose volume nobody knows, for which the gate has no answer."""
     return symbols.join(tickers_.filter("quote_volume is not null"), "symbol", "left_anti").select("symbol")
