@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.bars import DAY_MS
+from tidemark.sources.stored import in_ranges
 
 GROUPS = ("ALL", "LONG", "SHORT")
 NAMES = "trades winrate gross_pnl net_pnl fees fee_impact avg_win avg_loss profit_factor expectancy max_drawdown".split()
@@ -16,38 +16,47 @@ def grouped(made: DataFrame) -> DataFrame:
     return made.withColumn("grp", F.explode(F.array(F.lit("ALL"), F.col("side"))))
 
 
-def _local(made: DataFrame, chunk_ms: int) -> DataFrame:
-    """Grouped trades with _chunk, and the running sum and its maximum inside each chunk of time."""
-    g = grouped(made).withColumn("_chunk", F.floor(F.col("entry_ts") / chunk_ms))
-    inside = Window.partitionBy("grp", "_chunk").orderBy("entry_ts", "symbol", "exit_ts", "pnl").rowsBetween(Window.unboundedPreceding, 0)
-    local = g.withColumn("_sum", F.sum("pnl").over(inside))
-    return local.withColumn("_top", F.max("_sum").over(inside))
+ORDER = ("entry_ts", "symbol", "exit_ts", "pnl")
+
+
+def _local(made: DataFrame, chunk_ms: int | None) -> DataFrame:
+    """Grouped trades with _chunk, and the running sum and its maximum inside each chunk.
+
+    Chunks are ranges of equally many trades in the order of the curve, from a table that is read twice; or, with
+    chunk_ms, stretches of time, which need no table but may hold very unequal numbers of trades.
+    """
+    g = grouped(made)
+    if chunk_ms is None:
+        g = in_ranges(g, ["grp", *ORDER]).withColumnRenamed("_range", "_chunk")
+    else:
+        g = g.withColumn("_chunk", F.floor(F.col("entry_ts") / chunk_ms))
+    inside = f"(PARTITION BY grp, _chunk ORDER BY {', '.join(ORDER)} ROWS UNBOUNDED PRECEDING)"
+    return g.selectExpr("*", f"sum(pnl) OVER {inside} AS _sum").selectExpr("*", f"max(_sum) OVER {inside} AS _top")
 
 
 def _moved(chunks: DataFrame) -> DataFrame:
     """Adds to chunks (grp, _chunk, _total, _top) what the chunks before add up to, and their peak."""
-    earlier = Window.partitionBy("grp").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    moved = chunks.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
-    return moved.withColumn("_peak", F.max(F.col("_before") + F.col("_top")).over(earlier))
+    earlier = "(PARTITION BY grp ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    moved = chunks.selectExpr("*", f"coalesce(sum(_total) OVER {earlier}, 0D) AS _before")
+    return moved.selectExpr("*", f"max(_before + _top) OVER {earlier} AS _peak")
 
 
-def equity_curve(made: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
+def equity_curve(made: DataFrame, chunk_ms: int | None = None) -> DataFrame:
     """(grp, entry_ts, symbol, side, pnl, equity, peak, drawdown) of grouped trades in the order of entry time and symbol.
 
-    Running sums and maxima are taken inside chunks of time and moved by what the chunks
-    before add up to, so that no task sorts a whole group.
+    Running sums and maxima are taken inside chunks and moved by what the chunks before add up to, so that no task sorts
+    a whole group. Trades are made once. See _local for chunks.
     """
     local = _local(made, chunk_ms)
     whole = _moved(local.groupBy("grp", "_chunk").agg(F.sum("pnl").alias("_total"), F.max("_sum").alias("_top"))).select("grp", "_chunk", "_before", "_peak")
-    equity, peak = F.col("_sum") + F.col("_before"), F.greatest(F.col("_top") + F.col("_before"), F.col("_peak"))
-    moved = local.join(whole, ["grp", "_chunk"]).withColumn("equity", equity).withColumn("peak", peak)
-    return moved.select("grp", "entry_ts", "symbol", "side", "pnl", "equity", "peak", (F.col("equity") - F.col("peak")).alias("drawdown"), "pnl_gross", "fees")
+    moved = local.join(whole, ["grp", "_chunk"]).selectExpr("*", "_sum + _before AS equity", "greatest(_top + _before, _peak) AS peak")
+    return moved.selectExpr("grp", "entry_ts", "symbol", "side", "pnl", "equity", "peak", "equity - peak AS drawdown", "pnl_gross", "fees")
 
 
-def metrics(made: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
+def metrics(made: DataFrame, chunk_ms: int | None = None) -> DataFrame:
     """One row for each of ALL, LONG and SHORT, all zeros where there is no trade.
 
-    Trades are read once: a chunk of time is summed up with its lowest running sum and its own deepest fall, from
+    Trades are read once: a chunk (see _local) is summed up with its lowest running sum and its own deepest fall, from
     which the fall below the peak of all chunks before follows.
     """
     pnl, win, loss = F.col("pnl"), F.col("pnl") > 0, F.col("pnl") < 0

@@ -11,6 +11,8 @@ BUSY = 909_792_000_000
 EARLY, EARLY_WINDOW = 794_620_800_000, 5 * 86_400_000
 #: days of a short evaluation
 DAYS = 3
+#: rows of a part of a long series, and bars ahead in which a far trade may end
+PART_ROWS, FAR = 1024, 672
 
 TICKS = """ticks AS (SELECT event_type AS symbol, epoch_us(ts) AS us, event_id AS seq, 100 + value AS price, 1.0 * (1 + user_id % 10) AS qty FROM events)"""
 
@@ -122,6 +124,13 @@ priced AS (SELECT *, CASE exit_reason WHEN 'SL' THEN sl ELSE tp END AS exit_pric
 grossed AS (SELECT *, CASE side WHEN 'LONG' THEN (exit_price - entry) / entry * 100 ELSE (entry - exit_price) / entry * 100 END AS gross FROM priced),
 trades AS (SELECT symbol, side, entry_ts, exit_ts, round(entry, 6) AS entry, round(exit_price, 6) AS exit_price, round(gross - 0.08, 3) AS pnl, round(gross, 3) AS pnl_gross, round(0.08::DOUBLE, 3) AS fees, exit_reason, round(abs((entry - sl) / entry * 100), 3) AS sl_pct, round(abs((entry - tp) / entry * 100), 3) AS tp_pct, round(abs(sl), 3) AS sl, round(tp, 3) AS tp FROM grossed)"""
 
+#: the first bar of a long look-ahead that touches a barrier, by comparing with each
+_FAR_TRADES = f"""{_SIGNALS},
+barred AS (SELECT *, CASE side WHEN 'LONG' THEN entry - 2.0 * atr ELSE entry + 2.0 * atr END AS sl, CASE side WHEN 'LONG' THEN entry + 1.15 * atr ELSE entry - 1.3 * atr END AS tp FROM signals),
+exits AS (SELECT s.symbol, s.rn, min(b.rn) AS at FROM barred s JOIN states b ON b.symbol = s.symbol AND b.timeframe = '15m' AND b.rn BETWEEN s.rn + 2 AND s.rn + {1 + FAR} AND CASE side WHEN 'LONG' THEN b.low <= sl OR b.high >= tp ELSE b.high >= sl OR b.low <= tp END GROUP BY s.symbol, s.rn),
+touched AS (SELECT s.*, b.ts_ms AS exit_ts, CASE WHEN (CASE side WHEN 'LONG' THEN b.low <= sl ELSE b.high >= sl END) THEN 'SL' ELSE 'TP' END AS exit_reason FROM barred s JOIN exits e ON e.symbol = s.symbol AND e.rn = s.rn JOIN states b ON b.symbol = s.symbol AND b.timeframe = '15m' AND b.rn = e.at)"""
+_FAR_TRADES += _TRADES.removeprefix(_TOUCHED)
+
 
 _RECENT = " ".join(f"WHEN '{t}' THEN {DAY // ms * DAYS + 200}" for t, ms in FRAMES.items())
 RECENT_BARS = f"whole_{BARS}, bars AS (SELECT * FROM whole_bars QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts_ms DESC) <= CASE timeframe {_RECENT} END)"
@@ -174,6 +183,8 @@ def queries() -> dict[str, str]:
         "supplier_scan_hit_count": f"WITH {BUSY_SCAN} SELECT count(*) AS hits {TRADEABLE}",
         "supplier_scan_errors": f"WITH {EARLY_SCAN} {_REASON} UNION ALL SELECT symbol, 'no_quote_volume' FROM ({SUPPLIER_UNIVERSE}) WHERE symbol NOT IN (SELECT symbol FROM gated)",
         "recent_trades": f"WITH {_TRADES.replace(BARS, RECENT_BARS)} SELECT * FROM trades",
+        "long_series_states": f"WITH {_HISTORY} SELECT symbol, timeframe, ts_ms, rn, {rounded('ema_fast', 'ema_slow', 'atr', 'adx')}, trend, direction, momentum, atr_ok, vol_ok FROM states",
+        "far_trades": f"WITH {_FAR_TRADES} SELECT * FROM trades",
         "state_labels": f"""WITH {SCAN}, labelled AS (SELECT symbol, CASE trend WHEN 'neutral' THEN trend ELSE upper(trend) END AS trend_label, upper(direction) AS direction_label, CASE momentum WHEN 'breakout_up' THEN 'BO UP' WHEN 'breakout_down' THEN 'BO DOWN' ELSE '-' END AS momentum_label, atr_ok, vol_ok FROM scan_states)
 SELECT *, concat_ws(' | ', symbol, trend_label, direction_label, momentum_label, atr_ok, vol_ok) AS status FROM labelled""",
         "asof_states": f"WITH {_ALIGNED} SELECT symbol, ts_ms, trend, direction, momentum FROM aligned",

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import FAST, TIMEFRAMES, TRADE, TREND, Timeframe, timeframe_config
+from tidemark.config import FAST, TIMEFRAMES, TRADE, TREND, BarrierParams, Timeframe, timeframe_config
 from tidemark.functions import indicators as ind
 from tidemark.operators import metrics as met
 from tidemark.operators import scan, signals
-from tidemark.operators.states import last_rows, with_states
+from tidemark.operators.states import last_rows, long_states, with_states
 from tidemark.plans import oracle
 from tidemark.sources import bars as src
 
@@ -110,6 +110,17 @@ def _recent_trades(spark: SparkSession, d: str) -> DataFrame:
     return signals.evaluate(with_states(src.history(_all_bars(spark, d), TIMEFRAMES, oracle.DAYS)))
 
 
+def _long_states(spark: SparkSession, d: str) -> DataFrame:
+    """States of all three timeframes, each series in parts."""
+    return long_states(_all_bars(spark, d), trade=TRADE, rows=oracle.PART_ROWS)
+
+
+def _far_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Trades that may stay open for a week, of series in parts."""
+    p = BarrierParams(lookahead=oracle.FAR)
+    return signals.evaluate(_long_states(spark, d), p, rows=oracle.PART_ROWS, slice_ms=5 * src.DAY_MS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bars_5m": lambda s, d: _bars(s, d, FAST),
     "bars_15m": lambda s, d: _bars(s, d, TRADE),
@@ -151,6 +162,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supplier_scan_hit_count": lambda s, d: scan.tradeable(_supplier_scan(s, d, oracle.BUSY)).agg(F.count("*").alias("hits")),
     "supplier_scan_errors": _supplier_errors,
     "recent_trades": lambda s, d: _price_digits(_recent_trades(s, d)),
+    "long_series_states": lambda s, d: _long_states(s, d).select("symbol", "timeframe", "ts_ms", "rn", *(F.round(c, 6).alias(c) for c in ("ema_fast", "ema_slow", "atr", "adx")), "trend", "direction", "momentum", "atr_ok", "vol_ok"),
+    "far_trades": lambda s, d: _price_digits(_far_trades(s, d)),
 }
 
 
