@@ -211,8 +211,10 @@ def proved(docs: DataFrame, levels: int = LEVELS, proofs: bool = True, **columns
 
     proof_sha256 is the hash of the proof's nodes, folded_root the root that the offered row gives with them. columns: see `leaves`.
     """
-    rows, sorted_rows = indexed(leaves(docs, **columns), ["doc_id", "leaf"])
-    rows = written(rows, "leaves")
+    hashed_rows = written(leaves(docs, **columns), "leaves")  # a range sort reads its input twice; so texts are read once
+    rows, sorted_rows = indexed(hashed_rows, ["doc_id", "leaf"])
+    rows = written(rows, "numbered")
+    discarded(hashed_rows)
     discarded(sorted_rows)
     nodes, subroots = forest(rows, "leaf", False, levels)
     subroots, sorted_roots = indexed(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("group"), "digest"), ["group"])
