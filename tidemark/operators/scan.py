@@ -49,10 +49,15 @@ def scan_states(states: DataFrame) -> DataFrame:
     )
 
 
-def scan_errors(states: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
-    """The symbols whose states could not be computed, and why; the others go on. unknown: symbols that the gate could not judge."""
+def scan_errors(states: DataFrame, unknown: DataFrame | None = None, faulty: DataFrame | None = None) -> DataFrame:
+    """The symbols whose states could not be computed, and why; the others go on.
+
+    unknown: symbols that the gate could not judge; faulty: (symbol, reason) of those with bad ticks (see sources.quality).
+    """
     found = states.withColumn("reason", _reason()).filter("reason is not null").select("symbol", "reason")
-    return found if unknown is None else found.unionAll(unknown.select("symbol", F.lit("no_quote_volume")))
+    if unknown is not None:
+        found = found.unionAll(unknown.select("symbol", F.lit("no_quote_volume")))
+    return found if faulty is None else found.unionAll(faulty.select("symbol", "reason"))
 
 
 def tradeable(states: DataFrame) -> DataFrame:

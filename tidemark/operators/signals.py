@@ -10,6 +10,7 @@ from tidemark.functions.series import owned, split
 from tidemark.operators.asof import asof_join_all
 from tidemark.operators.touch import first_touches
 from tidemark.sources.bars import DAY_MS, KEY
+from tidemark.sources.stored import replace_days
 
 
 #: The most bars ahead that are taken into a bar's row; a longer look-ahead is searched through an index.
@@ -118,5 +119,6 @@ def evaluate(states: DataFrame, p: BarrierParams = BarrierParams(), rows: int |
     return trades(first_touch_far(found, states.filter(F.col("timeframe") == TRADE.timeframe), p), p)
 
 
-def write_trades(made: DataFrame, path: str) -> None:
-    made.write.partitionBy("symbol").parquet(path)
+def write_trades(made: DataFrame, path: str, files: int = 8) -> None:
+    """Stores trades by day of entry; the days among them are replaced, so an evaluation can be repeated."""
+    replace_days(made, path, "entry_ts", (), files)

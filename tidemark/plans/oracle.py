@@ -13,6 +13,9 @@ EARLY, EARLY_WINDOW = 794_620_800_000, 5 * 86_400_000
 DAYS = 3
 #: rows of a part of a long series, and bars ahead in which a far trade may end
 PART_ROWS, FAR = 1024, 672
+#: a time at which a history is cut in two, and hours whose ticks a feed delivers twice
+CUT = 1_705_363_200_000
+AGAIN = (1_704_153_600_000, 1_704_182_400_000)
 
 TICKS = """ticks AS (SELECT event_type AS symbol, epoch_us(ts) AS us, event_id AS seq, 100 + value AS price, 1.0 * (1 + user_id % 10) AS qty FROM events)"""
 
@@ -132,6 +135,13 @@ touched AS (SELECT s.*, b.ts_ms AS exit_ts, CASE WHEN (CASE side WHEN 'LONG' THE
 _FAR_TRADES += _TRADES.removeprefix(_TOUCHED)
 
 
+_FEED = f"""{TICKS},
+feed AS (SELECT CASE WHEN seq % 211 <> 0 THEN symbol END AS symbol, CASE WHEN seq % 307 <> 0 THEN us END AS us, seq, CASE WHEN symbol <> 'error' OR seq % 7 <> 0 THEN CASE WHEN seq % 401 = 0 THEN -price ELSE price END END AS price, qty FROM ticks
+ UNION ALL SELECT * FROM ticks WHERE us BETWEEN {AGAIN[0] * 1000} AND {AGAIN[1] * 1000 - 1}),
+faults AS (SELECT *, CASE WHEN symbol IS NULL THEN 'null_symbol' WHEN us IS NULL THEN 'null_time' WHEN price IS NULL THEN 'null_price' WHEN price <= 0 THEN 'bad_price' END AS fault FROM feed),
+judged AS (SELECT * REPLACE (CASE WHEN fault IS NULL AND row_number() OVER (PARTITION BY symbol, us, seq, fault IS NULL ORDER BY price, qty) > 1 THEN 'repeated' ELSE fault END AS fault) FROM faults)"""
+
+
 _RECENT = " ".join(f"WHEN '{t}' THEN {DAY // ms * DAYS + 200}" for t, ms in FRAMES.items())
 RECENT_BARS = f"whole_{BARS}, bars AS (SELECT * FROM whole_bars QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts_ms DESC) <= CASE timeframe {_RECENT} END)"
 
@@ -184,6 +194,15 @@ def queries() -> dict[str, str]:
         "supplier_scan_errors": f"WITH {EARLY_SCAN} {_REASON} UNION ALL SELECT symbol, 'no_quote_volume' FROM ({SUPPLIER_UNIVERSE}) WHERE symbol NOT IN (SELECT symbol FROM gated)",
         "recent_trades": f"WITH {_TRADES.replace(BARS, RECENT_BARS)} SELECT * FROM trades",
         "long_series_states": f"WITH {_HISTORY} SELECT symbol, timeframe, ts_ms, rn, {rounded('ema_fast', 'ema_slow', 'atr', 'adx')}, trend, direction, momentum, atr_ok, vol_ok FROM states",
+        "resumed_states": f"WITH {_HISTORY} SELECT symbol, timeframe, ts_ms, {rounded('ema_fast', 'ema_slow', 'atr', 'adx')}, trend, direction, momentum, atr_ok, vol_ok FROM states WHERE ts_ms >= {CUT}",
+        "gated_signals": f"WITH {_SIGNALS}, traded AS (SELECT s.symbol, s.ts_ms, sum(price * qty) AS quote_volume FROM signals s JOIN ticks t ON t.symbol = s.symbol AND us >= (s.ts_ms - {DAY}) * 1000 AND us < s.ts_ms * 1000 GROUP BY s.symbol, s.ts_ms) SELECT symbol, side, ts_ms, entry_ts, round(quote_volume, 4) AS quote_volume FROM signals JOIN traded USING (symbol, ts_ms) WHERE quote_volume >= {MIN_QUOTE_VOLUME}",
+        "stored_bars": f"WITH {TICKS}, {BARS} SELECT {_BAR_COLUMNS} FROM bars WHERE timeframe = '15m' AND ts_ms BETWEEN {AGAIN[0]} AND {CUT}",
+        "stored_scan_states": f"WITH {SCAN} SELECT * FROM scan_states",
+        "repeated_bars": f"WITH {TICKS}, {BARS} SELECT timeframe, count(*) + count(*) FILTER (ts_ms >= {CUT}) AS bars, count(*) FILTER (ts_ms >= {CUT}) AS repeated FROM bars GROUP BY timeframe",
+        "merged_bars": f"WITH {TICKS} {_resampled('15m', FRAMES['15m'])}",
+        "feed_faults": f"WITH {_FEED} SELECT reason, count(fault) AS ticks, count(DISTINCT symbol) AS symbols FROM (VALUES ('null_symbol'), ('null_time'), ('null_price'), ('bad_price'), ('repeated')) r(reason) LEFT JOIN judged ON fault = reason GROUP BY reason",
+        "feed_errors": f"WITH {_FEED} SELECT DISTINCT symbol, fault AS reason FROM judged WHERE symbol IS NOT NULL AND fault IN ('null_time', 'null_price', 'bad_price')",
+        "feed_bars": f"WITH {_FEED.replace('ticks AS (', 'raw AS (', 1).replace('FROM ticks', 'FROM raw')}, ticks AS (SELECT * FROM judged WHERE fault IS NULL) {_resampled('1h', FRAMES['1h'])}",
         "far_trades": f"WITH {_FAR_TRADES} SELECT * FROM trades",
         "state_labels": f"""WITH {SCAN}, labelled AS (SELECT symbol, CASE trend WHEN 'neutral' THEN trend ELSE upper(trend) END AS trend_label, upper(direction) AS direction_label, CASE momentum WHEN 'breakout_up' THEN 'BO UP' WHEN 'breakout_down' THEN 'BO DOWN' ELSE '-' END AS momentum_label, atr_ok, vol_ok FROM scan_states)
 SELECT *, concat_ws(' | ', symbol, trend_label, direction_label, momentum_label, atr_ok, vol_ok) AS status FROM labelled""",

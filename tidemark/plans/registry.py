@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from tidemark.config import FAST, TIMEFRAMES, TRADE, TREND, BarrierParams, Timeframe, timeframe_config
 from tidemark.functions import indicators as ind
 from tidemark.operators import metrics as met
-from tidemark.operators import scan, signals
+from tidemark.operators import resume, scan, signals
 from tidemark.operators.states import last_rows, long_states, with_states
 from tidemark.plans import oracle
 from tidemark.sources import bars as src
+from tidemark.sources import quality, volume
+from tidemark.sources.stored import shared_dir, written
 
 #: Quote volume a day that lets some of the event types pass and some not.
 MIN_QUOTE_VOLUME = oracle.MIN_QUOTE_VOLUME
@@ -110,6 +113,64 @@ def _recent_trades(spark: SparkSession, d: str) -> DataFrame:
     return signals.evaluate(with_states(src.history(_all_bars(spark, d), TIMEFRAMES, oracle.DAYS)))
 
 
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """States of the bars after a time, from the bars after it and what is kept of those before."""
+    bars = _all_bars(spark, d)
+    held = written(resume.tail(with_states(bars.filter(F.col("ts_ms") < oracle.CUT))), "held")
+    return resume.resumed_states(held, bars.filter(F.col("ts_ms") >= oracle.CUT), trade=TRADE)
+
+
+def _merged_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of two loads, the ticks of odd and of even numbers, merged."""
+    loads = [_ticks(spark, d).filter(F.col("seq.event_id") % 2 == k) for k in (1, 0)]
+    return src.finished(src.merged(*(src.bar_states(t, TRADE.timeframe, TRADE.ms) for t in loads)))
+
+
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    """The ticks as a bad feed delivers them: fields missing by their number, the first hours of January 2nd twice."""
+    t, n = _ticks(spark, d), F.col("seq.event_id")
+    bad = t.select(
+        F.when(n % 211 != 0, F.col("symbol")).alias("symbol"),
+        F.when(n % 307 != 0, F.col("ts_us")).alias("ts_us"),
+        "seq",
+        F.when((F.col("symbol") != "error") | (n % 7 != 0), F.when(n % 401 == 0, -F.col("price")).otherwise(F.col("price"))).alias("price"),
+        "qty",
+    )
+    again = t.filter(F.col("ts_us").between(oracle.AGAIN[0] * 1000, oracle.AGAIN[1] * 1000 - 1))
+    return bad.unionByName(again)
+
+
+def _store(spark: SparkSession, d: str) -> str:
+    """Where the bars of all timeframes are stored, by timeframe and day; the second load delivers the later days again."""
+    path = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
+    bars = _all_bars(spark, d)
+    src.write_bars(bars, path)
+    src.write_bars(bars.filter(F.col("ts_ms") >= oracle.CUT), path)
+    return path
+
+
+def _stored_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of one timeframe and some days, read from the store."""
+    return src.read_bars(spark, _store(spark, d), TRADE.timeframe, as_of_ms=oracle.CUT, since_ms=oracle.AGAIN[0])
+
+
+def _stored_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of stored bars, of which only those of the gated symbols are sorted and cut."""
+    states = scan.latest_states(src.read_bars(spark, _store(spark, d)), _gated(spark, d))
+    return scan.scan_states(states).withColumn("quote_volume", F.round("quote_volume", 4))
+
+
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Bars as a source delivers them that repeats the last day."""
+    bars = _all_bars(spark, d)
+    return bars.unionAll(bars.filter(F.col("ts_ms") >= oracle.CUT))
+
+
+def _gated_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signals whose symbol traded enough in the day before them."""
+    return volume.gated_at(_signals(spark, d), _ticks(spark, d), MIN_QUOTE_VOLUME)
+
+
 def _long_states(spark: SparkSession, d: str) -> DataFrame:
     """States of all three timeframes, each series in parts."""
     return long_states(_all_bars(spark, d), trade=TRADE, rows=oracle.PART_ROWS)
@@ -163,6 +224,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supplier_scan_errors": _supplier_errors,
     "recent_trades": lambda s, d: _price_digits(_recent_trades(s, d)),
     "long_series_states": lambda s, d: _long_states(s, d).select("symbol", "timeframe", "ts_ms", "rn", *(F.round(c, 6).alias(c) for c in ("ema_fast", "ema_slow", "atr", "adx")), "trend", "direction", "momentum", "atr_ok", "vol_ok"),
+    "resumed_states": lambda s, d: _resumed(s, d).select("symbol", "timeframe", "ts_ms", *(F.round(c, 6).alias(c) for c in ("ema_fast", "ema_slow", "atr", "adx")), "trend", "direction", "momentum", "atr_ok", "vol_ok"),
+    "gated_signals": lambda s, d: _gated_signals(s, d).select("symbol", "side", "ts_ms", "entry_ts", F.round("quote_volume", 4).alias("quote_volume")),
+    "merged_bars": _merged_bars,
+    "stored_bars": lambda s, d: _stored_bars(s, d).select("symbol", "timeframe", "ts_ms", "open", "high", "low", "close", "volume"),
+    "stored_scan_states": _stored_scan,
+    "repeated_bars": lambda s, d: src.repeated_bars(_delivered(s, d)),
+    "feed_faults": lambda s, d: quality.fault_counts(quality.judged(_feed(s, d))),
+    "feed_errors": lambda s, d: quality.faulty_symbols(quality.judged(_feed(s, d))),
+    "feed_bars": lambda s, d: src.resample(quality.good(quality.judged(_feed(s, d))), TREND.timeframe, TREND.ms),
     "far_trades": lambda s, d: _price_digits(_far_trades(s, d)),
 }
 

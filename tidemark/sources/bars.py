@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import Timeframe
+from tidemark.sources.stored import replace_days, written
 
 BAR = "symbol string, timeframe string, ts_ms long, open double, high double, low double, close double, volume double"
 KEY = ("symbol", "timeframe")
@@ -60,6 +62,34 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BAR_STATE = ("first_at", "open", "high", "low", "last_at", "close", "volume")
+
+
+def bar_states(ticks: DataFrame, timeframe: str, ms: int) -> DataFrame:
+    """Bars that later ticks can be merged into: besides their values, the order keys of their first and last tick."""
+    t = ticks.filter("symbol is not null and ts_us is not null and price is not null")
+    start = (F.floor(F.col("ts_us") / F.lit(ms * 1000)) * ms).cast("long")
+    order = F.struct("ts_us", "seq", "price")
+    return (
+        t.groupBy("symbol", F.lit(timeframe).alias("timeframe"), start.alias("ts_ms"))
+        .agg(F.min(order).alias("first_at"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(order).alias("last_at"), F.sum(F.coalesce("qty", F.lit(0.0))).alias("volume"))
+        .select(*KEY, "ts_ms", "first_at", F.col("first_at.price").alias("open"), "high", "low", "last_at", F.col("last_at.price").alias("close"), "volume")
+    )
+
+
+def merged(*states: DataFrame) -> DataFrame:
+    """Bar states of several loads as one, in whatever order they came; each tick must be in one load only."""
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    merged_ = every.groupBy(*KEY, "ts_ms").agg(F.min("first_at").alias("first_at"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last_at").alias("last_at"), F.sum("volume").alias("volume"))
+    return merged_.select(*KEY, "ts_ms", "first_at", F.col("first_at.price").alias("open"), "high", "low", "last_at", F.col("last_at.price").alias("close"), "volume")
+
+
+def finished(states: DataFrame) -> DataFrame:
+    return states.select(*KEY, "ts_ms", "open", "high", "low", "close", "volume")
+
+
 def resample(ticks: DataFrame, timeframe: str, ms: int) -> DataFrame:
     """Bars of one timeframe."""
     t = ticks.filter("symbol is not null and ts_us is not null and price is not null")
@@ -93,12 +123,17 @@ def rebase(bars: DataFrame, timeframe: str, ms: int) -> DataFrame:
     )
 
 
-def read_bars(spark: SparkSession, path: str, timeframe: str | None = None, as_of_ms: int | None = None) -> DataFrame:
-    """Stored bars, each once; a timeframe and a last time reach the Parquet scan as filters."""
-    bars = spark.read.schema(BAR).parquet(path)
+def read_bars(spark: SparkSession, path: str, timeframe: str | None = None, as_of_ms: int | None = None, since_ms: int | None = None) -> DataFrame:
+    """Stored bars, each once; a timeframe and the first and last time reach the Parquet scan as filters, and leave out the folders of other days."""
+    bars = spark.read.schema(f"{BAR}, day date").parquet(path)
     if timeframe is not None:
         bars = bars.filter(F.col("timeframe") == timeframe)
-    return unique_bars(as_of(bars, as_of_ms))
+    day = lambda ms: F.date_from_unix_date(F.lit(ms // DAY_MS))
+    if since_ms is not None:
+        bars = bars.filter((F.col("day") >= day(since_ms)) & (F.col("ts_ms") >= since_ms))
+    if as_of_ms is not None:
+        bars = as_of(bars.filter(F.col("day") <= day(as_of_ms)), as_of_ms)
+    return unique_bars(bars)
 
 
 def as_of(bars: DataFrame, ms: int | None) -> DataFrame:
@@ -106,8 +141,24 @@ def as_of(bars: DataFrame, ms: int | None) -> DataFrame:
     return bars if ms is None else bars.filter(F.col("ts_ms") <= ms)
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    bars.write.partitionBy("timeframe").parquet(path)
+def write_bars(bars: DataFrame, path: str, files: int = 8) -> None:
+    """Stores bars by timeframe and day; the days among them are replaced, so a load can be repeated."""
+    replace_days(bars, path, "ts_ms", ("timeframe",), files)
+
+
+def append_ticks(spark: SparkSession, path: str, ticks: DataFrame, timeframe: str, ms: int, files: int = 8) -> None:
+    """Merges late or new ticks into the bar states stored at path, of which only the days concerned are read and replaced."""
+    fresh = written(bar_states(ticks, timeframe, ms), "late")
+    days = fresh.select(F.date_from_unix_date(F.floor(F.col("ts_ms") / DAY_MS).cast("int")).alias("day")).distinct()
+    try:
+        old = spark.read.parquet(path).filter(F.col("timeframe") == timeframe)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        replace_days(fresh, path, "ts_ms", ("timeframe",), files)
+        return
+    old = written(old.join(days, "day", "left_semi").select(fresh.columns), "touched")
+    replace_days(merged(old, fresh), path, "ts_ms", ("timeframe",), files)
 
 
 def unique_bars(bars: DataFrame) -> DataFrame:
@@ -116,6 +167,12 @@ def unique_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEY, "ts_ms").agg(F.min(values).alias("b")).select(*KEY, "ts_ms", "b.*")
 
 
+def repeated_bars(bars: DataFrame) -> DataFrame:
+    """(timeframe, bars, repeated): how many bars there are, and how many of them unique_bars() leaves out."""
+    once = bars.groupBy(*KEY, "ts_ms").agg(F.count("*").alias("n"))
+    return once.groupBy("timeframe").agg(F.sum("n").alias("bars"), (F.sum("n") - F.count("*")).alias("repeated"))
+
+
 def latest(bars: DataFrame, n: int) -> DataFrame:
     """The newest n bars of each series; with a fixed n each task forgets older ones before the shuffle."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("ts_ms"))

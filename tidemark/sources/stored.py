@@ -35,3 +35,14 @@ def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     that whoever counts the rows of a range and whoever numbers them see the same ranges.
     """
     return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def replace_days(df: DataFrame, path: str, time_ms: str, by: tuple[str, ...] = (), files: int = 8, hashed: tuple[str, ...] = ("symbol",)) -> None:
+    """Writes df by day of `time_ms` (UTC), after the columns `by`; the days that df holds are replaced, others stay.
+
+    So a run can be repeated. A folder gets at most `files` files, whatever the number of tasks: rows are dealt out by
+    folder and a hash of `hashed`.
+    """
+    dealt = df.withColumn("day", F.date_from_unix_date(F.floor(F.col(time_ms) / 86_400_000).cast("int")))
+    dealt = dealt.repartition(*by, "day", F.pmod(F.xxhash64(*hashed), F.lit(files)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "day").parquet(path)
