@@ -9,8 +9,10 @@ labelled as main text are joined.
 Training: a bounded sample of distinct pages of any length, read whole, labels itself. Blocks inside an article or main element
 are positive, those in navigation, adverts, footers and the like negative (elements,
 and the words of class, id and role, listed below); on pages without such an element long
-sentences outside of links are positive and blocks of links negative. To know more layouts than a sample shows, training pages are varied: blocks of
-each kind are also wrapped, nested deeply, moved, renamed or stripped of telling names by rules with a fixed seed. The same pages
+sentences outside of links are positive and blocks of links negative. A word of a role counts fully only where the element's other
+words are about layout; beside others ("search algorithms") it may be a topic. To know more layouts than a sample shows, training pages are varied: blocks of
+each kind are also wrapped, nested deeply, moved, renamed or stripped of telling names, main text becomes lists, quotes, code, headings and
+tables, and comments follow it in elements without telling names, by rules with a fixed seed. The same pages
 give the same weights. Without any page to learn from, every block is kept.
 
 Markup is read as HTML reads it: a quote inside an unquoted value is part of it, `<!-->` is an
@@ -46,7 +48,7 @@ SAMPLE = 240
 VARIANTS = 5
 # Fixed values of HTML: elements that begin and end a block, that hold no text, that have no end, and that end an open one.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe input legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
-SILENT = frozenset("script style template noscript svg math object embed iframe head title select textarea button".split())
+SILENT = frozenset("script style template noscript svg object embed iframe head title select textarea button".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -55,7 +57,11 @@ INLINE = frozenset("a abbr b bdi bdo big cite code dfn em font i ins kbd label m
 # Words of a page's own markup that tell the role of what is inside.
 POSITIVE = frozenset("article main".split())
 NEGATIVE_TAGS = frozenset("nav header footer aside form menu dialog".split())
-NEGATIVE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar warning widget".split())
+NEGATIVE = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus feedback footer form guestbook header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo reactions related remarks reply replies responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags talkback toc toolbar warning widget".split())
+#: Words of class, id and role that say how or where something stands. A word of a role counts fully where an element's other words are of this kind;
+#: beside others ("search algorithms") it may name a topic and is marked by MIXED.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons card cards center clearfix col column complementary container content contentinfo cta desktop first footnav form global grid group head heading hidden icons inner item items last layout left link links list main mobile module nav outer overlay page panel part placeholder post primary reader readers region right row secondary section site slot small sticky strip teaser thread title top unit user users view visible wrap wrapper zone".split())
+MIXED = "~"
 
 ROLES = POSITIVE | NEGATIVE | NEGATIVE_TAGS
 
@@ -74,23 +80,31 @@ class Block:
 
 
 def _names(tag: str, attributes: str) -> str:
-    found = [tag]
+    found: list[str] = []
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             found += [x.lower() for x in _NAME.findall(m[2] or m[3] or m[4] or "")]
-    return " ".join(found)
+    if not NEGATIVE.isdisjoint(found) and any(len(x) > 2 and x not in ROLES and x not in LAYOUT for x in found):
+        found = [MIXED + x if x in NEGATIVE else x for x in found]
+    return " ".join([tag, *found])
+
+
+def _is_main(names: str) -> bool:
+    """Whether an element is one of main text."""
+    tag, *words = names.split()
+    return tag in POSITIVE or not POSITIVE.isdisjoint(words)
 
 
 class OpenElements:
     """The elements that are open at a place of a page. Every question is answered without walking them."""
 
     def __init__(self):
-        self.stack: list[tuple[str, list]] = []
+        self.stack: list[tuple[str, list, bool]] = []
         self.path: list[str] = []
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # places of those that are blocks
         self.seen: set = set()
-        self.silent = self.links = 0
+        self.silent = self.links = self.main = 0
 
     def push(self, tag: str, names: str) -> None:
         self.places.setdefault(tag, []).append(len(self.stack))
@@ -101,16 +115,18 @@ class OpenElements:
         # a word counts once, by its bucket; words of a role always count
         keys = [n if j == 0 else f".{n}" for j, n in enumerate(names.split())]
         keys = {k if k.lstrip(".") in ROLES else _bucket(k, PATHS) for k in keys}
-        fresh = [k for k in keys if k not in self.seen]
+        fresh = [(k, self.main > 0) for k in keys if (k, self.main > 0) not in self.seen]  # inside of main text anew
+        self.main += _is_main(names)
         if fresh:
             self.seen.update(fresh)
             self.path.append(names)
-        self.stack.append((tag, fresh))
+        self.stack.append((tag, fresh, _is_main(names)))
 
     def pop(self, to: int) -> None:
         """Closes the element at a place and all inside it."""
         while len(self.stack) > to:
-            tag, fresh = self.stack.pop()
+            tag, fresh, main = self.stack.pop()
+            self.main -= main
             self.places[tag].pop()
             if tag in BLOCK:
                 self.blocks.pop()
@@ -200,14 +216,23 @@ def blocks(page: str) -> list[Block]:
 
 
 def teacher(block: Block) -> int | None:
-    """1 main text, 0 not, None unknown: what a page's own markup says about a block."""
-    positive = False
+    """1 main text, 0 not, None unknown: what a page's own markup says about a block.
+
+    From outside to inside: what is unwanted stays so, but a form may hold a whole page. A role's word beside words of
+    other kinds counts only outside of main text.
+    """
+    label: int | None = None
+    in_form = False
     for names in block.path:
-        words = names.split()
-        if words[0] in NEGATIVE_TAGS or NEGATIVE & set(words):
-            return 0
-        positive = positive or words[0] in POSITIVE or bool(POSITIVE & set(words[1:]))
-    return 1 if positive else None
+        tag, *words = names.split()
+        if tag in NEGATIVE_TAGS or not NEGATIVE.isdisjoint(words):
+            in_form = tag == "form" and label is None and NEGATIVE.isdisjoint(words)
+            label = 0
+        elif (tag in POSITIVE or not POSITIVE.isdisjoint(words)) and (label is None or in_form):
+            label, in_form = 1, False
+        elif label is None and any(w.startswith(MIXED) for w in words):
+            label = 0
+    return label
 
 
 def layout_teacher(block: Block) -> int | None:
@@ -234,7 +259,10 @@ def vectors(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.nda
     paths, words, numbers = [], [], np.zeros((len(page), NUMBERS))
     for k, b in enumerate(page):
         if b.path not in held:
-            keys = dict.fromkeys(n if j == 0 else f".{n}" for names in b.path for j, n in enumerate(names.split()))
+            keys, inside = {}, ""
+            for names in b.path:  # a name inside of main text is another one than outside
+                keys |= dict.fromkeys(inside + (n if j == 0 else f".{n}") for j, n in enumerate(names.split()))
+                inside = inside or "+" * _is_main(names)
             for key in keys:
                 if key not in known:
                     known[key] = _bucket(key, PATHS)
@@ -403,12 +431,79 @@ def _nest(r: np.random.Generator) -> tuple[str, ...]:
 
 def _mark(path: tuple[str, ...], label: int) -> int:
     """The place of the first element that gives a block its label."""
-    hits = (lambda w: w[0] in POSITIVE or POSITIVE & set(w[1:])) if label else (lambda w: w[0] in NEGATIVE_TAGS or NEGATIVE & set(w))
+    hits = (lambda w: w[0] in POSITIVE or POSITIVE & set(w[1:])) if label else (lambda w: w[0] in NEGATIVE_TAGS or NEGATIVE & {x.removeprefix(MIXED) for x in w})
     return next(k for k, n in enumerate(path) if hits(n.split()))
 
 
+#: Elements that hold parts of a text, inside its main element.
+FORMS = ("ul li", "ol li", "ul li p", "blockquote", "blockquote p", "pre", "pre code", "h2", "h3", "h4", "h5", "h6", "table tbody tr td", "table tr th", "figure figcaption", "dl dt", "dl dd", "div", "div p", "section p", "section h2", "div ul li", "details summary", "p math")
+#: Words that come with comments of readers, in some languages.
+SAID = ("Reply", "Reply Share", "says:", "wrote:", "2 hours ago", "3 days ago", "Like 4", "Report", "Posted 12:40", "Répondre", "Antworten", "schrieb 9:15", "Responder", "dijo:", "12 points", "Permalink")
+PRAISE = ("agree", "agree lol", "thanks", "merci", "danke", "gracias", "lol", "nice post", "great article", "disagree")
+
+
+def _words(r: np.random.Generator, text: str, most: int) -> str:
+    if r.random() < 0.1:
+        return str(r.integers(1, 3000))
+    words = text.split(" ")
+    at = int(r.integers(0, len(words)))
+    return " ".join(words[at : at + int(r.integers(1, most))]) or "x"
+
+
+def _part(r: np.random.Generator, inside: tuple[str, ...], form: str, text: str, linked: float = 0.0) -> Block:
+    path = (*inside, *form.split())
+    return Block(path, text, len(text) if r.random() < linked else 0, len(path))
+
+
+def enriched(page: list[Block], target: np.ndarray, good: list[int], inside: tuple[str, ...], r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """Main text with parts of other forms than a sample may show: lists, quotes, code, headings, tables, some inside elements named after a topic."""
+    names = sorted(NEGATIVE)
+    page = list(page)
+    for k in good:  # paragraphs that are something else
+        if r.random() < 0.15:
+            page[k] = _part(r, inside, FORMS[r.integers(len(FORMS))], page[k].text)
+    for _ in range(int(r.integers(1, 5))):
+        here = inside
+        if r.random() < 0.4:
+            topic = [MIXED + str(names[r.integers(len(names))]), page[int(r.choice(good))].text.split(" ")[0].lower() or "x"]
+            here = (*inside, " ".join(["section" if r.random() < 0.5 else "div", *(topic if r.random() < 0.5 else topic[::-1])]))
+        form, linked = FORMS[r.integers(len(FORMS))], 0.5 if r.random() < 0.2 else 0.0
+        text = page[int(r.choice(good))].text
+        new = [_part(r, here, form, _words(r, text, 30 if r.random() < 0.5 else 8), linked) for _ in range(int(r.integers(1, 6)))]
+        if r.random() < 0.4:
+            new.append(_part(r, here, "p", _words(r, text, 40)))
+        at = int(r.choice(good)) + 1
+        page[at:at] = new
+        target = np.concatenate([target[:at], np.ones(len(new)), target[at:]])
+        good = [k + len(new) if k >= at else k for k in good] + list(range(at, at + len(new)))
+    return page, target
+
+
+def discussed(page: list[Block], target: np.ndarray, good: list[int], outer: tuple[str, ...], inside: tuple[str, ...], r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """Comments of readers behind the main text, in elements that need not tell it."""
+    at, text = max(good) + 1, page[int(r.choice(good))].text
+    wrap = [("div",), ("section",), ("div", "div"), ("ul", "li"), ("ol", "li", "div"), ("table", "tr", "td"), ("div thread",), ("section readers",), ("div list", "article"), ()][r.integers(10)]
+    where = (*(inside[:-1] if r.random() < 0.3 else outer), *wrap)
+    form, new = ["p", "div", "div p", "span"][r.integers(4)], []
+    style = int(r.integers(3))
+    for _ in range(int(r.integers(2, 7))):
+        name, cue = _words(r, text, 3), SAID[r.integers(len(SAID))]
+        body = _words(r, text, 30)
+        if r.random() < 0.5:
+            body = f"{PRAISE[r.integers(len(PRAISE))]} {body}"
+        if style == 0:
+            new.append(_part(r, where, form, f"{name} {cue} {body}"))
+        else:
+            new.append(_part(r, where, ["h4", "b", "span", "div"][r.integers(4)], f"{name} {cue}" if r.random() < 0.7 else name, 0.3))
+            new.append(_part(r, where, form, body))
+            if style == 2:
+                new.append(_part(r, where, "a", SAID[[0, 9, 10, 12, 7, 15][r.integers(6)]], 0.7))
+    page = [*page[:at], *new, *page[at:]]
+    return page, np.concatenate([target[:at], np.zeros(len(new)), target[at:]])
+
+
 #: What pages without telling names put around their blocks.
-PLAIN = (("div",), ("div", "div"), ("table", "tbody", "tr", "td"), ("div wrapper", "div"), ("center", "table", "tr", "td"), ("div page", "div content"))
+PLAIN = (("div",), ("div", "div"), ("table", "tbody", "tr", "td"), ("table", "tr", "td"), ("div wrapper", "div"), ("center", "table", "tr", "td"), ("div page", "div content"))
 
 
 def stripped(page: list[Block], marks: list[int | None], r: np.random.Generator) -> list[Block]:
@@ -425,18 +520,64 @@ def stripped(page: list[Block], marks: list[int | None], r: np.random.Generator)
     return out
 
 
+def bars_of_links(page: list[Block], marks: list[int | None], target: np.ndarray, r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """A stripped page whose links stand in bars, one block of several links, before and perhaps behind the text."""
+    links = [k for k, (b, m) in enumerate(zip(page, marks, strict=True)) if m == 0 and b.linked > 0.7 * len(b.text)]
+    if not links:
+        return page, target
+    where = page[marks.index(1)].path[:-1] if 1 in marks else ("html", "body", "div")
+    some = [page[k].text for k in links[: int(r.integers(1, 8))]]
+    texts = [" ".join(some)] if r.random() < 0.6 else some
+    bars = [Block(where, t, len(t) - (len(texts) == 1) * (len(some) - 1), len(where)) for t in texts]
+    behind = bars if r.random() < 0.5 else []
+    rest = [k for k in range(len(page)) if k not in set(links)]
+    kept = [page[k] for k in rest]
+    return [*bars, *kept, *behind], np.concatenate([np.zeros(len(bars)), target[rest], np.zeros(len(behind))])
+
+
+def shortened(page: list[Block], marks: list[int | None], r: np.random.Generator) -> tuple[list[Block], list[int | None]]:
+    """The page with paragraphs of a sentence or two: long blocks of main text are cut into several."""
+    out, labels = [], []
+    for b, m in zip(page, marks, strict=True):
+        parts = [b.text]
+        if m == 1 and len(b.text) > 150 and not b.linked:
+            parts = re.findall(r".{40,}?(?:[.!?](?= )|$)|.+$", b.text)[:8] if r.random() < 0.7 else [b.text[: int(r.integers(60, 150))] + "."]
+        for text in map(str.strip, parts):
+            if text:
+                out.append(Block(b.path, text, min(b.linked, len(text)), b.depth))
+                labels.append(m)
+    return out, labels
+
+
 def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """A training page and its targets: as it is, or with blocks of unwanted kinds moved in or main text put into other wrappers."""
+    """A training page and its targets: as it is, or with blocks of unwanted kinds moved in, main text put into other forms and wrappers, comments added."""
     marks = [teacher(b) for b in page]
     if 1 not in marks:
         return page, np.array([np.nan if m is None else m for m in taught(page)])
+    if r.random() < 0.3:
+        return page, np.array([np.nan if m is None else m for m in marks])
+    if marks.count(1) > 2 and r.random() < 0.3:  # main text need not begin with a heading
+        k = marks.index(1)
+        page, marks = [*page[:k], *page[k + 1 :]], [*marks[:k], *marks[k + 1 :]]
+    if r.random() < 0.5:
+        page, marks = shortened(page, marks, r)
     target = np.array([np.nan if m is None else m for m in marks])
+    good = [k for k, m in enumerate(marks) if m == 1]
+    if r.random() < 0.1:  # a form around the whole page
+        page = [Block((*b.path[:2], "form", *(("div",) if r.random() < 0.5 else ()), *b.path[2:]), b.text, b.linked, b.depth + 1) for b in page]
     if r.random() < 0.3:
+        page = stripped(page, marks, r)
+        inside = page[good[0]].path[:-1]
+        if r.random() < 0.6:
+            page, target = bars_of_links(page, marks, target, r)
+            good = [k for k, m in enumerate(target) if m == 1]
+        if r.random() < 0.4:
+            page, target = discussed(page, target, good, inside[:2], inside, r)
+            good = [k for k, m in enumerate(target) if m == 1]
+        if r.random() < 0.5:
+            page, target = enriched(page, target, good, inside, r)
         return page, target
-    if r.random() < 0.1:
-        return stripped(page, marks, r), target
     page = list(page)
-    good = [k for k, m in enumerate(marks) if m == 1]
     base = page[good[0]].path
     cut = next(k for k, n in enumerate(base) if n.split()[0] in POSITIVE or POSITIVE & set(n.split()[1:]))
     outer, names = base[:cut], sorted(NEGATIVE)
@@ -446,15 +587,25 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.n
             page[k] = Block((*outer, *wrap, *page[k].path[cut + 1 :]), page[k].text, page[k].linked, page[k].depth)
     inner = page[good[0]].path[: len(page[good[0]].path) - len(base) + cut + 1]
     above = {label: _nest(r) for label in (0, 1)}  # one nest for all blocks of a label, and one of its own for some
+    around = {1: _nest(r)}
+    around[0] = around[1] if r.random() < 0.5 else _nest(r)  # what lies around the elements that tell the label
     for k, label in enumerate(marks):
         if label is not None:
             path = page[k].path
-            at = _mark(path, label) + 1
-            page[k] = Block((*path[:at], *above[label], *(_nest(r) if r.random() < 0.2 else ()), *path[at:]), page[k].text, page[k].linked, page[k].depth + len(above[label]))
+            at = _mark(path, label)
+            page[k] = Block((*path[:at], *around[label], path[at], *above[label], *(_nest(r) if r.random() < 0.2 else ()), *path[at + 1 :]), page[k].text, page[k].linked, page[k].depth + len(above[label]) + len(around[label]))
+    inner = (*outer, *around[1], *inner[len(outer) :])
+    if r.random() < 0.4:
+        page, target = discussed(page, target, good, outer, inner, r)
+    if r.random() < 0.7:
+        page, target = enriched(page, target, good, inner, r)
+        good = [k for k, m in enumerate(target) if m == 1]
     for _ in range(int(r.integers(2, 8))):
         kind = str(names[r.integers(len(names))])
+        if r.random() < 0.15:
+            kind = f"{MIXED}{kind} {page[int(r.integers(len(page)))].text.split(' ')[0].lower() or 'x'}"
         tag = str(r.choice(["div", "section", "aside", "form", "nav", "footer", "header", "ul", "p", "dialog"]))
-        where = inner if r.random() < 0.5 else outer
+        where = inner if r.random() < 0.5 and MIXED not in kind else outer
         start = int(r.integers(0, len(page) + 1)) if where is outer else int(r.choice([good[0], good[-1] + 1, good[len(good) // 2]]))
         source = page[int(r.integers(len(page)))].text.split(" ")
         plain = tag in NEGATIVE_TAGS and r.random() < 0.5
@@ -462,9 +613,7 @@ def varied(page: list[Block], r: np.random.Generator) -> tuple[list[Block], np.n
         for _ in range(int(r.integers(1, 5))):
             n = int(r.integers(1, 40))
             text = " ".join(source[:n]) or "x"
-            new.append(Block((*where, tag if plain else f"{tag} {kind}", *nest, *((str(r.choice(["p", "li", "a", "div", "h3", "span", "label"])),) if r.random() < 0.8 else ())), text, len(text) if r.random() < 0.3 else 0, len(where) + 2 + len(nest)))
-        if not plain and tag == "p" and kind not in NEGATIVE:
-            continue
+            new.append(Block((*where, tag if plain else f"{tag} {kind}", *nest, *((str(r.choice(["p", "li", "a", "div", "h2", "h3", "h4", "span", "label"])),) if r.random() < 0.8 else ())), text, len(text) if r.random() < 0.3 else 0, len(where) + 2 + len(nest)))
         page[start:start] = new
         target = np.concatenate([target[:start], np.zeros(len(new)), target[start:]])
         good = [k + len(new) if k >= start else k for k in good]
