@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tidemark.llm import merkle, periodic_runs, queries, secrets
+from tidemark.llm import chat, decontaminate, lm, merkle, near_dedup, periodic_runs, queries, secrets
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, tree string, row int, kind string, h long"
 ROWS = [
@@ -231,3 +231,29 @@ def test_runs_of_whole_documents(spark):
     for x in got:
         if x.doc_id in short:
             assert tuple(x) == described(x.doc_id, short[x.doc_id])
+
+
+#: Two words that had one digest when words were mixed eight bytes at a time.
+ONE, TWO = r"\/;<&johbuh/+12u", "9s;^hh;^sx~e2?wy"
+
+
+def test_made_up_words_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, f"one two three four {ONE}"), (2, f"a b {ONE} a b {TWO}"), (3, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"one two three four {TWO}"), (8, f"one two three four {ONE}")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 8)]
+    found = {r.doc_id: r for r in near_dedup.NearDedup(width=3, percent=85).run(docs).collect()}
+    assert found[2].n_shingles == 4 and found[1].kept and found[2].kept
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0][:1] + [k for k in range(200) if zlib.crc32(str(k).encode()) % 10][:2]
+    held, *learnt = ids
+    texts = spark.createDataFrame([(held, f"x {TWO}"), (learnt[0], f"x {ONE}"), (learnt[1], "x y")], "doc_id long, text string")
+    row = next(r for r in lm.scored(texts).collect() if r.doc_id == held)
+    assert row.held_out and row.n_known == 2  # x, and the end
+
+
+def test_conversations_keep_the_type_of_their_ids(spark):
+    rows = [(1.5, 0, "user", "a"), (1.2, 0, "user", "b"), (1.5, 1, "assistant", "c"), (None, 0, "user", "d"), (float("nan"), 0, "user", "e"), (float("nan"), 1, "user", "f")]
+    df = spark.createDataFrame(rows, "conv_id double, turn int, role string, text string")
+    got = {repr(r.conv_id): r.n_turns for r in chat.conversation_digests(chat.format_conversations(chat.text_parts(df))).collect()}
+    assert got == {"1.5": 2, "1.2": 1, "None": 1, "nan": 2}
+    whole = chat.format_conversations(chat.text_parts(df.filter("conv_id = 1.5"))).first()
+    assert whole.formatted == "### user: a</turn>\n### assistant: c</turn>\n"

@@ -4,7 +4,7 @@ A turn's content is a list of parts (text, image, audio, document). A visitor wa
 parts in order: text is escaped, every attachment becomes a placeholder and is recorded
 with its reference and the number of tokens that it expands to. Turns are framed as
 
-    \\n### Role: \\n content \\n</turn>
+    ### role: content</turn>\\n
 
 The control strings of the template can occur in a text. Inside texts each backslash is
 doubled and each `###`, `</turn>` or `<|` gets a backslash in front of its first
@@ -14,7 +14,7 @@ Turns are formatted row by row; only the order within a conversation needs a shu
 A conversation is streamed turn by turn from sorted partitions, so memory holds its
 formatted text and no list of rows. Rows of one conversation with equal turn numbers keep
 the order of role, then text. Nulls: a null text is empty, a null role is `none`, null
-turns come first, and rows without conversation id form one conversation with a null id.
+turns come first, and rows without conversation id form one conversation with a null id. Ids keep their type.
 A conversation without assistant turns has an empty loss mask. Other columns are dropped.
 """
 
@@ -108,14 +108,15 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     def run(batches):
         none = object()
-        conv, pieces, size, spans, walker, done = none, [], 0, [], Flattener(), []
+        conv, pieces, size, spans, walker, done, key = none, [], 0, [], Flattener(), [], None
 
         def close():
             done.append((conv, "".join(pieces), spans, [dict(zip(("index", "type", "ref", "tokens"), a, strict=True)) for a in walker.attachments], sum(a[3] for a in walker.attachments)))
 
         for b in batches:
+            key = b.column("conv_id").type
             for c, role, parts in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "parts")), strict=True):
-                if conv is none or c != conv:
+                if conv is none or c != conv and not (c != c and conv != conv):  # not-a-number is one id
                     if conv is not none:
                         close()
                     conv, pieces, size, spans, walker = c, [], 0, [], Flattener()
@@ -131,9 +132,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             close()
             yield _batch(done, key)
 
-    key = pa.string() if dict(turns.dtypes)["conv_id"] == "string" else pa.int64()
-    kind = "string" if key == pa.string() else "long"
-    return dealt.select("conv_id", "role", "parts").mapInArrow(run, f"conv_id {kind}, {OUT}")
+    return dealt.select("conv_id", "role", "parts").mapInArrow(run, f"conv_id {dict(turns.dtypes)['conv_id']}, {OUT}")
 
 
 def _batch(rows: list, key: pa.DataType) -> pa.RecordBatch:

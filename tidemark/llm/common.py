@@ -20,10 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -148,7 +144,7 @@ _LONG_WORD = 256
 
 
 def string_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
-    """64-bit hashes of stretches of bytes, mixed eight bytes at a time (no sum or polynomial, so none can be built to collide by rearrangement)."""
+    """64-bit hashes of stretches of bytes, mixed eight bytes at a time (for features; colliding ones can be made up, so nothing is decided by them alone)."""
     h = mixed(size.astype(np.uint64), salt)
     spare = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(spare, 8)
@@ -181,26 +177,28 @@ def word_places(data: np.ndarray, ends: np.ndarray, within: np.ndarray) -> tuple
     return start, np.flatnonzero(stop) + 1 - start, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts that lie end to end, A-Z lower-cased, and the number of words of each text."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    start, size, per_text = word_places(data, ends, ~_IS_SPACE)
-    return string_hashes(_LOWER[data], start, size, 5), per_text
+class _Digests(dict):
+    """64-bit digests of words: a cryptographic hash, so no pair of words with one digest can be made up. Words are told apart by their bytes."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"words").digest(), "little")
+        return found
 
-def all_word_hashes(values: list[bytes], chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes of a list of texts, in pieces that stay in the processor's cache."""
-    hashes, counts, piece, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+
+#: words whose digests a worker remembers
+_KEPT_WORDS = 1 << 19
+
+
+def all_word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of texts, A-Z lower-cased, and the number of words of each text."""
+    known, parts, counts = _Digests(), [np.zeros(0, np.uint64)], np.zeros(len(values), np.int64)
     for k, v in enumerate(values):
-        piece.append(v)
-        size += len(v)
-        if size >= chunk or k == len(values) - 1:
-            h, c = word_hashes(np.frombuffer(b"".join(piece), np.uint8), np.cumsum([len(x) for x in piece]))
-            hashes.append(h)
-            counts.append(c)
-            piece, size = [], 0
-    return np.concatenate(hashes), np.concatenate(counts)
+        words = v.lower().split()  # bytes: A-Z alone are lower-cased, and the six white-space bytes separate
+        counts[k] = len(words)
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts), counts
 
 
 def trimmed() -> None:

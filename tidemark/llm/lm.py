@@ -253,14 +253,14 @@ def chances(sent: DataFrame, digits: int, pairs: tuple[np.ndarray, np.ndarray])
         known = n > 0
         trie = Trie(code[known], n[known], code[known], n[known], held.value)
         h = keys_of_codes(code)
-        out = pa.table({"digit": pa.array(ex.digit_of(h, digits).astype(np.int32)), "h": pa.array(h.view(np.int64)), "chance": pa.array(trie.log_chances(code).astype(np.float32))})
+        out = pa.table({"digit": pa.array(ex.digit_of(h, digits).astype(np.int32)), "h": pa.array(h.view(np.int64)), "chance": pa.array(trie.log_chances(code))})
         trimmed()
         return out
 
     shares = max(64, digits * 4)
     suffix = F.floor(F.col("code") / SYMBOLS) % SYMBOLS**2
     table = sent.groupBy("digit").applyInArrow(total, "code long, n long")
-    return table.withColumn("share", F.pmod(F.xxhash64(suffix), F.lit(shares))).groupBy("share").applyInArrow(worked, "digit int, h long, chance float")
+    return table.withColumn("share", F.pmod(F.xxhash64(suffix), F.lit(shares))).groupBy("share").applyInArrow(worked, "digit int, h long, chance double")
 
 
 def told(sent: DataFrame, table: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
         each = np.zeros(len(code))
         for step, base, held in zip(*(replies.column(c).to_pylist() for c in ("step", "base", "answers")), strict=True):
             if step == 2:
-                chance = np.frombuffer(held, np.float32)
+                chance = np.frombuffer(held, np.float64)
                 each[base : base + len(chance)] = chance
         score = np.bincount(of, weights=each[at], minlength=len(values))
         columns = [part.column("doc_id"), pa.array(~learn), pa.array(sizes + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(score)]

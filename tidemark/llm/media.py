@@ -61,7 +61,10 @@ def filtered(rows: np.ndarray, kind: int, bpp: int = 1) -> np.ndarray:
     left[:, bpp:] = x[:, :-bpp]
     up[1:] = x[:-1]
     corner[1:, bpp:] = x[:-1, :-bpp]
-    guess = {NONE: 0, SUB: left, UP: up, AVERAGE: (left + up) >> 1, PAETH: _nearest(left, up, corner)}[kind]
+    if kind in (NONE, SUB, UP):
+        guess = {NONE: 0, SUB: left, UP: up}[kind]
+    else:
+        guess = (left + up) >> 1 if kind == AVERAGE else _nearest(left, up, corner)
     out = np.empty((rows.shape[0], rows.shape[1] + 1), np.uint8)
     out[:, 0] = kind
     out[:, 1:] = (x - guess) & 255
