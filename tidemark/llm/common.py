@@ -177,28 +177,32 @@ def word_places(data: np.ndarray, ends: np.ndarray, within: np.ndarray) -> tuple
     return start, np.flatnonzero(stop) + 1 - start, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
 
 
-class _Digests(dict):
-    """64-bit digests of words: a cryptographic hash, so no pair of words with one digest can be made up. Words are told apart by their bytes."""
+class Numbers(dict):
+    """Numbers of words, the next one for each new word; words are told apart by their bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"words").digest(), "little")
+        self[word] = found = len(self)
         return found
 
 
-#: words whose digests a worker remembers
-_KEPT_WORDS = 1 << 19
+def word_numbers(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word of texts, A-Z lower-cased, how many words a text has, and the 64-bit digest of each number's word.
 
-
-def all_word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the words of texts, A-Z lower-cased, and the number of words of each text."""
-    known, parts, counts = _Digests(), [np.zeros(0, np.uint64)], np.zeros(len(values), np.int64)
+    The digest is a cryptographic hash, so no pair of words with one digest can be made up.
+    """
+    known, parts, counts = Numbers(), [np.zeros(0, np.int64)], np.zeros(len(values), np.int64)
     for k, v in enumerate(values):
         words = v.lower().split()  # bytes: A-Z alone are lower-cased, and the six white-space bytes separate
         counts[k] = len(words)
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-    return np.concatenate(parts), counts
+        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    digests = b"".join(hashlib.blake2b(w, digest_size=8, person=b"words").digest() for w in known)
+    return np.concatenate(parts), counts, np.frombuffer(digests, "<u8")
+
+
+def all_word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of texts, A-Z lower-cased, and the number of words of each text."""
+    numbers, counts, digests = word_numbers(values)
+    return digests[numbers], counts
 
 
 def trimmed() -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import exchange as ex
-from tidemark.llm.common import all_word_hashes, slices, texts, trimmed
+from tidemark.llm.common import slices, texts, trimmed, word_numbers
 
 ORDER = 4
 SYMBOLS = 257
@@ -286,14 +286,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     def words(part):
         part = ex.ordered(part)
         values = [t.encode() for t in part.column("text").to_pylist()]
-        hashes, sizes = all_word_hashes(values)
+        numbers, sizes, digests = word_numbers(values)
         learn = np.array([not in_fold(i) for i in part.column("doc_id").to_pylist()], bool)
-        order, fresh = ex.distinct((hashes,))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        text = np.repeat(np.arange(len(values)), sizes)
-        own = np.bincount(place, weights=learn[text], minlength=int(fresh.sum())).astype(np.int64)
-        return part, values, hashes[order[fresh]], own, place, text, sizes, learn
+        order = np.argsort(digests)  # of distinct words only
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place, text = rank[numbers], np.repeat(np.arange(len(values)), sizes)
+        own = np.bincount(place, weights=learn[text], minlength=len(order)).astype(np.int64)
+        return part, values, digests[order], own, place, text, sizes, learn
 
     def emit(key, part):
         _, _, keys, own, _, _, _, _ = words(part)

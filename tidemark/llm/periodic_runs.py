@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import mixed, slices, trimmed
+from tidemark.llm.common import Numbers, mixed, slices, trimmed
 
 LEAST, TIMES = 6, 4
 NEVER = np.iinfo(np.int64).max
@@ -257,14 +257,6 @@ def stretches(ids: np.ndarray, ends: np.ndarray, least: int = LEAST, times: int
     return a[begin], np.maximum.reduceat(b, begin) if len(begin) else b
 
 
-class _Ids(dict):
-    """Numbers of words, the next one for each new word."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self)
-        return found
-
-
 def looped(ids: np.ndarray, h: int) -> np.ndarray:
     """Places of the words of a sequence altered to hold a run: from a place on, its next p words again and again."""
     n, g = len(ids), h // 10
@@ -311,7 +303,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _described(values: list[bytes], altered: list[int | None], least: int, times: int, keep_text: bool) -> list[list]:
     """The columns of OUT after the id, for texts as bytes."""
-    number, words, ids = _Ids(), [], []
+    number, words, ids = Numbers(), [], []
     for value, h in zip(values, altered, strict=True):
         w = value.split()  # at the bytes 9 to 13 and 32
         x = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
