@@ -150,3 +150,14 @@ def test_stored_bars_of_some_days_and_symbols(spark, tmp_path):
     assert src.read_bars(spark, str(tmp_path / "b")).filter(F.col("timeframe") == TREND.timeframe).count() == bars.filter("timeframe = '1h'").count()
     twice = src.repeated_bars(bars.unionAll(bars.filter("timeframe = '1h'")))
     assert {r.timeframe: r.repeated for r in twice.collect()} == {"5m": 0, "15m": 0, "1h": bars.filter("timeframe = '1h'").count()}
+
+
+def test_time_limits_reach_the_scan(spark):
+    d = f"{DATA}/sf0.001"
+    for ticks, low, high in ((src.event_ticks, 1_704_240_000_001, 1_704_412_800_000), (src.lineitem_ticks, 794_620_800_000, 909_792_000_000)):
+        some = ticks(spark, d, since_ms=low, until_ms=high)
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+        assert "GreaterThanOrEqual" in pushed and "LessThanOrEqual" in pushed
+        whole = ticks(spark, d).filter(F.col("ts_us").between(low * 1000, high * 1000))
+        assert some.count() == whole.count() > 0 and some.exceptAll(whole).count() == 0

@@ -82,9 +82,7 @@ def _supplier_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supplier_scanned(spark: SparkSession, d: str, as_of: int | None = None) -> DataFrame:
-    ticks = src.lineitem_ticks(spark, d)
-    if as_of is not None:
-        ticks = ticks.filter(F.col("ts_us") <= as_of * 1000)
+    ticks = src.lineitem_ticks(spark, d, until_ms=as_of)
     gated = src.liquid(src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, 365 * src.DAY_MS), 0)
     daily = src.resample(ticks, DAILY.timeframe, DAILY.ms)
     return scan.latest_states(daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms)), gated, (DAILY, DAILY, WEEKLY))
@@ -96,7 +94,7 @@ def _supplier_scan(spark: SparkSession, d: str, as_of: int | None = None) -> Dat
 
 def _supplier_errors(spark: SparkSession, d: str) -> DataFrame:
     """A scan so early that some suppliers have too few bars, and some no trade in the ticker's window of a day."""
-    ticks = src.lineitem_ticks(spark, d).filter(F.col("ts_us") <= oracle.EARLY * 1000)
+    ticks = src.lineitem_ticks(spark, d, until_ms=oracle.EARLY)
     symbols, tickers = src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, oracle.EARLY_WINDOW)
     daily = src.resample(ticks, DAILY.timeframe, DAILY.ms)
     states = scan.latest_states(daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms)), src.liquid(symbols, tickers, 0), (DAILY, DAILY, WEEKLY))

@@ -10,10 +10,12 @@ quantity counts as 0.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType
 
 from tidemark.config import Timeframe
 from tidemark.sources.stored import replace_days, written
@@ -38,9 +40,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def between(df: DataFrame, column: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """The rows with a time in since_ms..until_ms, both included (UTC), compared in the column's own type, so that the scan can skip what lies outside."""
+    kind = df.schema[column].dataType
+
+    def literal(ms: int, up: bool) -> Column:
+        if isinstance(kind, DateType):
+            return F.lit(date.fromordinal(date(1970, 1, 1).toordinal() + (-(-ms // DAY_MS) if up else ms // DAY_MS)))
+        moment = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+        return F.expr(f"timestamp_ntz'{moment.isoformat(' ')}'") if isinstance(kind, TimestampNTZType) else F.timestamp_millis(F.lit(ms))
+
+    if since_ms is not None:
+        df = df.filter(F.col(column) >= literal(since_ms, True))
+    return df if until_ms is None else df.filter(F.col(column) <= literal(until_ms, False))
+
+
+def event_ticks(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
     """Ticks of few, dense symbols: the event types."""
-    e = table(spark, sf_dir, "events")
+    e = between(table(spark, sf_dir, "events"), "ts", since_ms, until_ms)
     return e.select(
         F.col("event_type").alias("symbol"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
@@ -50,9 +67,9 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_ticks(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
     """Ticks of many symbols: one for each supplier."""
-    x = table(spark, sf_dir, "lineitem")
+    x = between(table(spark, sf_dir, "lineitem"), "l_shipdate", since_ms, until_ms)
     return x.select(
         F.col("l_suppkey").cast("string").alias("symbol"),
         F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts_us"),
