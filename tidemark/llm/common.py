@@ -185,24 +185,47 @@ class Numbers(dict):
         return found
 
 
-def word_numbers(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of each word of texts, A-Z lower-cased, how many words a text has, and the 64-bit digest of each number's word.
+def _digest(word: bytes) -> bytes:
+    """64-bit digest of a word: a cryptographic hash, so no pair of words with one digest can be made up."""
+    return hashlib.blake2b(word, digest_size=8, person=b"words").digest()
 
-    The digest is a cryptographic hash, so no pair of words with one digest can be made up.
-    """
-    known, parts, counts = Numbers(), [np.zeros(0, np.int64)], np.zeros(len(values), np.int64)
+
+class _Digests(dict):
+    """Digests of words as numbers; those of short words are kept, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(_digest(word), "little")
+        if len(word) <= 32:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[word] = found
+        return found
+
+
+#: What a worker has met so far; it changes no result.
+_MET = _Digests()
+
+
+def _cut(values: list[bytes], of: dict, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What `of` gives for each word of texts, A-Z lower-cased, and how many words each text has."""
+    parts, counts = [np.zeros(0, kind)], np.zeros(len(values), np.int64)
     for k, v in enumerate(values):
         words = v.lower().split()  # bytes: A-Z alone are lower-cased, and the six white-space bytes separate
         counts[k] = len(words)
-        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-    digests = b"".join(hashlib.blake2b(w, digest_size=8, person=b"words").digest() for w in known)
-    return np.concatenate(parts), counts, np.frombuffer(digests, "<u8")
+        parts.append(np.fromiter(map(of.__getitem__, words), kind, len(words)))
+    return np.concatenate(parts), counts
+
+
+def word_numbers(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word of texts, how many words a text has, and the digest of each number's word."""
+    known = Numbers()
+    numbers, counts = _cut(values, known, np.int64)
+    return numbers, counts, np.frombuffer(b"".join(map(_digest, known)), "<u8")
 
 
 def all_word_hashes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the words of texts, A-Z lower-cased, and the number of words of each text."""
-    numbers, counts, digests = word_numbers(values)
-    return digests[numbers], counts
+    return _cut(values, _MET, np.uint64)
 
 
 def trimmed() -> None:
