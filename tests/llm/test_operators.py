@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tests.conftest import DATA
 from tidemark.llm import chat, decontaminate, html, lm, media, near_dedup, quality, segmentation, suffix_dedup, token_counts
 from tidemark.llm.components import components
 from tidemark.llm.pieces import DEFAULT_MODEL, pretokens, vocabulary
-from tidemark.llm.queries import QUERIES
+from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{k * k % 977}" for k in range(9000))
@@ -214,9 +215,9 @@ def test_decontamination_equals_exact_containment(spark, docs, small):
         want = []
         for i, t in rows:
             for r in bench.collect():
-                q = shingles(r.text, 5)
-                if q and len(q & shingles(t, 5)) >= 0.8 * len(q):
-                    want.append((i, r.item_id, len(q & shingles(t, 5))))
+                q, w = shingles(r.text, 5), min(5, max(1, len(WORD.findall(r.text or ""))))
+                if q and len(q & shingles(t, w)) >= 0.8 * len(q):
+                    want.append((i, r.item_id, len(q & shingles(t, w))))
         assert sorted(((r.doc_id, r.item_id, r.n_shared) for r in got), key=str) == sorted(want, key=str)
     assert decontaminate.contaminated(docs, items.limit(0)).count() == decontaminate.contaminated(docs.limit(0), items).count() == 0
     clean = decontaminate.decontaminated(docs, items)
@@ -239,6 +240,32 @@ def test_decontamination_against_very_many_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in whole} and all(r.containment == 1 for r in got)
 
 
+def test_short_items_inside_long_documents(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "forty two"), (3, "a b c d"), (4, "a b c d e"), (5, "c d")], "item_id long, text string")
+    rows = [(1, f"the capital is paris {LONG}"), (2, "forty two"), (3, f"{LONG} a b c d"), (4, f"x a b c d e {LONG}"), (5, "two forty parisian a b c"), (6, None), (7, "PARIS"), (8, f"{LONG} forty  TWO {LONG}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (7, 1), (2, 2), (8, 2), (3, 3), (3, 5), (4, 3), (4, 4), (4, 5)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, items).collect()) == [5, 6]
+    duck = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        duck.register(name, df.toArrow())
+    assert set(duck.execute(f"SELECT doc_id, item_id FROM ({ORACLE_SQL['op5_decontamination']})").fetchall()) == got
+
+
+def test_items_with_one_template_stay_linear(spark):
+    """2,000 items and 4,000 documents share 26 shingles of 38: a product would be 8,000,000 candidates."""
+    template = " ".join(f"t{j}" for j in range(30))
+    items = spark.createDataFrame([(k, template + "".join(f" own{k}x{j}" for j in range(12))) for k in range(2000)], "item_id long, text string")
+    rows = [(k, f"start {template} and then {k}") for k in range(4000)] + [(4000 + k, f"x {template}" + "".join(f" own{k}x{j}" for j in range(8))) for k in range(0, 2000, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = docs.withColumn("rest", F.lit(None).cast("string"))
+    found, dirty = decontaminate.searched(plain, items, 5, 0.8, False)
+    index = decontaminate.item_signatures(items, 5, 0.8)
+    assert decontaminate.candidates(found, index).count() <= 4040
+    assert {(r.doc_id - 4000, r.item_id) for r in dirty.join(found, "row").select("doc_id", "item_id").collect()} == {(k, k) for k in range(0, 2000, 50)}
+
+
 def thue_morse(a, b, n=1024):
     return "".join((a, b)[k.bit_count() % 2] for k in range(n))
 

@@ -6,18 +6,22 @@ each partition documents are cut into overlapping stretches of twice its largest
 whatever window an item fills lies whole in one stretch. Stretches and items get binned
 MinHashes (the smallest hash of each bin); an item is a candidate of a document when a
 bin of one of its stretches agrees. Bins are plentiful against a stretch, so a shared
-shingle is lost with probability 1 / 16 at most, and partitions of small items take as many
-salted rounds as keep the chance to miss an item under 1e-6. Candidates are verified by
-exact containment: shared distinct shingles / distinct shingles of the item, over the
-whole document.
+shingle is lost with probability 1 / 16 at most. Of an item only the minima of its rarest
+shingles (by the number of items that hold them) are kept: so many that SPARE of them lie in any document
+with enough of the item. Items that share a template are thus told apart by what is their own,
+and documents with that template meet only items that it fills almost to the threshold. Partitions of
+small items take as many salted rounds as keep the chance to miss an item under 1e-6.
+Candidates are verified by exact containment: shared distinct shingles / distinct
+shingles of the item, over the whole document.
 
 Items are a table: their minima are joined with those of the documents. Documents are read
 once, whatever the number of items. Only two filters are broadcast (which hashes are an item's
 minimum, and which are an item's shingle): bitmaps of FILTER_BITS bits at most. More items
 than they can tell apart let more hashes through to the join, and change no result.
 
-Texts: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, shingles of `width` words; with fewer
-words the whole sequence is one shingle, which equals only such a shingle. Null or empty items and documents match
+Texts: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, shingles of `width` words. An item with fewer
+words is one shingle of all its words, and is held by documents in which they follow each other
+anywhere; only where such items exist are documents read in shingles of that many words too. Null or empty items and documents match
 nothing. Null ids are kept as they are. Repeated rows, and rows that share an id, are judged each. Other columns
 are dropped, unless named in `carry`.
 """
@@ -38,6 +42,8 @@ from tidemark.llm.near_dedup import shingles_of
 WIDTH = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
+#: Kept shingles of an item that a document with enough of it has: all are lost with a probability of 16 ** -SPARE.
+SPARE = math.ceil(-math.log(MISS) / math.log(16))
 FILTER_BITS = 1 << 26
 
 
@@ -51,7 +57,7 @@ def bins_of(power: int) -> int:
 
 def rounds_of(power: int, containment: float) -> int:
     """Salted rounds for items of 2 ** power shingles or more."""
-    return math.ceil(-math.log(MISS) / (math.ceil(containment * (1 << power)) * math.log(16)))
+    return math.ceil(-math.log(MISS) / (min(SPARE, math.ceil(containment * (1 << power) - 1e-9)) * math.log(16)))
 
 
 def salted(hashes: np.ndarray, power: int, turn: int) -> np.ndarray:
@@ -93,22 +99,42 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
 
-def item_signatures(items: DataFrame, width: int, containment: float) -> DataFrame:
-    """(item, item_id, n, power, shingles, minima) of every item with a shingle; item numbers the rows."""
+def item_sets(items: DataFrame, width: int) -> DataFrame:
+    """(item, item_id, n, words, shingles) of every item with a shingle; item numbers the rows, words is the width of its shingles."""
 
     def run(batches):
         serial = TaskContext.get().partitionId() << 40
         for b in slices(batches, "text", 1 << 18):
-            hashes, counts = shingles_of([t.encode() for t in b.column("text").to_pylist()], width)
+            values = [t.encode() for t in b.column("text").to_pylist()]
+            hashes, counts = shingles_of(values, width)
             sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
             some = [k for k, s in enumerate(sets) if len(s)]
-            powers = [len(sets[k]).bit_length() - 1 for k in some]
-            minima = [np.concatenate([smallest(salted(sets[k], p, t), bins_of(p)) for t in range(rounds_of(p, containment))]) for k, p in zip(some, powers, strict=True)]
-            columns = [pa.array(np.arange(serial, serial + len(some))), b.column("item_id").take(pa.array(some, pa.int64())), pa.array([len(sets[k]) for k in some], pa.int64()), pa.array(powers, pa.int32()), _lists([sets[k] for k in some]), _lists(minima)]
+            words = [min(width, len(values[k].split(maxsplit=width))) for k in some]
+            columns = [pa.array(np.arange(serial, serial + len(some))), b.column("item_id").take(pa.array(some, pa.int64())), pa.array([len(sets[k]) for k in some], pa.int64()), pa.array(words, pa.int32()), _lists([sets[k] for k in some])]
             serial += len(some)
-            yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "n", "power", "shingles", "minima"])
+            yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "n", "words", "shingles"])
+
+    return items.mapInArrow(run, f"item long, item_id {dict(items.dtypes)['item_id']}, n long, words int, shingles array<long>")
+
 
-    return items.mapInArrow(run, f"item long, item_id {dict(items.dtypes)['item_id']}, n long, power int, shingles array<long>, minima array<long>")
+def item_signatures(items: DataFrame, width: int, containment: float) -> DataFrame:
+    """(item, item_id, n, words, power, shingles, minima) of every item with a shingle: minima are those of its rarest shingles."""
+    sets = written(item_sets(items, width), "item-sets")
+    each = sets.select("item", "n", F.explode("shingles").alias("h"))
+    rarity = each.join(each.groupBy("h").agg(F.count("*").alias("held")), "h")
+    # without these, fewer shingles are left than a document must share, less SPARE
+    enough = F.expr(f"cast(n - ceil({containment}D * n - 1e-9D) + {SPARE} as int)")
+    rare = rarity.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("by")).select("item", F.slice("by", F.lit(1), enough)["h"].alias("rare"))
+    names = ["item", "item_id", "n", "words", "power", "shingles", "minima"]
+
+    def run(batches):
+        for b in batches:
+            powers = [n.bit_length() - 1 for n in b.column("n").to_pylist()]
+            rare = [np.asarray(r, np.int64).view(np.uint64) for r in b.column("rare").to_pylist()]
+            minima = [np.concatenate([smallest(salted(r, p, t), bins_of(p)) for t in range(rounds_of(p, containment))]) for r, p in zip(rare, powers, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), pa.array(powers, pa.int32()), b.column("shingles"), _lists(minima)], names)
+
+    return sets.join(rare, "item").mapInArrow(run, f"item long, item_id {dict(items.dtypes)['item_id']}, n long, words int, power int, shingles array<long>, minima array<long>")
 
 
 def agreeing(hashes: np.ndarray, counts: np.ndarray, power: int, turn: int, known: Filter) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +161,12 @@ def agreeing(hashes: np.ndarray, counts: np.ndarray, power: int, turn: int, know
     return doc[good], values[hits[good]]
 
 
+def candidates(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct (row, item) with a common minimum. A minimum in very many rows is a skewed key that adaptive joins split."""
+    key = lambda df, one: df.select(one, F.explode("minima").alias("h"))
+    return key(rows, "row").join(key(index, "item"), "h").select("row", "item").distinct()
+
+
 def searched(docs: DataFrame, items: DataFrame, width: int, containment: float, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, minima, shingles, rest) of documents (doc_id, text, rest) that may hold an item, of all, with their text, if `whole`; and (row, item_id, n_item_shingles, n_shared) of those that do.
 
@@ -142,22 +174,26 @@ def searched(docs: DataFrame, items: DataFrame, width: int, containment: float,
     """
     index = written(item_signatures(items, width, containment), "items")
     session = docs.sparkSession
-    powers = sorted(r["power"] for r in index.select("power").distinct().collect())  # 63 at most
+    kinds = [(r["words"], r["power"]) for r in index.select("words", "power").distinct().collect()]  # width * 63 at most
+    powers, short = sorted({p for _, p in kinds}), sorted({w for w, _ in kinds if w < width})
     held = session.sparkContext.broadcast((filter_of(index, "minima"), filter_of(index, "shingles")))
 
     def run(batches):
         serial = TaskContext.get().partitionId() << 40
         minima, shingle = held.value
         for b in slices(batches, "text", 1 << 17):
-            hashes, counts = shingles_of([(t or "").encode() for t in b.column("text").to_pylist()], width)
+            values = [(t or "").encode() for t in b.column("text").to_pylist()]
+            hashes, counts = shingles_of(values, width)
             found = [agreeing(hashes, counts, p, t, minima) for p in powers for t in range(rounds_of(p, containment))]
+            less = [shingles_of(values, w) for w in short]
+            found += [agreeing(*both, 0, t, minima) for both in less for t in range(rounds_of(0, containment))]
             pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.uint64), *(f[k].astype(np.uint64) for f in found)]) for k in range(2)]), axis=1)
             cuts = np.searchsorted(pairs[0], np.arange(b.num_rows + 1, dtype=np.uint64))
-            ends = np.cumsum(counts)
+            runs = [(h, np.cumsum(c) - c, np.cumsum(c)) for h, c in ((hashes, counts), *less)]
             keys = [pairs[1, x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             sets = []
-            for k, e, c in zip(keys, ends, counts, strict=True):
-                own = np.unique(hashes[e - c : e]) if len(k) else hashes[:0]
+            for row, k in enumerate(keys):
+                own = np.unique(np.concatenate([h[x[row] : y[row]] for h, x, y in runs])) if len(k) else hashes[:0]
                 sets.append(own[shingle.holds(own)] if len(own) else own)
             text = b.column("text") if whole else pa.nulls(b.num_rows, pa.string())
             columns = [pa.array(np.arange(serial, serial + b.num_rows)), b.column("doc_id"), text, _lists(keys), _lists(sets), b.column("rest")]
@@ -166,8 +202,7 @@ def searched(docs: DataFrame, items: DataFrame, width: int, containment: float,
             yield out if whole else out.filter(pa.array(np.array([len(k) > 0 for k in keys], bool)))
 
     rows = written(docs.mapInArrow(run, with_rest(f"row long, doc_id {dict(docs.dtypes)['doc_id']}, text string, minima array<long>, shingles array<long>", docs)), "searched")
-    key = lambda df, one: df.select(one, F.explode("minima").alias("h"))
-    pairs = key(rows, "row").join(key(index, "item"), "h").select("row", "item").distinct()
+    pairs = candidates(rows, index)
     full = pairs.join(rows.select("row", F.col("shingles").alias("held")), "row").join(index.select("item", "item_id", "n", "shingles"), "item")
     shared = full.withColumn("n_shared", F.size(F.array_intersect("held", "shingles")).cast("long"))
     dirty = shared.filter(F.col("n_shared") >= containment * F.col("n") - 1e-9)

@@ -105,10 +105,13 @@ FROM documents d JOIN least ON a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.
 OP5_SQL = f"""
 WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents), item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 sets AS (SELECT DISTINCT doc_id, unnest({_shingles(5)}) AS s FROM words),
-item_sets AS (SELECT DISTINCT item_id, unnest({_shingles(5)}) AS s FROM item_words),
+item_sets AS (SELECT DISTINCT item_id, unnest({_shingles(5)}) AS s FROM item_words WHERE len(w) >= 5),
+short AS (SELECT DISTINCT item_id, len(w) AS m, array_to_string(w, ' ') AS s FROM item_words WHERE len(w) BETWEEN 1 AND 4),
+spoken AS (SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS s FROM words, (SELECT DISTINCT m FROM short) WHERE len(w) >= m),
 sizes AS (SELECT item_id, count(*) AS n FROM item_sets GROUP BY item_id)
 SELECT doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n)::DOUBLE AS containment
 FROM sets JOIN item_sets USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM spoken JOIN short USING (m, s)
 """
 
 #: CRC-32 of a decimal number, bit by bit
