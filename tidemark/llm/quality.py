@@ -173,6 +173,10 @@ def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """The model of a bounded, deterministic sample of labelled documents (doc_id, text; doc_id, quality, toxic).
 
+    At most `sample` ids and 2 * `sample` rows of them, chosen by hashes. Rows of one id with the same
+    features and grade are one row; an id with several texts or grades has a row for each, as far as the
+    bound of rows goes. However often an id is repeated, the driver gets no more than these rows.
+
     Features are counted and chosen where the documents are; the driver gets, for each sampled
     row, only the numbers of its chosen features.
     """
@@ -190,7 +194,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), _lists(counts, index)], ["doc_id", "grade", "features"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = written(rows.mapInArrow(featured, f"doc_id {kind}, grade int, features array<int>"), "features")
+    every = written(rows.mapInArrow(featured, f"doc_id {kind}, grade int, features array<int>").withColumn("told", F.xxhash64("features")), "features")
+    keys = ["doc_id", "grade", "told"]
+    kept = every.select(keys).distinct().orderBy(F.xxhash64("doc_id", "told"), *keys).limit(2 * sample)
+    found = written(every.join(F.broadcast(kept), keys, "left_semi").dropDuplicates(keys).drop("told"), "sampled")
+    discarded(every)
 
     def counted(batches):
         held, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
