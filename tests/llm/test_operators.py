@@ -394,6 +394,23 @@ def test_quality_awkward_rows(spark, docs):
     assert list(tails.sum(1).round()) == [2, 1, 0]
 
 
+def test_repeated_labelled_ids_are_bounded(spark, monkeypatch):
+    """Copies of a labelled row count once, and rows of one id are sampled like others."""
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda slots, counts, grades, used: seen.append(len(grades)) or fit(slots, counts, grades, used))
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("good text "), F.translate((F.col("id") % 500).cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    others = spark.range(2, 42).select(F.col("id").alias("doc_id"), F.concat(F.lit("bad text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    labels = spark.range(1, 42).select(F.col("id").alias("doc_id"), (F.col("id") == 1).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    held = [(r.doc_id, tuple(quality.features([r.text.encode()])[0])) for r in docs.unionAll(others).collect()]
+    assert 530 < len(set(held)) <= 540  # by chance two words may have one feature
+    for sample, want in ((1000, len(set(held))), (50, 100)):
+        quality.trained(docs.unionAll(others), labels, sample)
+        assert seen.pop() == want
+    one, twice = (quality.trained(x, labels) for x in (others, others.unionAll(others)))
+    assert (one.weights == twice.weights).all() and (one.thresholds == twice.thresholds).all()
+
+
 def test_ordinal_likelihood_and_slopes():
     """The likelihood against its definition, and its slopes against differences."""
     r = np.random.default_rng(5)
@@ -518,6 +535,26 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(chat.text_parts(turns.limit(0))).count() == 0
 
 
+def test_turns_are_streamed(spark):
+    """One conversation holds nearly all rows; turns read back as a stream and from joined strings agree."""
+    big = spark.range(60000).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 > 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("### t </turn> \\ "), F.col("id")).alias("text"))
+    few = spark.createDataFrame([(k, t, ("user", "assistant")[t % 2], None if t == 2 else f"{k}<|é{t}") for k in range(4) for t in range(k + 1)] + [(None, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    turns = chat.text_parts(big.unionAll(few).repartition(7))
+    formatted = chat.format_turns(turns)
+    got = {tuple(r) for r in chat.turn_digests(formatted).collect()}
+    assert got == {tuple(r) for r in chat.conversation_digests(chat.format_conversations(turns)).collect()}
+    assert len(got) == 6 and {r[0]: r[1] for r in got}[5] == 60000
+    texts = [f"### t </turn> \\ {k}" for k in range(60000)]
+    loss = "".join(t for k, t in enumerate(texts) if k % 3)
+    row = next(r for r in got if r[0] == 5)
+    assert row[2] == hashlib.sha256("".join(f"{'assistant' if k % 3 else 'user'}\n{t}\n" for k, t in enumerate(texts)).encode()).hexdigest()
+    assert row[3:5] == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    mixed = formatted.repartition(5, "place")
+    assert {tuple(r) for r in chat.turn_digests(mixed, dealt=False).collect()} == got
+    with pytest.raises(Exception, match="does not follow"):
+        chat.turn_digests(formatted.filter("place <> 1")).collect()
+
+
 def test_chat_parts(spark):
     parts = [{"type": "text", "text": "see <|image_0|>"}, {"type": "image", "ref": "s3/cat.png", "size": 600 * 600}, {"type": "audio", "ref": "a.wav", "size": 6400}, {"type": "document", "ref": "d", "size": 10}]
     df = spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,size:bigint>>")

@@ -46,7 +46,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.text_parts(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
-    return chat.conversation_digests(chat.format_conversations(turns))
+    return chat.turn_digests(chat.format_turns(turns))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
