@@ -158,6 +158,17 @@ def test_metrics(spark):
     assert (mixed.winrate, mixed.expectancy) == (33.33, -0.3333)
 
 
+def test_report_rounds_binary_values(spark):
+    values = [1.005, 0.125, 0.375, 0.015, 0.445, -0.001, -0.0, 0.0, 2.675, -179.985, 1e15 + 0.125, 123456789.005, 0.995, -0.125]
+    values += [round(random.Random(k).uniform(-300, 300), 3 + k % 2) for k in range(382)]
+    rows = [dict(zip(met.NAMES, values[k : k + 11], strict=True), grp=g) for k in range(0, len(values), 33) for g, k in zip(met.GROUPS, (k, k + 11, k + 22), strict=True)]
+    for at in range(0, len(rows), 3):
+        schema = "grp string, " + ", ".join(f"{n} double" for n in met.NAMES)
+        got = met.metrics_report(spark.createDataFrame([[r["grp"], *(r[n] for n in met.NAMES)] for r in rows[at : at + 3]], schema)).collect()
+        want = {n: tuple("%.2f" % r[n] for r in rows[at : at + 3]) for n in met.NAMES}
+        assert {r["metric"]: (r["ALL"], r["LONG"], r["SHORT"]) for r in got} == want
+
+
 def test_resample_and_repeated_bars(spark):
     ticks = spark.createDataFrame([("A", 1, 1, 5.0, 1.0), ("A", 2, 2, 9.0, None), ("A", 2, 3, 3.0, 2.0), ("A", 300_000_000, 4, 7.0, 1.0), (None, 1, 1, 1.0, 1.0), ("A", 3, 9, None, 1.0)], "symbol string, ts_us long, seq long, price double, qty double")
     b = src.resample(ticks, "5m", 300_000).orderBy("ts_ms").collect()

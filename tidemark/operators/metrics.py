@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.stored import in_ranges
@@ -107,11 +107,26 @@ def metrics(made: DataFrame, chunk_ms: int | None = None) -> DataFrame:
     return groups.join(rows, "grp", "left").na.fill(0, NAMES)
 
 
+def _two_decimals(c: str) -> Column:
+    """A double as C's printf writes it with "%.2f": its binary value is rounded, a tie to the even digit.
+
+    format_string and round start from the shortest decimal form instead, to which 1.005 (1.00499...) lies in the middle.
+    The part after the point times 2^60 is a whole number, but for parts so small that they are 0.00 anyway.
+    """
+    whole, one = f"floor(abs({c}))", f"{1 << 60}"
+    part = f"(cast(cast((abs({c}) - {whole}) * {one}D AS bigint) AS decimal(19, 0)) * 100)"
+    cents, rest, half = f"({part} div {one})", f"({part} % {one})", f"{1 << 59}"
+    up = f"CASE WHEN {rest} > {half} OR {rest} = {half} AND {cents} % 2 = 1 THEN 1 ELSE 0 END"
+    digits = f"cast((cast({whole} AS decimal(20, 0)) * 100 + {cents} + {up}) * 0.01BD AS decimal(24, 2))"
+    sign = f"CASE WHEN cast({c} AS string) LIKE '-%' THEN '-' ELSE '' END"
+    return F.expr(f"CASE WHEN abs({c}) < {1 << 53} THEN concat({sign}, {digits}) ELSE format_string('%.2f', {c}) END")
+
+
 def metrics_report(measured: DataFrame) -> DataFrame:
     """Metric names as rows, groups as columns, two decimals."""
     long = measured.select("grp", *(F.col(c).cast("double").alias(c) for c in NAMES)).unpivot("grp", NAMES, "metric", "value")
     wide = long.groupBy("metric").pivot("grp", list(GROUPS)).agg(F.first("value"))
-    return wide.select("metric", *(F.format_string("%.2f", g).alias(g) for g in GROUPS))
+    return wide.select("metric", *(_two_decimals(g).alias(g) for g in GROUPS))
 
 
 def trade_report(made: DataFrame) -> DataFrame:
