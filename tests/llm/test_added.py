@@ -257,3 +257,18 @@ def test_conversations_keep_the_type_of_their_ids(spark):
     assert got == {"1.5": 2, "1.2": 1, "None": 1, "nan": 2}
     whole = chat.format_conversations(chat.text_parts(df.filter("conv_id = 1.5"))).first()
     assert whole.formatted == "### user: a</turn>\n### assistant: c</turn>\n"
+
+
+def test_near_dedup_looks_members_up_once_and_not_in_each_bucket(spark):
+    stars = spark.createDataFrame([(key, rep, rep % 2) for rep in range(10) for key in range(50)], "key long, rep long, center long")
+    found = spark.createDataFrame([(rep, rep // 5) for rep in range(9)], "id long, component long")
+    opened = near_dedup.NearDedup._open(stars, found)
+    assert sorted((r.key, r.rep, r.component) for r in opened.collect()) == sorted((key, rep, rep // 5 if rep < 9 else 9) for rep in range(10) for key in range(50))
+    bounds = spark.createDataFrame([(rep, 7, 7, 6, 8) for rep in range(10)], "rep long, n long, _largest long, least long, most long")
+    fine = spark.createDataFrame([(rep, size, [1], [2]) for rep in range(10) for size in (7, 8)[: 1 + rep % 2]], "rep long, size long, parity array<long>, nibbles array<long>")  # odd ids have two texts
+    sides = near_dedup.NearDedup._sides(opened, bounds, fine)
+    assert sides.count() == sides.distinct().count() == 50 * 15
+    plan = sides._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(keys") < plan.index("Join Inner")  # above it: keys are dealt out after the joins
+    plan = opened._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(keys") < plan.index("Join LeftOuter")

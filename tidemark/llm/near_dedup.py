@@ -317,10 +317,18 @@ class NearDedup:
     @staticmethod
     def _open(stars: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of buckets whose members lie in several components, with their component."""
-        labelled = stars.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        members = stars.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # a component is looked up once a member, not once a bucket
+        labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode("keys").alias("key"))
         several = labelled.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("key")
         return labelled.join(several, "key", "left_semi")
 
+    @staticmethod
+    def _sides(opened: DataFrame, bounds: DataFrame, fine: DataFrame) -> DataFrame:
+        """The rows (key, rep, component) of open buckets with what bounds and fine tell of rep, which is joined once a member and not once a bucket that it is in."""
+        gathered = opened.groupBy("rep", "component").agg(F.collect_set("key").alias("keys"))
+        told = gathered.join(bounds, "rep").join(fine.select("rep", "size", "parity", "nibbles"), "rep")
+        return told.select("*", F.explode("keys").alias("key")).drop("keys")
+
     def links(self, sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, rep) of all rows with a set and an id, and all links (a, b) among representatives that components need."""
         full = sketches.filter("n > 0 and doc_id is not null")
@@ -346,7 +354,7 @@ class NearDedup:
         apart = self._pairs(stars.filter("component <> _home"))
         stars = stars.select("key", "rep", "center")
         second = first.unionAll(self.verified(apart, members))
-        left = self._open(stars, components(second)).join(bounds, "rep").join(fine.select("rep", "size", "parity", "nibbles"), "rep")
+        left = self._sides(self._open(stars, components(second)), bounds, fine)
         x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "_largest", "least", "most", "size", "parity", "nibbles"))) for s in "xy")
         places = self.fine * FINE_ROWS
         alike = differing(F.col("nibbles_x"), F.col("nibbles_y")) <= places - fewest_matches(self.percent / 100, places, self.miss, 16)
