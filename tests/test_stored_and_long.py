@@ -95,3 +95,13 @@ def test_visibility_and_entry_bar(spark):
     for entry_bar, want in ((False, [2, 3]), (True, [1, 2, 3])):
         first = signals.with_next_bars(rows, BarrierParams(include_entry_bar=entry_bar)).orderBy("ts_ms").first()
         assert [b.ts_ms for b in first.ahead] == want and first.entry_ts == 1
+
+
+def test_supplier_scan_makes_bars_of_its_universe_alone(spark):
+    plan = registry._supplier_scanned(spark, str(DATA / "sf0.1"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    ticks = [k for k, line in enumerate(plan) if "Relation" in line and "l_orderkey" in line]
+    made = [(max(j for j in range(k) if "Aggregate" in plan[j]), k) for k in ticks]
+    made = [(j, k) for j, k in made if "_groupingexpression" in plan[j]]  # by symbol and day
+    assert made
+    for j, k in made:  # between the bars and the table of ticks: the gate, and before it the market list
+        assert sum("Join LeftSemi" in line for line in plan[j:k]) == 2

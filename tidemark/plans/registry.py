@@ -81,10 +81,16 @@ def _supplier_bars(spark: SparkSession, d: str) -> DataFrame:
     return daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms))
 
 
+def _universe_bars(ticks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Daily bars of the universe alone. The gate is made of ticks and so too large, by its estimate, to be broadcast: ticks are
+    shuffled to meet it. The market list is a small table, which leaves out the others' ticks before that."""
+    return src.restricted(src.resample(ticks, DAILY.timeframe, DAILY.ms), symbols)
+
+
 def _supplier_scanned(spark: SparkSession, d: str, as_of: int | None = None) -> DataFrame:
-    ticks = src.lineitem_ticks(spark, d, until_ms=as_of)
-    gated = src.liquid(src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, 365 * src.DAY_MS), 0)
-    daily = src.resample(ticks, DAILY.timeframe, DAILY.ms)
+    ticks, symbols = src.lineitem_ticks(spark, d, until_ms=as_of), src.universe(src.supplier_markets(spark, d))
+    gated = src.liquid(symbols, src.tickers(ticks, 365 * src.DAY_MS), 0)
+    daily = _universe_bars(ticks, symbols)
     return scan.latest_states(daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms)), gated, (DAILY, DAILY, WEEKLY))
 
 
@@ -96,7 +102,7 @@ def _supplier_errors(spark: SparkSession, d: str) -> DataFrame:
     """A scan so early that some suppliers have too few bars, and some no trade in the ticker's window of a day."""
     ticks = src.lineitem_ticks(spark, d, until_ms=oracle.EARLY)
     symbols, tickers = src.universe(src.supplier_markets(spark, d)), src.tickers(ticks, oracle.EARLY_WINDOW)
-    daily = src.resample(ticks, DAILY.timeframe, DAILY.ms)
+    daily = _universe_bars(ticks, symbols)
     states = scan.latest_states(daily.unionAll(src.rebase(daily, WEEKLY.timeframe, WEEKLY.ms)), src.liquid(symbols, tickers, 0), (DAILY, DAILY, WEEKLY))
     return scan.scan_errors(states, src.unknown_volume(symbols, tickers))
 
