@@ -507,6 +507,34 @@ def test_sampling_without_replacement_has_the_exact_law():
     assert abs(weight / n - 1) < 0.05  # inclusion scores give an unbiased total
 
 
+def test_lattices_are_built_once_and_change_no_sample(monkeypatch):
+    vocab, table = vocabulary(DEFAULT_MODEL), segmentation._transitions(DEFAULT_MODEL)
+    cut = [pretokens(t) for t in (LONG, "the helpless thane", "", "é☃b\n\n x", "the of and helpful " * 300, "\n" * 100)]
+    keys = np.array([segmentation.row_key(i) for i in range(len(cut))], np.uint64)
+
+    def drawn(rows, lattices):
+        s, got = segmentation.Sampler(keys[rows], [cut[r] for r in rows], vocab, table, lattices), {}
+        for j, o in enumerate(s.samples(3)):
+            flat, ends = s.ids(o["edge"], o["begin"], o["stop"])
+            for d, a, b, lp, value in zip(o["docs"], np.r_[0, ends[:-1]], ends, o["log_prob"], o["perturbed"], strict=True):
+                got[rows[d], j] = (flat[a:b].tolist(), lp, value, s.next_value[d])
+        return got
+
+    want = drawn(list(range(len(cut))), None)
+    lattices = segmentation.Lattices(vocab, table)
+    alone = [drawn([r], lattices) for r in range(len(cut))]
+    assert {k: v for part in alone for k, v in part.items()} == want  # to the last bit, whatever is drawn or was built with a row
+    built = lattices.nodes, lattices.edges, lattices.letters
+    assert built[2] == sum(map(len, {w for words in cut for w in words}))
+    assert drawn([4, 1, 0], lattices) == {k: v for k, v in want.items() if k[0] in (0, 1, 4)}
+    assert (lattices.nodes, lattices.edges, lattices.letters) == built  # words met before are not built again
+    for bound in (10, 1 << 20, 10):
+        lattices.bounded(bound)
+        assert not lattices.letters and drawn([4, 0], lattices) == {k: v for k, v in want.items() if k[0] in (0, 4)}
+    monkeypatch.setattr(segmentation, "REACH", 1e9)  # draws for all regions
+    assert drawn(list(range(len(cut))), None) == want
+
+
 def test_segmentations_decode_to_the_text(docs):
     got = segmentation.decoded(segmentation.encoded(docs)).collect()
     text = collections.defaultdict(set)

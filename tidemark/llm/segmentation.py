@@ -11,9 +11,10 @@ each of its nodes. Region bounds are exact, so k pops give the k samples, and th
 region that is left gives the (k + 1)-th value, hence each sample's inclusion score
 1 - exp(-exp(log_prob - value)).
 
-Lattices are built once for each distinct pre-token; descents run over all documents of
-a slice at once. Random numbers are hashes of the row key, the sample and the place in the
-document, so a row's samples do not depend on how rows are dealt out.
+Lattices are built once for each distinct pre-token and kept for the next slices of a
+task, up to a bound; descents run over all documents of a slice at once. Random numbers are
+hashes of the row key, the sample and the place in the document, and sums are taken within
+a word or a document, so a row's samples do not depend on how rows are dealt out.
 
 Whole texts are segmented. Nulls: a null or empty text has one empty segmentation; a null
 id is a key like any other. Documents with fewer than k segmentations get all of them, with
@@ -23,8 +24,10 @@ inclusion 1. Rows with equal ids and texts get equal samples. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_right
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,11 @@ from tidemark.llm.common import mixed, slices, texts, trimmed
 from tidemark.llm.pieces import DEFAULT_MODEL, Vocabulary, pretokens, vocabulary
 
 SAMPLES = 2
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Letters of distinct pre-tokens whose lattices a task keeps after a slice.
+KEPT_LETTERS = 1 << 19
+#: Of two regions of a document, one whose log mass is larger by this has the larger bound, for -log(u) lies between 2**-53 and 38 (it is 0 once in 2**53 draws).
+REACH = 42.0
 
 
 class Transitions:
@@ -82,88 +89,141 @@ def _transitions(path: str) -> Transitions:
     return Transitions(vocabulary(path))
 
 
+def put(held: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """`held` with `new` from place `used` on, in a larger array if it does not fit."""
+    if used + len(new) > len(held):
+        held = np.concatenate([held[:used], np.empty(len(new) + used // 2, held.dtype)])
+    held[used : used + len(new)] = new
+    return held
+
+
 class Lattices:
-    """The lattices of distinct pre-tokens: nodes are places between letters, edges are pieces."""
-
-    def __init__(self, words: list[str], vocab: Vocabulary, transitions: Transitions):
-        ids, scores = transitions.ids, transitions.scores
-        sizes = np.array([len(w) for w in words], np.int64)
-        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        first = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(words)), sizes)
-        node = np.arange(len(letters)) + word  # a word has one node more than letters
-        self.root, self.final = first + np.arange(len(words)), first + np.arange(len(words)) + sizes
-        after = np.repeat(first + sizes, sizes)  # where the word of a letter ends
-        starts, ends, pieces, weights = [], [], [], []
-        at, state, size = np.arange(len(letters)), np.zeros(len(letters), np.int64), 0
-        single = np.zeros(len(letters), bool)
+    """The lattices of distinct pre-tokens: nodes are places between letters, edges are pieces.
+
+    A word's lattice is the same whichever words are added with it, so lattices are kept between
+    slices, which changes no result; what is kept is bounded by `bounded`.
+    """
+
+    END = (1 << 21) - 1  # stands after each word's last letter; no letter
+
+    def __init__(self, vocab: Vocabulary, transitions: Transitions):
+        self.vocab, self.transitions = vocab, transitions
+        self.clear()
+
+    def clear(self, room: int = 0) -> None:
+        """Forgets all lattices and makes room for so many letters (memory that is not used yet costs none)."""
+        self.known, self.letters, self.nodes, self.edges, self.room = {}, 0, 0, 0, room
+        self.root = np.empty(room, np.int64)  # of a word
+        self.begin, self.degree = np.empty(2 * room, np.int32), np.empty(2 * room, np.int32)  # of a node: its first edge, and how many it has
+        self.end, self.piece = np.empty(4 * room, np.int32), np.empty(4 * room, np.int32)  # of an edge
+        #: log probability of each edge given its start, that of its start's other edges, and the share of its start's edges up to it
+        self.log_p, self.rest, self.upto = np.empty(4 * room), np.empty(4 * room), np.empty(4 * room)
+
+    def bounded(self, letters: int) -> None:
+        """Forgets all lattices if they have more letters than that (a letter takes some 100 bytes)."""
+        if self.letters > 2 * letters or self.room != letters:
+            self.clear(letters)
+        elif self.letters > letters:  # what has been used is used again
+            self.known, self.letters, self.nodes, self.edges = {}, 0, 0, 0
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word; lattices of words not met before are added."""
+        if fresh := list(set(words).difference(self.known)):
+            self._add(fresh)
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _add(self, words: list[str]) -> None:
+        ids, scores = self.transitions.ids, self.transitions.scores
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        longest_first = np.argsort(-sizes, kind="stable")
+        words, sizes = [words[k] for k in longest_first.tolist()], sizes[longest_first]
+        letters = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        last = np.cumsum(sizes + 1) - 1
+        letters[last] = self.END
+        # nodes are numbered by their distance from the end of their word, so those of one distance lie together
+        distance = np.repeat(last, sizes + 1) - np.arange(len(letters))
+        before = np.concatenate([[0], np.cumsum(len(words) - np.concatenate([[0], np.cumsum(np.bincount(sizes))[:-1]]))])
+        node = before[distance] + np.repeat(np.arange(len(words)), sizes + 1)
+        del distance
+        degree, levels = np.zeros(len(letters), np.int64), []
+        at, state, size = np.arange(len(letters)), self.transitions.opening[letters].astype(np.int64), 0
+        single = np.zeros(0, bool)
         while len(at):
-            if size == 0:
-                state = transitions.opening[letters]
-                real = state >= 0
-                at, state = at[real], state[real].astype(np.int64)
-            else:
-                state = transitions.next((state << 21) | letters[at + size])
-                real = state >= 0
-                at, state = at[real], state[real]
+            if size:
+                state = self.transitions.next((state << 21) | letters[at + size])
+            real = np.flatnonzero(state >= 0)
+            at, state = at[real], state[real]
             size += 1
-            whole = ids[state] >= 0
-            starts.append(node[at[whole]])
-            ends.append(node[at[whole]] + size)
-            pieces.append(ids[state[whole]])
-            weights.append(scores[state[whole]])
+            whole = np.flatnonzero(ids[state] >= 0)
+            place, piece = at[whole], state[whole]
+            start = node[place]
+            rank = degree[start]
+            degree[start] = rank + 1
+            levels.append((start, rank, node[place + size], ids[piece], scores[piece]))
             if size == 1:
-                single[at[whole]] = True
-            more = at + size < after[at]
-            at, state = at[more], state[more]
-        bare = np.flatnonzero(~single)
-        starts.append(node[bare])
-        ends.append(node[bare] + 1)
-        pieces.append(-letters[bare] - 1)  # spelled out later
+                single = degree > 0
+        bare = np.flatnonzero(~single[node] & (letters != self.END))
         some_letters = letters[bare]
-        spell = {c: len(vocab.fallback(chr(c))) for c in np.unique(some_letters)}
-        weights.append(np.array([spell[c] for c in some_letters], float) * vocab.byte_score)
-        start, self.end, self.piece, weight = (np.concatenate(x) for x in (starts, ends, pieces, weights))
-        order = np.argsort(start, kind="stable")
-        start, self.end, self.piece, weight = start[order], self.end[order], self.piece[order], weight[order]
-        del order, starts, ends, pieces, weights, letters, single
-        self.start, nodes = start, len(after) + len(words)
-        self.offset = np.searchsorted(start, np.arange(nodes + 1))
+        spell = {c: len(self.vocab.fallback(chr(c))) for c in np.unique(some_letters).tolist()}
+        weight = np.array([spell[c] for c in some_letters.tolist()], float) * self.vocab.byte_score
+        start = node[bare]
+        levels.append((start, degree[start], node[bare + 1], -some_letters - 1, weight))  # spelled out later
+        degree[start] += 1
+        offset = np.concatenate([[0], np.cumsum(degree)])
+        end, piece, weight, places = np.empty(offset[-1], np.int64), np.empty(offset[-1], np.int32), np.empty(offset[-1]), []
+        while levels:
+            start, rank, to, name, score = levels.pop(0)
+            place = offset[start] + rank
+            end[place], piece[place], weight[place] = to, name, score
+            places.append((start, place))
         # backward sums, by the distance of a node from its word's end
-        self.mass = np.zeros(nodes)
-        distance = np.zeros(nodes, np.int64)
-        distance[node] = after - np.arange(len(after))
-        far = distance[start]
-        by_far = np.argsort(far.astype(np.int16) if len(far) and far.max() < 1 << 15 else far, kind="stable")
-        cuts = np.searchsorted(far[by_far], np.arange(1, (far.max() if len(far) else 0) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = by_far[a:b]
-            value = weight[e] + self.mass[self.end[e]]
-            begin = np.flatnonzero(np.r_[True, start[e][1:] != start[e][:-1]])
+        mass = np.zeros(len(letters))
+        for low, high in zip(before[1:-1].tolist(), before[2:].tolist(), strict=True):
+            a, b = offset[low], offset[high]
+            value = weight[a:b] + mass[end[a:b]]
+            begin = offset[low:high] - a
             top = np.maximum.reduceat(value, begin)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.r_[begin, len(e)]))), begin)
-            self.mass[start[e][begin]] = top + np.log(total)
-        #: log probability of each edge given its start, and the share of its start's edges up to it
-        self.log_p = np.minimum(0.0, weight + self.mass[self.end] - self.mass[start])
-        running = np.concatenate([[0.0], np.cumsum(np.exp(self.log_p))])
-        begin, total = running[self.offset[:-1]], running[self.offset[1:]] - running[self.offset[:-1]]
-        self.upto = (running[1:] - begin[start]) / np.maximum(1e-300, total[start])
-        self.upto[self.offset[1:][self.offset[1:] > self.offset[:-1]] - 1] = 2.0  # the last edge takes what is left
-
-    def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge from each node, by its probability."""
-        edge = self.offset[node]
-        at = np.arange(len(edge))
-        while len(at):
-            at = at[u[at] >= self.upto[edge[at]]]
-            edge[at] += 1
-        return edge
+            total = np.add.reduceat(np.exp(value - np.repeat(top, degree[low:high])), begin)
+            mass[low:high] = top + np.log(total)
+        log_p = np.minimum(0.0, weight + mass[end] - np.repeat(mass, degree))
+        share, upto, total = np.exp(log_p), np.empty(len(log_p)), np.zeros(len(letters))
+        for start, place in places:
+            upto[place] = total[start] = total[start] + share[place]
+        upto /= np.repeat(np.maximum(1e-300, total), degree)
+        upto[offset[1:][degree > 0] - 1] = 2.0  # the last edge takes what is left
+        root = np.empty(len(words), np.int64)
+        root[longest_first] = before[sizes] + np.arange(len(words)) + self.nodes
+        self.root = put(self.root, len(self.known), root)
+        self.begin, self.degree = put(self.begin, self.nodes, offset[:-1] + self.edges), put(self.degree, self.nodes, degree)
+        self.end, self.piece = put(self.end, self.edges, end + self.nodes), put(self.piece, self.edges, piece)
+        rest = np.log(np.maximum(1e-300, -np.expm1(log_p)))
+        rest[offset[:-1][degree == 1]] = -np.inf
+        self.log_p, self.rest, self.upto = put(self.log_p, self.edges, log_p), put(self.rest, self.edges, rest), put(self.upto, self.edges, upto)
+        self.nodes, self.edges, self.letters = self.nodes + len(letters), self.edges + len(log_p), self.letters + int(sizes.sum())
+
+    def out(self, edge: int) -> range:
+        """All edges from the start of an edge."""
+        node = np.searchsorted(self.begin[: self.nodes], np.int32(edge), "right") - 1  # places without edges come before the next one with some
+        return range(int(self.begin[node]), int(self.begin[node] + self.degree[node]))
+
+
+_PLACE, _STEP = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
+
+
+def salted(key: np.ndarray, sample: int, use: int) -> np.ndarray:
+    """Row keys as hashes for a sample and a use."""
+    return mixed(key + np.uint64((sample * 8 + use) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def fraction(h: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from hashes."""
+    return ((mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def uniform(key: np.ndarray, sample: int, a: np.ndarray, b: np.ndarray | int, use: int) -> np.ndarray:
     """Numbers in (0, 1) from the row key, the sample and a place."""
-    h = mixed(key + np.uint64((sample * 8 + use) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + a.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.atleast_1d(b).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-    return ((mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return fraction(salted(key, sample, use) + a.astype(np.uint64) * _PLACE + np.atleast_1d(b).astype(np.uint64) * _STEP)
 
 
 def row_key(doc_id: object) -> int:
@@ -173,116 +233,146 @@ def row_key(doc_id: object) -> int:
 class Sampler:
     """k segmentations without replacement of each of some documents."""
 
-    def __init__(self, keys: np.ndarray, cut: list[list[str]], vocab: Vocabulary, transitions: Transitions):
-        self.vocab = vocab
-        every = list(chain.from_iterable(cut))
-        number = {w: k for k, w in enumerate(dict.fromkeys(every))}
-        self.word = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        del every
-        self.lattices = Lattices(list(number), vocab, transitions)
-        self.counts = np.array([len(w) for w in cut], np.int64)
-        self.ends = np.cumsum(self.counts)
-        self.doc = np.repeat(np.arange(len(cut)), self.counts)
+    def __init__(self, keys: np.ndarray, cut: list[list[str]], vocab: Vocabulary, transitions: Transitions, lattices: Lattices | None = None):
+        self.vocab, self.lattices = vocab, lattices or Lattices(vocab, transitions)
+        self.word = self.lattices.numbers(list(chain.from_iterable(cut)))
+        counts = np.array([len(w) for w in cut], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(counts)])  # of a document: its first occurrence
+        self.doc = np.repeat(np.arange(len(cut)), counts)
         self.keys = keys
-        self.rank = np.arange(len(self.word)) - np.repeat(self.ends - self.counts, self.counts)
-
-    def descend(self, occurrence: np.ndarray, node: np.ndarray, step: np.ndarray, sample: int):
-        """Random paths to the end of their words: (occurrence, step, edge) of every piece, unordered."""
-        found, final = [], self.lattices.final[self.word[occurrence]]
-        while True:
-            alive = node != final
-            occurrence, node, step, final = occurrence[alive], node[alive], step[alive], final[alive]
-            if not len(node):
-                break
-            edge = self.lattices.step(node, uniform(self.keys[self.doc[occurrence]], sample, self.rank[occurrence], step, 0))
-            found.append((occurrence, step, edge))
-            node, step = self.lattices.end[edge], step + 1
-        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        self.rank = np.arange(len(self.word)) - np.repeat(self.first[:-1], counts)
+
+    def descend(self, occurrence: np.ndarray, node: np.ndarray, skipped: np.ndarray, sizes: np.ndarray, sample: int) -> list[tuple]:
+        """Random paths from nodes to the end of their words, by step: (occurrence, edge). Sets the occurrences' path sizes; `skipped` pieces come before a path."""
+        lattices, found = self.lattices, []
+        ways = lattices.degree[node]
+        on = np.flatnonzero(ways)
+        occurrence, node, ways = occurrence[on], node[on], ways[on]
+        h = salted(self.keys, sample, 0)[self.doc[occurrence]] + self.rank[occurrence].astype(np.uint64) * _PLACE + skipped[occurrence].astype(np.uint64) * _STEP
+        while len(node):
+            edge = lattices.begin[node]
+            at = np.flatnonzero(ways > 1)  # from the others there is but one way
+            mine, u = edge[at], fraction(h[at])
+            at_mine = np.flatnonzero(u >= lattices.upto[mine])
+            while len(at_mine):
+                mine[at_mine] += 1
+                at_mine = at_mine[u[at_mine] >= lattices.upto[mine[at_mine]]]
+            edge[at] = mine
+            found.append((occurrence, edge))
+            node = lattices.end[edge]
+            ways = lattices.degree[node]
+            over = occurrence[ways == 0]
+            sizes[over] = skipped[over] + len(found)
+            on = np.flatnonzero(ways)
+            occurrence, node, ways, h = occurrence[on], node[on], ways[on], h[on] + _STEP
+        return found
 
     def samples(self, k: int) -> list[dict]:
-        """One dict a sample: docs, perturbed, log_prob, and the edges of each path end to end with their cuts."""
-        n, lattices = len(self.counts), self.lattices
+        """One dict a sample: docs, perturbed, log_prob, the edges of each path end to end with their cuts, and where each occurrence's edges begin."""
+        n, lattices, words = len(self.first) - 1, self.lattices, len(self.word)
         regions: list[list[tuple]] = [[] for _ in range(n)]  # (value, sample, place in its path, edges left out)
-        out, root = [], -np.log(-np.log(uniform(self.keys, 0, np.zeros(n, np.int64), 0, 1)))
-        docs, value = np.arange(n), root
-        start = (np.arange(len(self.word)), lattices.root[self.word], np.zeros(len(self.word), np.int64))
-        prefix = tuple(np.zeros(0, np.int64) for _ in range(3))
+        out: list[dict] = []
+        docs, value = np.arange(n), -np.log(-np.log(uniform(self.keys, 0, np.zeros(n, np.int64), 0, 1)))
+        occurrence, node, skipped, sizes = np.arange(words), lattices.root[self.word], np.zeros(words, np.int64), np.zeros(words, np.int64)
         left_out: list[tuple] = [()] * n
+        prefixes: list[np.ndarray] = []
         for j in range(k):
-            occurrence, step, edge = (np.concatenate(x) for x in zip(prefix, self.descend(*start, j), strict=True))
-            per_word = np.bincount(occurrence, minlength=len(self.word))
-            order = np.empty(len(edge), np.int64)
-            order[(np.cumsum(per_word) - per_word)[occurrence] + step] = np.arange(len(edge))
-            occurrence, step, edge = occurrence[order], step[order], edge[order]
-            cuts = np.searchsorted(self.doc[occurrence], np.append(docs, n)) if len(docs) else np.zeros(1, np.int64)
-            log_p = lattices.log_p[edge]
-            running = np.concatenate([[0.0], np.cumsum(log_p)])
-            begin, stop = cuts[:-1], np.searchsorted(self.doc[occurrence], docs, "right")
-            total = running[stop] - running[begin]
-            out.append({"docs": docs, "perturbed": value, "log_prob": total, "edge": edge, "occurrence": occurrence, "step": step, "begin": begin, "stop": stop})
-            # the regions that this path leaves: at each node, its other pieces
-            owner = np.repeat(np.arange(len(docs)), stop - begin)
-            before = running[:-1] - running[begin][owner]
-            rest = np.log(np.maximum(1e-300, -np.expm1(log_p)))
-            single = lattices.offset[lattices.start[edge] + 1] - lattices.offset[lattices.start[edge]] == 1
-            mass = np.where(single, -np.inf, before + rest)
-            for d, held in enumerate(left_out):  # where a region was split, what it had left out stays out
-                if held:
-                    place, gone = held
-                    at = int(begin[d]) + place
-                    a, b = lattices.offset[lattices.start[edge[at]]], lattices.offset[lattices.start[edge[at]] + 1]
-                    open_p = sum(np.exp(lattices.log_p[e]) for e in range(a, b) if e not in gone and e != edge[at])
-                    mass[at] = before[at] + np.log(open_p) if open_p > 0 else -np.inf
-                    mass[int(begin[d]) : at] = -np.inf  # those nodes belong to older regions
-            draw = -np.log(uniform(self.keys[docs[owner]], j, self.rank[occurrence], step, 2))
-            with np.errstate(over="ignore"):
-                bound = -np.logaddexp(-value[owner], np.log(draw) - mass)
-            bound = np.where(np.isfinite(mass), bound, -np.inf)
-            keep = k - j  # no more of them can ever be popped
-            for d in range(len(docs)):
-                part = bound[begin[d] : stop[d]]
-                best = np.argpartition(part, -keep)[-keep:] if len(part) > keep else np.arange(len(part))
-                place, gone = left_out[d] if left_out[d] else (-1, ())
-                mine = regions[docs[d]]
-                mine += [(float(part[t]), j, int(t), (*(gone if t == place else ()), int(edge[begin[d] + t]))) for t in best if np.isfinite(part[t])]
-                mine.sort(key=lambda r: -r[0])
-                del mine[keep:]
-            docs, value, prefix, start, left_out = self._popped(regions, out, j + 1) if j + 1 < k else (docs, value, prefix, start, left_out)
-            if not len(docs):
-                break
+            found = self.descend(occurrence, node, skipped, sizes, j)
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            edge, to = np.empty(first[-1], np.int32), first[:-1] + skipped
+            for step, (where, e) in enumerate(found):
+                edge[to[where] + step] = e
+            del found, to
+            begin, stop = first[self.first[docs]], first[self.first[docs + 1]]
+            for b, held in zip(begin.tolist(), prefixes, strict=bool(j)):
+                edge[b : b + len(held)] = held
+            out.append({"docs": docs, "perturbed": value, "edge": edge, "begin": begin, "stop": stop, "first": first})
+            self._split(regions, out[-1], left_out, j, k - j)
+            if j + 1 < k:
+                docs, value, prefixes, occurrence, node, skipped, sizes, left_out = self._popped(regions, out, j + 1)
+                if not len(docs):
+                    break
         self.next_value = np.array([r[0][0] if r else -np.inf for r in regions])
         return out
 
-    def _popped(self, regions: list, out: list[dict], sample: int):
-        """The best region of each document that has one: the prefix of its path, its next piece, and what is to be drawn anew."""
-        lattices, docs, value, left_out = self.lattices, [], [], []
-        kept, first, node, step = [], [], [], []
-        row = [dict(zip(o["docs"].tolist(), range(len(o["docs"])), strict=True)) for o in out]
-        for d, mine in enumerate(regions):
-            if not mine:
-                continue
-            bound, j, place, gone = mine.pop(0)
-            o, at = out[j], int(out[j]["begin"][row[j][d]])
-            old = o["edge"][at + place]
-            a, b = int(lattices.offset[lattices.start[old]]), int(lattices.offset[lattices.start[old] + 1])
-            open_edges = [e for e in range(a, b) if e not in gone]
-            p = np.cumsum(np.exp(lattices.log_p[open_edges]))
-            u = float(uniform(self.keys[d : d + 1], sample, self.rank[o["occurrence"][at + place : at + place + 1]], o["step"][at + place], 3)[0])
-            new = open_edges[min(int(np.searchsorted(p, u * p[-1], "right")), len(open_edges) - 1)]
-            kept.append((o["occurrence"][at : at + place + 1], o["step"][at : at + place + 1], np.append(o["edge"][at : at + place], new)))
-            first.append(int(o["occurrence"][at + place]))
-            node.append(int(lattices.end[new]))
-            step.append(int(o["step"][at + place]) + 1)
-            docs.append(d)
-            value.append(bound)
-            left_out.append((place, gone))
-        docs_, first_ = np.array(docs, np.int64), np.array(first, np.int64)
-        later = np.full(len(self.counts), len(self.word))
-        later[docs_] = first_
-        fresh = np.flatnonzero(np.arange(len(self.word)) > later[self.doc]) if len(self.word) else np.zeros(0, np.int64)
-        prefix = tuple(np.concatenate([x[c] for x in kept]) if kept else np.zeros(0, np.int64) for c in range(3))
-        start = (np.concatenate([first_, fresh]), np.concatenate([np.array(node, np.int64), lattices.root[self.word[fresh]]]), np.concatenate([np.array(step, np.int64), np.zeros(len(fresh), np.int64)]))
-        return docs_, np.array(value), prefix, start, left_out
+    def _split(self, regions: list, path: dict, left_out: list[tuple], sample: int, keep: int) -> None:
+        """Sums paths up, and adds the regions that they leave (at each node, its other pieces): the `keep` best of each document, for no more can ever be popped.
+
+        Only regions whose mass is within REACH of the `keep` largest ones at the beginning of a path get their draws.
+        """
+        lattices, edge, docs = self.lattices, path["edge"], path["docs"].tolist()
+        mass, after = np.zeros(len(edge) + 1), lattices.log_p[edge]
+        total, least = np.zeros(len(docs)), np.full(len(docs), -np.inf)
+        cuts = list(zip(path["begin"].tolist(), path["stop"].tolist(), strict=True))
+        for d, (a, b) in enumerate(cuts):
+            if b > a:  # sums over a document alone, so that they do not depend on the others
+                np.cumsum(after[a:b], out=after[a:b])
+                total[d] = after[b - 1]
+        path["log_prob"] = total
+        mass[1:] = after
+        mass[path["begin"]] = 0.0  # the sum before each node
+        mass[:-1] += lattices.rest[edge]
+        window = max(64, keep)
+        for d, (a, b) in enumerate(cuts):
+            if left_out[d]:  # where a region was split, what it had left out stays out
+                place, gone = left_out[d]
+                e = int(edge[a + place])
+                open_p = sum(math.exp(lattices.log_p[x]) for x in lattices.out(e) if x not in gone and x != e)
+                before = after[a + place - 1] if place else 0.0
+                mass[a + place] = before + math.log(open_p) if open_p > 0 else -math.inf
+                mass[a : a + place] = -math.inf  # those nodes belong to older regions
+                a += place
+            if b - a >= keep:
+                part = mass[a : min(b, a + window)]
+                least[d] = (np.partition(part, -keep)[-keep] if keep > 1 else part.max()) - REACH
+        sizes = path["stop"] - path["begin"]
+        at = np.flatnonzero((mass[:-1] >= np.repeat(least, sizes)) & (mass[:-1] > -np.inf))
+        del after
+        owner = np.searchsorted(path["stop"], at, "right")
+        occurrence = np.searchsorted(path["first"], at, "right") - 1
+        draw = -np.log(uniform(self.keys[path["docs"][owner]], sample, self.rank[occurrence], at - path["first"][occurrence], 2))
+        with np.errstate(divide="ignore"):
+            late = np.log(draw) - mass[at]  # the smallest have the largest bounds
+        parts = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        for d, (x, y) in enumerate(zip(parts[:-1], parts[1:], strict=True)):
+            mine = regions[docs[d]]
+            place, gone = left_out[d] or (-1, ())
+            best = np.argpartition(late[x:y], keep)[:keep] + x if y - x > keep else range(x, y)
+            for c in best:
+                bound, t = float(-np.logaddexp(-path["perturbed"][d], late[c])), int(at[c]) - cuts[d][0]
+                mine.append((bound, sample, t, (*(gone if t == place else ()), int(edge[at[c]]))))
+            mine.sort(key=lambda r: -r[0])
+            del mine[keep:]
+
+    def _popped(self, regions: list, out: list[dict], sample: int) -> tuple:
+        """The best region of each document that has one: the prefix of its path with its next piece, and what is to be drawn anew."""
+        lattices, words = self.lattices, len(self.word)
+        docs = np.array([d for d, mine in enumerate(regions) if mine], np.int64)
+        popped = [regions[d].pop(0) for d in docs.tolist()]
+        of, place = np.array([r[1] for r in popped], np.int64), np.array([r[2] for r in popped], np.int64)
+        begin, split, step = (np.zeros(len(docs), np.int64) for _ in range(3))
+        for j, o in enumerate(out):
+            mine = np.flatnonzero(of == j)
+            begin[mine] = o["first"][self.first[docs[mine]]]
+            at = begin[mine] + place[mine]
+            split[mine] = np.searchsorted(o["first"], at, "right") - 1
+            step[mine] = at - o["first"][split[mine]]
+        u = uniform(self.keys[docs], sample, self.rank[split], step, 3)
+        prefixes, sizes = [], np.zeros(words, np.int64)
+        starts = [np.diff(o["first"]) for o in out]
+        for d, a, s, b, x, (_, j, t, gone) in zip(self.first[docs].tolist(), begin.tolist(), split.tolist(), step.tolist(), u.tolist(), popped, strict=True):
+            held = out[j]["edge"][a : a + t + 1].copy()
+            open_edges = [e for e in lattices.out(held[-1]) if e not in gone]
+            p = list(accumulate(math.exp(lattices.log_p[e]) for e in open_edges))
+            held[-1] = open_edges[min(bisect_right(p, x * p[-1]), len(open_edges) - 1)]
+            prefixes.append(held)
+            sizes[d:s] = starts[j][d:s]
+            sizes[s] = b + 1
+        skipped, later = np.zeros(words, np.int64), np.full(len(self.first) - 1, words)
+        skipped[split], later[docs] = step + 1, split
+        fresh = np.flatnonzero(np.arange(words) > later[self.doc])
+        node = np.concatenate([lattices.end[np.array([p[-1] for p in prefixes], np.int64)], lattices.root[self.word[fresh]]])
+        return docs, np.array([r[0] for r in popped]), prefixes, np.concatenate([split, fresh]), node, skipped, sizes, [(r[2], r[3]) for r in popped]
 
     def ids(self, edge: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of paths and where each path ends; letters without pieces are spelled in bytes."""
@@ -309,9 +399,11 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
     def run(batches):
         vocab, transitions = vocabulary(model), _transitions(model)
+        lattices = Lattices(vocab, transitions)
+        lattices.clear(KEPT_LETTERS)
         for b in slices(batches, "text", SLICE_BYTES):
             ids = b.column("doc_id").to_pylist()
-            s = Sampler(np.array([row_key(i) for i in ids], np.uint64), [pretokens(t) for t in b.column("text").to_pylist()], vocab, transitions)
+            s = Sampler(np.array([row_key(i) for i in ids], np.uint64), [pretokens(t) for t in b.column("text").to_pylist()], vocab, transitions, lattices)
             for j, o in enumerate(s.samples(samples)):
                 with np.errstate(over="ignore"):
                     inclusion = -np.expm1(-np.exp(np.minimum(700.0, o["log_prob"] - s.next_value[o["docs"]])))
@@ -321,7 +413,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sample", "pieces", "log_prob", "perturbed", "inclusion"])
                 del flat, lists, columns, o
             del s
-            trimmed()
+            lattices.bounded(KEPT_LETTERS)
+        del lattices
+        trimmed()
 
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {OUT}")
 
